@@ -1,0 +1,5 @@
+"""SQL for the operators that an independent engine can express."""
+
+from __future__ import annotations
+
+ORACLES: dict[str, str] = {}
