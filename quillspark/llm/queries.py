@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, sharding
+from quillspark.llm import decontamination, packing, sharding
 from quillspark.llm.common import table
 
 
@@ -14,12 +14,23 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("char_spans")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the vocabulary file lies on this machine and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("source", "ids")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40), sharding.even_tree(41)).drop("region", "rack")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op5_packing, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
