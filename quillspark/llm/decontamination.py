@@ -29,7 +29,7 @@ WINDOW = 10
 #: Items go to the executors in blocks of so many bytes of text at most; each block is one automaton and one scan.
 BLOCK_BYTES = 8_000_000
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same words before A-Z is folded
 _FOLD = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 def words_of(text: str | None) -> list[bytes]:
