@@ -3,3 +3,14 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS sha FROM p),
+     o AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY sha, n) END AS owner FROM d)
+SELECT page_id, n AS payload_bytes, sha AS payload_digest,
+       CASE WHEN owner IS NULL OR owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to,
+       true AS complete
+FROM o
+"""

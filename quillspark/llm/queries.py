@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, packing, sharding
+from quillspark.llm import decontamination, packing, sharding, warc
 from quillspark.llm.common import table
 
 
@@ -25,12 +25,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("source", "ids")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40), sharding.even_tree(41)).drop("region", "rack")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_packing, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op5_packing, op8_warc, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
