@@ -14,3 +14,50 @@ SELECT page_id, n AS payload_bytes, sha AS payload_digest,
        true AS complete
 FROM o
 """
+
+#: Lines over a limit, as lists by host. Braces are filled with the least number of pages and the least share.
+_ABOVE = """
+     d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+     l AS (SELECT doc_id, host, text AS page, unnest(string_split(text, chr(10))) AS line FROM d),
+     k AS (SELECT *, lower(regexp_replace(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS key FROM l),
+     h AS (SELECT host, count(DISTINCT text) AS pages FROM d GROUP BY host),
+     f AS (SELECT k.host, k.key FROM k JOIN h ON k.host = h.host WHERE k.key <> ''
+           GROUP BY k.host, k.key, h.pages HAVING count(DISTINCT page) > {least} AND count(DISTINCT page) > {share} * h.pages)
+"""
+
+ORACLES["op6_quality"] = (
+    "WITH"
+    + _ABOVE.format(least=20, share=0.01)
+    + """,
+     w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
+     t AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g
+           FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)),
+     r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM t) WHERE c > 1),
+     c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, (VALUES (0), (1), (2)) AS s(j) GROUP BY doc_id),
+     u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM k WHERE key <> '' GROUP BY doc_id),
+     x AS (SELECT k.doc_id, sum(len(list_filter(string_split_regex(k.line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS n
+           FROM k JOIN f ON k.host = f.host AND k.key = f.key GROUP BY k.doc_id),
+     m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                  CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                  CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                  CAST(coalesce(x.n, 0) AS BIGINT) AS n_removed
+           FROM w LEFT JOIN u USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)),
+     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT (n_words - n_removed < 0.3 * n_words) AS kept, n_removed
+FROM b
+"""
+)
+
+ORACLES["op7_line_dedup"] = (
+    "WITH"
+    + _ABOVE.format(least=5, share=0.05)
+    + """,
+     g AS (SELECT host, list(key) AS keys FROM f GROUP BY host),
+     n AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines, coalesce(g.keys, []) AS keys FROM d LEFT JOIN g USING (host)),
+     q AS (SELECT *, list_filter(lines, lambda x: NOT list_contains(keys, lower(regexp_replace(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+', ' ', 'g')))) AS own FROM n)
+SELECT doc_id, array_to_string(own, chr(10)) AS text, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(own) AS BIGINT) AS n_dropped
+FROM q
+"""
+)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, packing, sharding, warc
+from quillspark.llm import decontamination, lines, packing, sharding, warc
 from quillspark.llm.common import table
 
 
@@ -25,6 +25,16 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("source", "ids")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.quality(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, n_lines and n_dropped."""
+    found = lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "text", found["__lines"].alias("n_lines"), found["__dropped"].alias("n_dropped"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -34,7 +44,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_packing, op8_warc, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
