@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, lines, packing, sharding, warc
+from quillspark.llm import decontamination, lines, near, packing, sharding, warc
 from quillspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("char_spans")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.components(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the vocabulary file lies on this machine and the executors."""
     import public_tokenizers
@@ -44,7 +48,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
