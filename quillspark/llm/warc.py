@@ -130,8 +130,8 @@ _PARSED = "type string, page string, refers_to string, url string, digest string
 
 
 def parse(record: str) -> dict:
-    """Header fields and block of one record; the version line may be missing, as the reader cuts there."""
-    head, _, block = record.removeprefix(f"{VERSION}\r\n").partition(END)
+    """Header fields and block of one record, without the version line at which the reader cuts."""
+    head, _, block = record.partition(END)
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.split("\r\n"))}
     body, length = block.encode(), int(fields.get("content-length", -1))
     number = fields.get("warc-segment-number")
@@ -174,7 +174,9 @@ def decode(row: dict) -> dict:
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Per page record: page, url, record_type, refers_to, payload_bytes, payload_digest, complete and, if wanted, payload."""
     small_batches(spark)
-    lines = spark.read.option("lineSep", f"{END}{VERSION}\r\n").text(path)
+    # The version line alone: its first letter doesn't come again in it, so that a match which breaks off hides no other one. A
+    # separator that began with the terminator would be missed where a block's own end is cut by the reader's buffer.
+    lines = spark.read.option("lineSep", f"{VERSION}\r\n").text(path).where("value <> ''")
     names = [x.split()[0] for x in _READ.split(", ")]
 
     def out(rows: list[dict]) -> pa.RecordBatch:
