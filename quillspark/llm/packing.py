@@ -17,6 +17,8 @@ empty result. Texts are encoded whole. Extra columns are ignored, whatever their
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -35,41 +37,67 @@ END_ID = 1
 #: Sources with at least 1/MAX_QUEUES of all tokens have their own queue, so that there are as many at most.
 MAX_QUEUES = 256
 #: Words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Windows whose shares are computed together.
 BLOCK = 256
 
 
+#: The text rules of a tokenizer under which words can be encoded apart: fixed values of its file.
+LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+#: Words of letters, digits and marks on which lower case and the split are plain; no apostrophe and no special token.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,\-./:;=?@\[\\\]^`{}~]+")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class _Memory(dict):
+    """A dict that computes what it lacks."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.compute(key)
+        return found
+
+
 class Encoder:
-    """Token ids by words: no token of the vocabulary spans a blank, so a text's ids are those of its blank-separated pieces."""
+    """Token ids by words. Where the tokenizer's rules are those above, no token spans a blank, so that a text's ids are those of its
+    blank-separated pieces, and those of a plain piece are those of its runs of letters, single digits and runs of marks."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        self.apart = rules["normalizer"] == LOWER and rules["pre_tokenizer"].get("pretokenizers", [None])[0] == SPLIT and rules["post_processor"] is None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        bytes_of = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.letters = dict(zip([b for b in range(256) if b not in bytes_of], range(256, 512)))  # the byte alphabet's stand-ins
+        self.parts, self.words = _Memory(self._part), _Memory(self._word)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))])
+
+    def _word(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word):
+            return b"".join([self.parts[x] for x in _PARTS.findall(word.lower())])
+        return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        known, new = self.known, {}
-        for words in pieces:
-            for w in words:
-                if w not in known:
-                    new[w] = b""
-        names = [*new]
-        for at in range(0, len(names), 4096):
-            some = names[at : at + 4096]
-            for w, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                new[w] = np.array(found.ids, self.kind).tobytes()
-        if len(known) + len(new) <= CACHE_WORDS:
-            known.update(new)
-            get = known.__getitem__
-        elif new:
-            get = lambda w: known[w] if w in known else new[w]
-        else:
-            get = known.__getitem__
-        return [b"".join(map(get, words)) for words in pieces]
+        if not self.apart:
+            return [self._packed(x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for memory in (self.words, self.parts):
+            if len(memory) > CACHE_WORDS:
+                memory.clear()
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -190,8 +218,8 @@ def queues_of(rows: DataFrame, length: int, mixture: dict[str, float] | None) ->
     return names, sizes, weights
 
 
-def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, end_id: int = END_ID, mixture: dict[str, float] | None = None) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and source and ids.
+def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, end_id: int = END_ID, mixture: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and, if wanted, source and ids (unsigned 32-bit).
 
     The documents are encoded once, into a table in the shared folder; queue positions are sums over its parts, so that the ids never
     go through a shuffle while the sums of parts and sources are small, and are joined by part and source where they aren't.
@@ -217,11 +245,11 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
             for i, (q, token, n, ids) in enumerate(zip(*columns, strict=True)):
                 edges, where, offset = plan.pieces(q, token, n)
                 body = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                marks = (edges - token).tolist()
-                for a, b in zip(marks, marks[1:]):
-                    piece = body[4 * a : 4 * b]
-                    crcs.append(zlib.crc32(piece))
-                    bodies.append(piece)
+                marks = ((edges - token) * 4).tolist()
+                pieces = [body[a:b] for a, b in zip(marks, marks[1:])]
+                crcs += map(zlib.crc32, pieces)
+                if with_ids:
+                    bodies += pieces
                 rows_of.append(np.full(len(where), i, np.int64))
                 starts.append(edges[:-1] - token)
                 counts.append(np.diff(edges))
@@ -232,8 +260,8 @@ def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str =
                 continue
             take = pa.array(np.concatenate(rows_of))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(crcs, pa.int64()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(windows)), pa.array(np.concatenate(offsets)), batch.column(1).take(take), pa.array(bodies, pa.binary())],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"],
+                [batch.column(0).take(take), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(crcs, pa.int64()), pa.array(np.concatenate(tokens)), pa.array(np.concatenate(windows)), pa.array(np.concatenate(offsets)), *([batch.column(1).take(take), pa.array(bodies, pa.binary())] if with_ids else [])],
+                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["source", "ids"] if with_ids else [])],
             )
 
-    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string, ids binary")
+    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", source string, ids binary" * with_ids)

@@ -26,7 +26,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("source", "ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
