@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from fractions import Fraction
@@ -73,19 +74,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         rules = json.loads(self.tokenizer.to_str())
         self.apart = rules["normalizer"] == LOWER and rules["pre_tokenizer"].get("pretokenizers", [None])[0] == SPLIT and rules["post_processor"] is None
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 65536 else "I"
+        self.kind = np.dtype(self.code).newbyteorder("<")
         self.model = self.tokenizer.model
         bytes_of = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = dict(zip([b for b in range(256) if b not in bytes_of], range(256, 512)))  # the byte alphabet's stand-ins
         self.parts, self.words = _Memory(self._part), _Memory(self._word)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _part(self, part: str) -> bytes:
         return self._packed([t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))])
 
     def _word(self, word: str) -> bytes:
+        stem = word[:-1] if word[-1:] in (".", ",") else word
+        if stem.isalpha() and max(stem) <= "ÿ":  # the common case of the next one
+            found = self.parts[stem.lower()]
+            return found if stem is word else found + self.parts[word[-1]]
         if _PLAIN.fullmatch(word):
             return b"".join([self.parts[x] for x in _PARTS.findall(word.lower())])
         return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""

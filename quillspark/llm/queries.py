@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, lines, near, packing, sharding, warc
+from quillspark.llm import decontamination, lines, near, packing, sharding, toxicity, warc
 from quillspark.llm.common import table
 
 
@@ -47,8 +47,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40), sharding.even_tree(41)).drop("region", "rack")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding)}
+    return {f.__name__: f for f in (op1_decontamination, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
