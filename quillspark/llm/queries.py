@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, extraction, lines, near, packing, sharding, toxicity, warc
+from quillspark.llm import decontamination, extraction, lines, near, packing, pii, sharding, toxicity, warc
 from quillspark.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.components(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_extraction, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontamination, op2_extraction, op3_pii, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
