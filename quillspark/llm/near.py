@@ -49,23 +49,20 @@ MOST_BROADCAST = 1_000_000
 BUCKET = 1.05
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 
 
-class _Words:
+class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > _CACHE_WORDS:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 @lru_cache(maxsize=1)
@@ -277,6 +274,33 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return pairs.union(across.select(F.least("pivot", "head"), F.greatest("pivot", "head"))).distinct()
 
 
+def heads_of(rows: DataFrame) -> DataFrame:
+    """Written table of sig, n, the length of its prefix, and those of its prefix shingles that other classes have in theirs."""
+    c = F.col
+    out = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.collect_set("token").alias("tokens"))
+    length = c("n") - F.ceil(PERCENT * c("n") / F.lit(100.0) - 1e-9).cast("int") + c("shared")
+    return written(out.select("sig", "n", length.alias("length"), "tokens"), "heads")
+
+
+def likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs whose prefixes share as much as a link requires.
+
+    Of two linked sets, let a's prefix end first in the common order. At most n - length of the intersection lies behind a's prefix,
+    and the rest lies in both prefixes; so they share length - n + overlap for one of the two at least.
+    """
+    c = F.col
+    side = lambda k: heads.select(*[c(x).alias(f"{x}_{k}") for x in ("sig", "n", "length", "tokens")])
+    both = pairs.join(side("a"), c("a") == c("sig_a")).join(side("b"), c("b") == c("sig_b"))
+    overlap = _overlap(c("n_a"), c("n_b"))
+    need = F.least(c("length_a") - c("n_a"), c("length_b") - c("n_b")) + overlap
+    sizes = (100 * c("n_a") >= PERCENT * c("n_b")) & (100 * c("n_b") >= PERCENT * c("n_a"))
+    return both.where(sizes & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= need)).select("a", "b")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+
+
 def sets_of(docs: DataFrame, marks: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Written table of sig and its set, for the wanted classes, each taken from one of its documents."""
     ids = marks.where("n > 0").groupBy("sig").agg(F.min(F.struct("mark", "doc_id")).alias("one"))
@@ -354,7 +378,7 @@ def left_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
         pairs = x.join(y, (x["token"] == y["token"]) & (x["bucket"] == y["bucket"]) & fits).select("sig0", "sig1", F.least("shared0", "shared1").alias("need"))
         met = pairs if met is None else met.union(pairs)
     enough = met.groupBy("sig0", "sig1").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
-    return written(enough.select(F.col("sig0").alias("a"), F.col("sig1").alias("b")), "left")
+    return enough.select(F.least("sig0", "sig1").alias("a"), F.greatest("sig0", "sig1").alias("b"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -364,11 +388,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     marks = signed(docs, doc_id, text)
     excess = spark.sparkContext.broadcast(sketch_of(marks))
     rows = shared_rows(prefixes(docs, text, excess))
-    sets = sets_of(docs, marks, rows.select("sig").distinct(), doc_id, text)
-    links = written(verified(written(star_pairs(rows), "stars"), sets), "linked")
+    heads = heads_of(rows)
+    first = written(likely(star_pairs(rows), heads), "stars")
+    links = written(verified(first, sets_of(docs, marks, ends_of(first), doc_id, text)), "linked")
     labels = connected(links)
-    more = verified(left_pairs(rows, labels), sets)
-    links = written(links.union(more), "all_links")
+    rest = likely(left_pairs(rows, labels), heads).join(first.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+    rest = written(rest, "rest")
+    links = written(links.union(verified(rest, sets_of(docs, marks, ends_of(rest), doc_id, text))), "all_links")
     return marks.where("n >= 0").drop("cells"), connected(links)
 
 
