@@ -48,7 +48,7 @@ def excerpt(text: Column, boilerplate: str) -> Column:
     def cut(s: Column) -> Column:
         return F.when(F.length(s) > 240, F.concat(F.regexp_replace(F.left(s, F.lit(237)), r"\s\S*$", ""), F.lit("…"))).otherwise(s)
 
-    return let(F.trim(F.regexp_replace(let(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]"), F.lit(0)), choose), r"\s+", " ")), cut)
+    return let(F.trim(F.regexp_replace(let(F.regexp_extract_all(text, F.lit(r"(?:^|(?<=[.!?]))[^.!?]++[.!?]"), F.lit(0)), choose), r"\s+", " ")), cut)
 
 
 def sample(df: DataFrame, key: str, seed: int, n: int, first: Column | None = None) -> DataFrame:
