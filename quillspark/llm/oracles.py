@@ -61,3 +61,29 @@ SELECT doc_id, array_to_string(own, chr(10)) AS text, CAST(len(lines) AS BIGINT)
 FROM q
 """
 )
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op1_decontamination"] = f"""
+WITH i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+     v AS (SELECT item_id, array_to_string(ws[k:k + 9], ' ') AS g, 10 AS n FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 8)) AS k FROM i WHERE len(ws) >= 10)
+           UNION SELECT item_id, array_to_string(ws, ' '), len(ws) FROM i WHERE len(ws) BETWEEN 1 AND 9),
+     d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+     p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM v) WHERE len(ws) >= n),
+     h AS (SELECT p.doc_id, p.k, p.n, v.item_id FROM (SELECT doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') AS g FROM p) p JOIN v ON p.g = v.g AND p.n = v.n),
+     w AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM h) GROUP BY doc_id),
+     s AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(list_sort(ids), ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+ORACLES["op4_ngram_join"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+     g AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM d WHERE len(ws) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+     c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+     l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+     r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) LEFT JOIN n USING (doc_id)
+"""
