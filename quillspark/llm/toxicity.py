@@ -33,6 +33,9 @@ BETA = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 500_000
 _SYMBOLS = "#*$%&|<>"
+#: Characters looked at together, so that memory beside a long text stays small.
+_BLOCK = 1 << 20
+_UPPER = np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
 
 
 def word_features(piece: str) -> list[int]:
@@ -44,9 +47,15 @@ def word_features(piece: str) -> list[int]:
     return out
 
 
+def capitals(text: str) -> int:
+    """How many characters of the text are upper case."""
+    blocks = (text[k : k + _BLOCK].encode("utf-32-le", "surrogatepass") for k in range(0, len(text), _BLOCK))
+    return sum(int(np.count_nonzero(_UPPER[np.frombuffer(b, "<u4")])) for b in blocks)
+
+
 def ratios(text: str, pieces: list[str], distinct: int) -> list[float]:
     n = max(1, len(pieces))
-    return [min(1.0, np.log1p(n) / 10), distinct / n, min(1.0, sum(map(text.count, _SYMBOLS)) / n), sum(1 for c in text[:4096] if c.isupper()) / max(1, min(4096, len(text)))]
+    return [min(1.0, np.log1p(n) / 10), distinct / n, min(1.0, sum(map(text.count, _SYMBOLS)) / n), capitals(text) / max(1, len(text))]
 
 
 N_RATIOS = 4

@@ -159,6 +159,13 @@ def test_toxicity_on_held_out_rows(spark):
     assert not any(r["toxic"] for r in toxicity.score(docs, nothing).collect())
 
 
+def test_capitals_of_the_whole_text_count():
+    text = "quiet words " * 500 + "SHOUTED ÉΣ " * 900
+    assert toxicity.Features([])(text)[1][3] == sum(c.isupper() for c in text) / len(text)
+    far = "x" * toxicity._BLOCK + "AB🄰"
+    assert toxicity.capitals(far) == 3 and toxicity.capitals("") == 0
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
