@@ -1,14 +1,15 @@
 """HTML main text by nearest-URL page differencing.
 
 Each page becomes lines (blocks of text). Pages of a host are put in the order of their URL paths; each is paired with the nearer of
-its two neighbours (longest common path, then the earlier one) whose lines aren't all the same. The lines of a pair are aligned by a
+the last page before and the first page behind whose lines aren't all the same as its own (longest common path, then the earlier one). The lines of a pair are aligned by a
 longest common subsequence, and lines that both have are deleted: menus, notices and footers repeat from page to page. Two exact
 rules on the markup follow, since pages also share sentences and have boilerplate of their own: lines inside an article or main
 element are never deleted by differencing, and are the whole text where there is such an element; lines inside elements whose name
 or class marks them as boilerplate are dropped.
 
-A host with more than its share of all pages is dealt into parts by a hash of path and id, so that no task holds a whole host; within
-a part pages stream in order and three are held at a time.
+A host with more than its share of all pages is cut into ranges of path and id, so that no task holds a whole host. Each range is also
+given the nearest different pages beyond its edges, found by a pass over such hosts before; so pairs don't depend on the cuts. Within a
+part pages stream in order, and a run of pages with equal lines is held with the page before it.
 
 Null html gives an empty text, a null url a host of its own. Repeated pages are copies, which are never differenced with each other.
 An empty table gives an empty result. Whole pages are read. Extra columns are ignored, whatever their names.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.llm.common import small_batches
+from quillspark.llm.common import ARROW_ROWS, small_batches, written
 
 #: A part of a host has about so many pages, or the PARTS-th of all pages where that is more; so there are PARTS heavy hosts at most.
 PART_PAGES, PARTS = 500, 10_000
@@ -181,6 +184,45 @@ def _kept(page: dict, near: dict | None) -> list[str]:
     return [t for i, (t, k) in enumerate(zip(texts, kinds)) if not k & 1 and (k & 2 or not has_main and i not in gone)]
 
 
+def _place(path: str, page_id: object) -> tuple:
+    """A page's place in its host, in Spark's order: a null id comes first."""
+    return path, page_id is not None, page_id
+
+
+def _edges(light: DataFrame) -> DataFrame:
+    """What a part of a host sees of the others: the last page before it and the first one behind it with other lines than its own edge.
+
+    Of each part its first and last page count, and the first and last one that differ from these; the driver holds their hashes only,
+    which are as many as parts.
+    """
+    c, spark = F.col, light.sparkSession
+    light = written(light.withColumn("sig", F.xxhash64("keys", F.size("keys"))), "light")
+    order, page = F.struct("path", "page_id", "url"), F.struct("path", "keys", "sig")
+    outer = written(light.groupBy("host", "part").agg(F.min_by(page, order).alias("first"), F.max_by(page, order).alias("last")), "outer")
+    known = outer.select(c("host").alias("h"), c("part").alias("p"), c("first.sig").alias("f"), c("last.sig").alias("l"))
+    inner = light.join(F.broadcast(known), (c("host") == c("h")) & (c("part") == c("p"))).groupBy("host", "part")
+    inner = inner.agg(F.min_by(page, F.when(c("sig") != c("f"), order)).alias("second"), F.max_by(page, F.when(c("sig") != c("l"), order)).alias("other"))
+    ends = written(outer.join(inner, ["host", "part"]), "ends")
+    names = ("first", "second", "last", "other")
+    parts = ends.select("host", "part", *[c(f"{x}.sig").alias(x) for x in names]).collect()
+    found = []
+    for side, near, far, own in ((-1, "last", "other", "first"), (1, "first", "second", "last")):
+        host = a = b = None  # (sig, part, end) of the nearest page so far, and of the nearest one that differs from it
+        for r in sorted(parts, key=lambda r: (r["host"], -side * r["part"])):
+            if r["host"] != host:
+                host, a, b = r["host"], None, None
+            seen = a if a is None or a[0] != r[own] else b
+            if seen is not None:
+                found.append((host, r["part"], side, seen[1], seen[2]))
+            new = (r[near], r["part"], near)
+            b = (r[far], r["part"], far) if r[far] is not None else a if a is not None and a[0] != new[0] else b
+            a = new
+    wanted = spark.createDataFrame(found, "host string, part int, side int, of int, end string")
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("end"), c(f"{x}.path").alias("path"), c(f"{x}.keys").alias("keys")) for x in names])).alias("x")
+    long = ends.select(c("host").alias("h"), c("part").alias("p"), each).select("h", "p", "x.*").withColumnRenamed("end", "e")
+    return long.join(F.broadcast(wanted), (c("h") == c("host")) & (c("p") == c("of")) & (c("e") == c("end"))).select("host", "part", "side", "path", "keys")
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
@@ -193,9 +235,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
     total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     part = max(PART_PAGES, -(-total // PARTS))
-    heavy = sizes.where(F.col("n") > part).select(F.col("host").alias("heavy_host"), F.ceil(F.col("n") / part).alias("parts"))
+    heavy = written(sizes.where(F.col("n") > part).select(F.col("host").alias("heavy_host")), "heavy")
+    # About one page of each part is drawn as its start; the result doesn't depend on which.
+    drawn = rows.select("host", "path", "page_id").join(F.broadcast(heavy), F.col("host") == F.col("heavy_host"), "left_semi").where(F.rand(7) * part < 1).collect()
+    starts: dict[str, list[tuple]] = {}
+    for r in drawn:
+        starts.setdefault(r["host"], []).append(_place(r["path"], r["page_id"]))
+    sent = spark.sparkContext.broadcast({h: sorted(x) for h, x in starts.items()})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = sent.value
         for batch in batches:
             keys, kinds, bodies = [], [], []
             for page in batch.column(4).to_pylist():
@@ -204,34 +253,54 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 kinds.append(bytes(x.boilerplate + 2 * x.main for x in lines))
                 # Boilerplate takes part in the alignment by its hash alone.
                 bodies.append(zlib.compress("\n".join("" if x.boilerplate else x.text for x in lines).encode("utf-8", "surrogatepass"), 1))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(bodies, pa.binary())], names=["page_id", "url", "host", "path", "keys", "kinds", "body"])
+            ids, hosts, paths = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            parts = [bisect_right(starts[h], _place(p, i)) if h in starts else 0 for i, h, p in zip(ids, hosts, paths)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(keys, pa.list_(pa.int64())), pa.array(kinds, pa.binary()), pa.array(bodies, pa.binary()), pa.array(parts, pa.int32())], names=["page_id", "url", "host", "path", "keys", "kinds", "body", "part"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    parsed = rows.mapInArrow(read, f"page_id {kind}, url string, host string, path string, {_HASHED}")
-    # Heavy hosts are PARTS at most, so that this broadcast has a bound at any size.
-    parsed = parsed.join(F.broadcast(heavy), F.col("host") == F.col("heavy_host"), "left").drop("heavy_host")
-    parsed = parsed.withColumn("part", F.pmod(F.xxhash64("path", "page_id"), F.coalesce("parts", F.lit(1))))
+    parse = lambda pages: pages.mapInArrow(read, f"page_id {kind}, url string, host string, path string, {_HASHED}, part int")
+    dealt = parse(rows).withColumn("side", F.lit(0))
+    if starts:
+        split = rows.join(F.broadcast(heavy), F.col("host") == F.col("heavy_host"), "left_semi")
+        edges = _edges(parse(split).select("host", "part", "path", "page_id", "url", "keys"))
+        absent = {"page_id": kind, "url": "string", "kinds": "binary", "body": "binary"}
+        dealt = dealt.unionByName(edges.withColumns({k: F.lit(None).cast(t) for k, t in absent.items()}))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = parsed.repartition(n, "host", "part").sortWithinPartitions("host", "part", "path", "page_id", "url")
+    dealt = dealt.repartition(n, "host", "part").sortWithinPartitions("host", "part", "side", "path", "page_id", "url")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(pages: list[tuple[dict, list[str]]]) -> pa.RecordBatch:
             texts = ["\n\n".join(kept) for _, kept in pages]
             return pa.RecordBatch.from_arrays([pa.array([p["page_id"] for p, _ in pages], id_type), pa.array([p["url"] for p, _ in pages], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-        def paired(before: dict | None, page: dict, after: dict | None) -> tuple[dict, list[str]]:
-            near = [x for x in (before, after) if x is not None and (x["host"], x["part"]) == (page["host"], page["part"]) and x["keys"] != page["keys"]]
-            return page, _kept(page, max(near, key=lambda x: _nearness(x["path"], page["path"]), default=None))
-
-        before = page = id_type = None
-        for batch in batches:
-            id_type, done = batch.schema.field(0).type, []
-            for after in batch.to_pylist():
-                if page is not None:
-                    done.append(paired(before, page, after))
-                before, page = page, after
-            yield out(done)
-        if page is not None:
-            yield out([paired(before, page, None)])
-
+        def paired(before: dict | None, run: list[dict], after: dict | None) -> Iterator[tuple[dict, list[str]]]:
+            near = [x for x in (before, after) if x is not None]
+            for page in run:
+                if page["side"] == 0:
+                    yield page, _kept(page, max(near, key=lambda x: _nearness(x["path"], page["path"]), default=None))
+
+        def rows_of() -> Iterator[tuple[dict, list[str]]]:
+            before, run, same = None, [], {}
+            for batch in batches:
+                for page in batch.to_pylist():
+                    here = bool(run) and (run[0]["host"], run[0]["part"]) == (page["host"], page["part"])
+                    if here and run[0]["keys"] == page["keys"]:
+                        # Equal pages of a run share what they have in common, so that only their ids and urls add up.
+                        page["keys"], body = run[0]["keys"], (page["kinds"], page["body"])
+                        page["kinds"], page["body"] = same.setdefault(body, body)
+                        run.append(page)
+                        continue
+                    yield from paired(before, run, page if here else None)
+                    before, run, same = run[-1] if here else None, [page], {(page["kinds"], page["body"]): (page["kinds"], page["body"])}
+            yield from paired(before, run, None)
+
+        id_type, done = arrow_id, []
+        for row in rows_of():
+            done.append(row)
+            if len(done) == ARROW_ROWS:
+                yield out(done)
+                done = []
+        yield out(done)
+
+    arrow_id = to_arrow_type(rows.schema["page_id"].dataType)
     return dealt.mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -39,6 +39,31 @@ def test_extraction_by_differencing(spark):
     assert found[9].startswith("Site title") and found[10] == found[11] == found[9]
 
 
+def test_neighbours_do_not_depend_on_parts_or_copies(spark, monkeypatch):
+    rng = random.Random(6)
+    page = lambda k, menu: f"<div><p>Site</p><p>Menu {menu}</p><p>Body {k}</p></div>"
+    rows = []
+    for k in range(60):
+        path, body = f"/{rng.choice('ab')}{k // 6}/{k:03}", k - k % rng.choice([1, 1, 5, 30])
+        rows.append((k, f"http://h{path}", page(body, path[1:3])))
+    rows += [(100 + k, f"http://c/{k:02}", page(0 if k < 25 else 1, "x")) for k in range(26)] + [(None, "http://h/a1/1", page(7, "a1"))]
+
+    def nearest(row):
+        path = row[1][8:]
+        ordered = sorted((r for r in rows if r[1][7] == row[1][7]), key=lambda r: (r[1], r[0] is not None, r[0]))
+        at = ordered.index(row)
+        sides = [next((r for r in x if r[2] != row[2]), None) for x in (ordered[:at][::-1], ordered[at + 1 :])]
+        near = max((r for r in sides if r), key=lambda r: extraction._nearness(r[1][8:], path))
+        mine, its = (re.findall("<p>(.*?)</p>", r[2]) for r in (row, near))
+        return "\n\n".join(x for x in mine if x not in its)
+
+    expected = {r[0]: nearest(r) for r in rows}
+    for size in (10**6, 3, 1):
+        monkeypatch.setattr(extraction, "PART_PAGES", size)
+        assert {r["page_id"]: r["text"] for r in extraction.extract(pages(spark, rows)).collect()} == expected
+    assert expected[100] == "Body 0"
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
