@@ -165,7 +165,7 @@ _ROWS = "token bigint, part int, sig bigint, n int, pos int, shared int"
 
 
 def prefixes(docs: DataFrame, text: str, excess: Broadcast) -> DataFrame:
-    """A row for each prefix shingle of each class: token, part, sig, n, pos and shared."""
+    """A row for each prefix shingle of each class: token, part (0 where the shingle isn't dealt out), sig, n, pos and shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = excess.value, set()
@@ -180,7 +180,7 @@ def prefixes(docs: DataFrame, text: str, excess: Broadcast) -> DataFrame:
                 tokens, cost, shared = prefix(own, sketch)
                 parts = np.maximum(1, np.ceil(cost / PART)).astype(np.int64)
                 columns[0].append(tokens.view(np.int64))
-                columns[1].append(((sig & 0x7FFFFFFF) % parts).astype(np.int32))
+                columns[1].append(np.where(parts > 1, 1 + (sig & 0x7FFFFFFF) % parts, 0).astype(np.int32))
                 columns[2].append(np.full(len(tokens), sig, np.int64))
                 columns[3].append(np.full(len(tokens), len(own), np.int32))
                 columns[4].append(np.arange(len(tokens), dtype=np.int32))
@@ -194,7 +194,7 @@ def prefixes(docs: DataFrame, text: str, excess: Broadcast) -> DataFrame:
 def shared_rows(rows: DataFrame) -> DataFrame:
     """The rows of shingles with two classes or more, each with its part's pivot: the class in which it stands foremost.
 
-    Rows arrive sorted by shingle, so that a task streams through them and holds one batch, whatever the size of a group.
+    A class alone in its part of a shingle stays if any other part has a class. Rows arrive sorted by shingle, so that a task streams through them and holds one batch, whatever the size of a group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,13 +218,13 @@ def shared_rows(rows: DataFrame) -> DataFrame:
                 same = first == 0
                 pivots[same] = pivot
             sizes = np.bincount(first, minlength=len(table))
-            out = sizes[first] > 1
+            out = (sizes[first] > 1) | (table[:, 1] > 0)
             carried = pivot is not None and held is None
             if carried:
                 out[first == 0] = True
                 out[0] = False  # given out with an earlier batch
             last = first[-1]
-            alone = last == len(table) - 1 and not (carried and last == 0)
+            alone = last == len(table) - 1 and not (carried and last == 0) and table[last, 1] == 0
             if alone:
                 out[-1] = False
                 held, pivot = table[-1], None
@@ -244,7 +244,9 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
     found = written(dealt.mapInArrow(run, _ROWS + ", pivot bigint, pivot_n int, pivot_pos int, pivot_shared int"), "shared")
     small_batches(spark)
-    return found
+    dealt_out = found.where("part > 0")
+    several = dealt_out.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
+    return found.where("part = 0").unionByName(written(dealt_out.join(several, "token", "left_semi"), "dealt").select(*found.columns))
 
 
 def _overlap(a: Column, b: Column) -> Column:

@@ -69,6 +69,16 @@ def test_components_against_brute_force(spark, seed, monkeypatch):
     assert sorted((tuple(r) for r in found), key=repr) == plain(rows)
 
 
+@pytest.mark.parametrize("cost", [None, 1e6])
+def test_links_across_the_parts_of_a_shingle(spark, monkeypatch, cost):
+    monkeypatch.setattr(near, "PART", 1)
+    if cost:  # each class is alone in its part
+        monkeypatch.setattr(near, "sketch_of", lambda marks: np.full(1 << near.SKETCH_BITS, cost))
+    rows = odd_rows() + copies(4)
+    found = near.components(documents(spark, rows)).collect()
+    assert sorted((tuple(r) for r in found), key=repr) == plain(rows)
+
+
 def test_one_of_each(spark):
     rows = odd_rows() + copies(3)
     docs = documents(spark, rows)
