@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, written
+from quillspark.llm.common import packed, passing, sliced, unpacked, written
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -43,45 +43,79 @@ MOST_SHARED = 4
 SKETCH_BITS = 18
 #: A shingle that is expected in more documents is dealt out in parts of about so many.
 PART = 50_000
-#: Candidate ids are broadcast up to this number, and joined by a shuffle beyond it.
-MOST_BROADCAST = 1_000_000
+#: Candidate ids are broadcast up to so many bytes, and joined by a shuffle beyond.
+MOST_BROADCAST = 32 << 20
+#: Tasks whose sketches are summed up by one task of the next round.
+SUMMED = 64
 #: Ratio of neighbouring size buckets.
 BUCKET = 1.05
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_CACHE_WORDS = 200_000
-
-
-class _Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > _CACHE_WORDS:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+#: What stays of eight bytes of which the first 0 to 8 belong to a word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG = 256
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the texts' words in order, and how many each text has; eight bytes of all words are mixed in at once."""
+    bodies = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    body = b"\n".join(bodies).translate(_FOLD) + b"\n" * 8
+    blank = _BLANK[np.frombuffer(body, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    edges = edges if blank[0] else np.concatenate([[0], edges])
+    starts, ends = edges[0::2], edges[1::2]
+    eights = np.ndarray((len(body) - 7,), "<u8", body, strides=(1,))
+    size = ends - starts
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    on, at = np.arange(len(size)), 0
+    while len(on) and at < _LONG:
+        left = size[on] - at
+        x = h[on] ^ (eights[starts[on] + at] & _FIRST[np.minimum(left, 8)])
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        h[on] = x
+        on, at = on[left > 8], at + 8
+    for k in on.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(body[starts[k] : ends[k]])
+    offsets = np.cumsum([0] + [len(b) + 1 for b in bodies])
+    return h, np.diff(np.searchsorted(starts, offsets))
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k word hashes."""
+    s = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        s *= np.uint64(0x9E3779B97F4A7C15)
+        s ^= h[j : len(h) - k + 1 + j]
+        s ^= s >> np.uint64(29)
+        s *= np.uint64(0xBF58476D1CE4E5B9)
+    s ^= s >> np.uint64(32)
+    return s
 
 
-@lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
+def _distinct(s: np.ndarray) -> np.ndarray:
+    s = np.sort(s)
+    new = s[1:] != s[:-1]
+    return s if new.all() else s[np.concatenate([[True], new])]
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h, k = _words()(words), min(SHINGLE, len(words))
-    s = np.full(len(h) - k + 1, k, np.uint64)
-    for j in range(k):
-        s = (s * np.uint64(0x9E3779B97F4A7C15)) ^ h[j : len(h) - k + 1 + j]
-        s = (s ^ (s >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    s ^= s >> np.uint64(32)
-    return np.unique(s)
+def shingles(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles. All words of the texts are hashed together, and runs across texts are left out."""
+    h, counts = word_hashes(texts)
+    runs = _mixed(h, SHINGLE) if len(h) >= SHINGLE else h[:0]
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= SHINGLE:
+            out.append(_distinct(runs[at : at + n - SHINGLE + 1]))
+        else:
+            out.append(_mixed(h[at : at + n], n) if n else h[:0])
+        at += n
+    return out
 
 
 def _signature(own: np.ndarray) -> int:
@@ -98,19 +132,15 @@ def signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen, kind = np.zeros(1 << SKETCH_BITS, np.int32), set(), None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            sizes, sigs = [], []
-            for t in batch.column(2).to_pylist():
-                own = shingles(t)
-                sizes.append(len(own))
-                sigs.append(_signature(own))
-                if sigs[-1] not in seen:
-                    seen.add(sigs[-1])
-                    sketch += np.bincount(_cells(own), minlength=len(sketch)).astype(np.int32) if len(own) > 20_000 else 0
-                    if len(own) <= 20_000:
-                        np.add.at(sketch, _cells(own), 1)
-            yield _signed_batch(batch.column(0), batch.column(1), sizes, sigs, [None] * len(sizes))
+        for batch in sliced(batches, 2):
+            kind, sets = batch.schema.field(0).type, shingles(batch.column(2).to_pylist())
+            sigs = [*map(_signature, sets)]
+            new = dict(zip(sigs, sets, strict=True))
+            fresh = [own for sig, own in new.items() if sig not in seen]
+            seen.update(new)
+            if fresh:
+                sketch += np.bincount(_cells(np.concatenate(fresh)), minlength=len(sketch)).astype(np.int32)
+            yield _signed_batch(batch.column(0), batch.column(1), [*map(len, sets)], sigs, [None] * len(sets))
         if kind is not None:
             yield _signed_batch(pa.nulls(1, kind), pa.nulls(1, pa.int64()), [-1], [0], [_pressed(sketch)])
 
@@ -139,7 +169,11 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketch_of(marks: DataFrame) -> np.ndarray:
     """How many documents' shingles fall into each cell, less what chance alone puts there."""
     parts = marks.where("n < 0").select("cells").mapInArrow(_sum_cells, "cells binary")
-    total = written(parts, "cells").repartition(1).mapInArrow(_sum_cells, "cells binary").collect()
+    n = parts.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // SUMMED)
+        parts = parts.repartition(n).mapInArrow(_sum_cells, "cells binary")
+    total = parts.collect()
     if not total:
         return np.zeros(1 << SKETCH_BITS)
     cells = np.frombuffer(zlib.decompress(total[0]["cells"]), "<i8").astype(np.float64)
@@ -151,8 +185,12 @@ def prefix(own: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """The prefix of a set: its shingles in order, their expected frequencies, and how many a partner has to share."""
     n = len(own)
     cost = excess[_cells(own)]
-    order = np.lexsort((own, cost))
     least = n - -(-PERCENT * n // 100)
+    rare = np.flatnonzero(cost == 0)
+    if len(rare) > least:  # a prefix of rare shingles costs nothing
+        rare = rare[: least + 1]
+        return own[rare], cost[rare], 1
+    order = np.argsort(cost, kind="stable")  # the set is sorted, which settles ties
     cost = cost[order]
     run = np.cumsum(cost)
     most = min(MOST_SHARED, n - least)
@@ -161,36 +199,49 @@ def prefix(own: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return own[order[:length]], cost[:length], shared
 
 
-_ROWS = "token bigint, part int, sig bigint, n int, pos int, shared int"
+#: meta holds pos, n and shared, so that rows go through the shuffle small and sort by their place.
+_ROWS = "token bigint, part int, sig bigint, meta bigint"
+_N_BITS, _SHARED_BITS = 30, 3
 
 
 def prefixes(docs: DataFrame, text: str, excess: Broadcast) -> DataFrame:
-    """A row for each prefix shingle of each class: token, part (0 where the shingle isn't dealt out), sig, n, pos and shared."""
+    """A row for each prefix shingle of each class: token, part (0 where the shingle isn't dealt out), sig and meta."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, seen = excess.value, set()
-        for batch in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for t in batch.column(0).to_pylist():
-                own = shingles(t)
+        for batch in sliced(batches, 0):
+            tokens, costs, heads = [], [], []
+            for own in shingles(batch.column(0).to_pylist()):
                 sig = _signature(own)
                 if not len(own) or sig in seen:
                     continue
                 seen.add(sig)
-                tokens, cost, shared = prefix(own, sketch)
-                parts = np.maximum(1, np.ceil(cost / PART)).astype(np.int64)
-                columns[0].append(tokens.view(np.int64))
-                columns[1].append(np.where(parts > 1, 1 + (sig & 0x7FFFFFFF) % parts, 0).astype(np.int32))
-                columns[2].append(np.full(len(tokens), sig, np.int64))
-                columns[3].append(np.full(len(tokens), len(own), np.int32))
-                columns[4].append(np.arange(len(tokens), dtype=np.int32))
-                columns[5].append(np.full(len(tokens), shared, np.int32))
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=[x.split()[0] for x in _ROWS.split(", ")])
+                found, cost, shared = prefix(own, sketch)
+                tokens.append(found)
+                costs.append(cost)
+                heads.append((len(found), sig, len(own) << _SHARED_BITS | shared))
+            if not tokens:
+                continue
+            lengths, sigs, low = (np.array(x, np.int64) for x in zip(*heads, strict=True))
+            sig = np.repeat(sigs, lengths)
+            pos = np.arange(len(sig)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            parts = np.maximum(1, np.ceil(np.concatenate(costs) / PART)).astype(np.int64)
+            part = np.where(parts > 1, 1 + (sig & 0x7FFFFFFF) % parts, 0).astype(np.int32)
+            meta = pos << (_N_BITS + _SHARED_BITS) | np.repeat(low, lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(part), pa.array(sig), pa.array(meta)], names=[x.split()[0] for x in _ROWS.split(", ")])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, _ROWS)
 
 
+def _placed(meta: np.ndarray) -> list[np.ndarray]:
+    """n, pos and shared of meta."""
+    n, shared = meta >> _SHARED_BITS & ((1 << _N_BITS) - 1), meta & ((1 << _SHARED_BITS) - 1)
+    return [x.astype(np.int32) for x in (n, meta >> (_N_BITS + _SHARED_BITS), shared)]
+
+
+_SHARED = "token bigint, part int, sig bigint, n int, pos int, shared int, pivot bigint, pivot_n int, pivot_pos int, pivot_shared int"
+
+
 def shared_rows(rows: DataFrame) -> DataFrame:
     """The rows of shingles with two classes or more, each with its part's pivot: the class in which it stands foremost.
 
@@ -203,7 +254,7 @@ def shared_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)], axis=1)
+            table = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)], axis=1)
             before = held if held is not None else pivot
             if before is not None:
                 table = np.concatenate([before[None, :], table])
@@ -233,17 +284,12 @@ def shared_rows(rows: DataFrame) -> DataFrame:
                 held, pivot = None, pivots[-1]
             keep = np.flatnonzero(out)
             if len(keep):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(table[keep, 0]), *(pa.array(table[keep, k].astype(np.int64 if k == 2 else np.int32)) for k in range(1, 6)), pa.array(pivots[keep, 2]), pa.array(pivots[keep, 3].astype(np.int32)), pa.array(pivots[keep, 4].astype(np.int32)), pa.array(pivots[keep, 5].astype(np.int32))],
-                    names=["token", "part", "sig", "n", "pos", "shared", "pivot", "pivot_n", "pivot_pos", "pivot_shared"],
-                )
-
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "token", "part").sortWithinPartitions("token", "part", "pos", "n", "sig")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50_000)
-    found = written(dealt.mapInArrow(run, _ROWS + ", pivot bigint, pivot_n int, pivot_pos int, pivot_shared int"), "shared")
-    small_batches(spark)
+                columns = [table[keep, 0], table[keep, 1].astype(np.int32), table[keep, 2], *_placed(table[keep, 3]), pivots[keep, 2], *_placed(pivots[keep, 3])]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=[x.split()[0] for x in _SHARED.split(", ")])
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "token", "part").sortWithinPartitions("token", "part", "meta", "sig")
+    found = written(dealt.mapInArrow(run, _SHARED), "shared")
     dealt_out = found.where("part > 0")
     several = dealt_out.groupBy("token").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low <> high").select("token")
     return found.where("part = 0").unionByName(written(dealt_out.join(several, "token", "left_semi"), "dealt").select(*found.columns))
@@ -308,12 +354,13 @@ def sets_of(docs: DataFrame, marks: DataFrame, wanted: DataFrame, doc_id: str, t
     ids = marks.where("n > 0").groupBy("sig").agg(F.min(F.struct("mark", "doc_id")).alias("one"))
     ids = written(ids.join(wanted, "sig", "left_semi").select("sig", "one.mark", "one.doc_id"), "wanted")
     rows = docs.select(F.col(doc_id).alias("own_id"), F.xxhash64(F.col(text)).alias("own_mark"), F.col(text).alias("text"))
-    few = ids.count() <= MOST_BROADCAST
+    size = ids.agg(F.sum(F.lit(32) + F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0))).alias("n")).first()["n"] or 0
+    few = size <= MOST_BROADCAST
     picked = rows.join(F.broadcast(ids) if few else ids, (F.col("own_mark") == F.col("mark")) & F.col("own_id").eqNullSafe(F.col("doc_id"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [shingles(t) for t in batch.column(0).to_pylist()]
+        for batch in sliced(batches, 0):
+            own = shingles(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([_signature(s) for s in own], pa.int64()), pa.array([s.view(np.int64) for s in own], pa.list_(pa.int64()))], names=["sig", "own"])
 
     found = picked.mapInArrow(run, "sig bigint, own array<bigint>")
@@ -331,73 +378,93 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """Written table of sig and root, the least class that it reaches, for all classes that have links."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = written(both.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
-    while True:
-        step = both.join(labels.select(F.col("sig").alias("b"), "root"), "b").groupBy(F.col("a").alias("sig")).agg(F.min("root").alias("near"))
-        moved = labels.join(step, "sig").select("sig", F.least("root", "near").alias("next"), "root")
-        # A label is a class whose own label is at least as small: jump there.
-        jump = labels.select(F.col("sig").alias("next"), F.col("root").alias("far"))
-        moved = written(moved.join(jump, "next", "left").select("sig", F.least("next", "far").alias("next"), "root"), "labels")
-        labels = moved.select("sig", F.col("next").alias("root"))
-        if not moved.where("next <> root").limit(1).count():
-            return labels
-
-
-def left_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of classes in different components that share enough of their prefixes."""
+    with passing(links.sparkSession) as keep:
+        both = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+        labels = written(both.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+        while True:
+            step = both.join(labels.select(F.col("sig").alias("b"), "root"), "b").groupBy(F.col("a").alias("sig")).agg(F.min("root").alias("near"))
+            moved = labels.join(step, "sig").select("sig", F.least("root", "near").alias("next"), "root")
+            # A label is a class whose own label is at least as small: jump there.
+            jump = labels.select(F.col("sig").alias("next"), F.col("root").alias("far"))
+            moved = written(moved.join(jump, "next", "left").select("sig", F.least("next", "far").alias("next"), "root"), "labels")
+            labels = moved.select("sig", F.col("next").alias("root"))
+            if not moved.where("next <> root").limit(1).count():
+                return keep(written(labels, "component"))
+
+
+def meetings(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row (sig0, sig1, need) for each prefix shingle in which two classes of different components meet and may link.
+
+    Of the intersection of a pair, all that lies before the end of the prefix that ends first is in both prefixes, and the rest is behind
+    that prefix. So it has at most suffix + open members for one of the two: the shingles behind its prefix, and those of its prefix that
+    other components have too. A class for which this is less than a link requires is not able to link by its own prefix, and two such
+    classes never meet; a passage that many otherwise different texts share doesn't bring them together.
+    """
     c = F.col
     rows = rows.select("token", "sig", "n", "pos", "shared").join(labels, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rows = written(rows, "rooted")
     mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     rows = written(rows.join(written(mixed, "mixed"), "token", "left_semi"), "open")
+    most = rows.groupBy(c("sig").alias("of")).agg((F.ceil(PERCENT * F.first("n") / F.lit(100.0) - 1e-9).cast("int") - F.first("shared") + F.count("*")).alias("most"))
+    rows = rows.join(written(most, "most"), c("sig") == c("of")).drop("of")
 
     def bucket(n: Column) -> Column:
         return F.floor(F.ln(n.cast("double")) / F.lit(float(np.log(BUCKET))) + 1e-9).cast("int")
 
     # The smaller set of a pair stands in its own size's bucket, the larger one in those of all sizes it may meet at this place.
     small = rows.where(_within(c("n"), c("pos"), _overlap(c("n"), c("n")), c("shared"))).withColumn("bucket", bucket(c("n")))
+    small = small.withColumn("able", _overlap(c("n"), c("n")) <= c("most"))
     low = F.ceil(PERCENT * c("n") / F.lit(100.0) - 1e-9).cast("int")
     large = rows.withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(c("n")))))
     least = F.greatest(low, F.ceil(F.pow(F.lit(BUCKET), c("bucket")) - 1e-6).cast("int"))
-    large = large.where(_within(c("n"), c("pos"), _overlap(least, c("n")), c("shared")))
-    sides = small.withColumn("side", F.lit(0)).unionByName(large.withColumn("side", F.lit(1)))
+    large = large.where(_within(c("n"), c("pos"), _overlap(least, c("n")), c("shared"))).withColumn("able", _overlap(least, c("n")) <= c("most"))
+    sides = small.withColumn("side", F.lit(0)).unionByName(large.withColumn("side", F.lit(1))).drop("most")
     sides = written(sides, "sides")
-    counts = sides.groupBy("token", "bucket", "root").agg(F.count("*").alias("rows"), F.min("side").alias("low"), F.max("side").alias("high"))
-    groups = counts.groupBy("token", "bucket").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"), F.min("low").alias("low"), F.max("high").alias("high"))
-    groups = written(groups.where("roots > 1 AND low = 0 AND high = 1").select("token", "bucket", "main"), "groups")
+    counts = sides.groupBy("token", "bucket", "root").agg(F.count("*").alias("rows"), F.min("side").alias("low"), F.max("side").alias("high"), F.max("able").alias("able"))
+    groups = counts.groupBy("token", "bucket").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("able").alias("any"))
+    groups = written(groups.where("roots > 1 AND low = 0 AND high = 1 AND any").select("token", "bucket", "main"), "groups")
     sides = written(sides.join(groups, ["token", "bucket"]).withColumn("minor", c("root") != c("main")).drop("main"), "minor")
 
-    def side(k: int, minor: bool | None) -> DataFrame:
+    def side(k: int, minor: bool | None, able: bool | None) -> DataFrame:
         out = sides.where(c("side") == k)
-        out = out if minor is None else out.where(c("minor") == F.lit(minor))
+        for name, value in (("minor", minor), ("able", able)):
+            out = out if value is None else out.where(c(name) == F.lit(value))
         return out.select("token", "bucket", *[c(x).alias(f"{x}{k}") for x in ("sig", "n", "pos", "shared", "root")])
 
     fits = (c("root0") != c("root1")) & (F.struct("n0", "sig0") < F.struct("n1", "sig1")) & _may_link(c("n0"), c("pos0"), c("shared0"), c("n1"), c("pos1"), c("shared1"))
     met = None
-    for a, b in ((True, None), (False, True)):
-        x, y = side(0, a), side(1, b)
+    # One of the two is outside the group's largest component, and one of the two is able to link.
+    for minor, able in product((True, False), (True, False)):
+        x, y = side(0, minor, able), side(1, None if minor else True, None if able else True)
         pairs = x.join(y, (x["token"] == y["token"]) & (x["bucket"] == y["bucket"]) & fits).select("sig0", "sig1", F.least("shared0", "shared1").alias("need"))
         met = pairs if met is None else met.union(pairs)
-    enough = met.groupBy("sig0", "sig1").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
+    return met
+
+
+def left_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of classes in different components that share enough of their prefixes."""
+    enough = meetings(rows, labels).groupBy("sig0", "sig1").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
     return enough.select(F.least("sig0", "sig1").alias("a"), F.greatest("sig0", "sig1").alias("b"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Marks (doc_id, mark, n, sig), one row per document, and labels (sig, root) of all classes that have links."""
     spark = docs.sparkSession
-    small_batches(spark)
-    marks = signed(docs, doc_id, text)
-    excess = spark.sparkContext.broadcast(sketch_of(marks))
-    rows = shared_rows(prefixes(docs, text, excess))
-    heads = heads_of(rows)
-    first = written(likely(star_pairs(rows), heads), "stars")
-    links = written(verified(first, sets_of(docs, marks, ends_of(first), doc_id, text)), "linked")
-    labels = connected(links)
-    rest = likely(left_pairs(rows, labels), heads).join(first.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
-    rest = written(rest, "rest")
-    links = written(links.union(verified(rest, sets_of(docs, marks, ends_of(rest), doc_id, text))), "all_links")
-    return marks.where("n >= 0").drop("cells"), connected(links)
+    with passing(spark) as keep:
+        marks = keep(signed(docs, doc_id, text))
+        excess = spark.sparkContext.broadcast(sketch_of(marks))
+        rows = shared_rows(prefixes(docs, text, excess))
+        heads = heads_of(rows)
+        first = written(likely(star_pairs(rows), heads), "stars")
+        with passing(spark) as keep_links:
+            links = keep_links(written(verified(first, sets_of(docs, marks, ends_of(first), doc_id, text)), "linked"))
+        labels = keep(connected(links))
+        with passing(spark) as keep_rest:
+            rest = likely(left_pairs(rows, labels), heads).join(first.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+            rest = keep_rest(written(rest, "rest"))
+        links = written(links.union(verified(rest, sets_of(docs, marks, ends_of(rest), doc_id, text))), "all_links")
+        labels = keep(connected(links))
+    return marks.where("n >= 0").drop("cells"), labels
 
 
 def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -417,17 +484,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns as they are, less all but the first of each component, by id and then by a hash of the text.
 
-    Documents without words link with nothing and all stay.
+    Documents without words link with nothing and all stay. Of rows with the same id and text one stays.
     """
     rows = _rooted(docs, doc_id, text)
     first = rows.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "mark")).alias("one"))
     keep = first.select("one.doc_id", "one.mark").union(rows.where("n = 0").select("doc_id", "mark").distinct())
-    keep = written(keep.select(F.col("doc_id").alias("__keep_id"), F.col("mark").alias("__keep_mark")), "kept")
-    left = docs.withColumn("__mark", F.xxhash64(F.col(text))).join(keep, (F.col("__mark") == F.col("__keep_mark")) & F.col(doc_id).eqNullSafe(F.col("__keep_id")), "left_semi")
-    again = rows.where("n > 0").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("__keep_id"), F.col("mark").alias("__keep_mark"))
+    keep = written(keep.select(F.col("doc_id").alias("keep_id"), F.col("mark").alias("keep_mark")), "kept")
+    same = (F.col("mark") == F.col("keep_mark")) & F.col("id").eqNullSafe(F.col("keep_id"))
+    left = packed(docs, id=F.col(doc_id), mark=F.xxhash64(F.col(text))).join(keep, same, "left_semi")
+    again = rows.where("n > 0").groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("keep_id"), F.col("mark").alias("keep_mark"))
     again = written(again, "again")
-    if not again.limit(1).count():
-        return left.drop("__mark")
-    # Rows with the same id and text: one of them stays.
-    same = (F.col("__mark") == F.col("__keep_mark")) & F.col(doc_id).eqNullSafe(F.col("__keep_id"))
-    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates([doc_id, "__mark"])).drop("__mark")
+    if again.limit(1).count():
+        once = left.join(again, same, "left_semi").groupBy("id", "mark").agg(F.first("row").alias("row"))
+        left = left.join(again, same, "left_anti").select("row").union(once.select("row"))
+    return unpacked(left, docs)

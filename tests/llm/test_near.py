@@ -98,6 +98,45 @@ def test_empty_table(spark):
     assert near.components(documents(spark, [])).count() == 0
 
 
+def test_a_shared_passage_makes_no_pairs(spark):
+    """Texts that are three quarters one passage and link with nothing: rows grow with their number, not with its square."""
+    rng = random.Random(9)
+    passage = [f"p{k}" for k in range(40)]
+    met = []
+    for n in (60, 120):
+        rows = [(i, " ".join(passage + [f"own{i}x{k}" for k in range(10)]), "s") for i in range(n)]
+        docs = documents(spark, rows)
+        marks = near.signed(docs, "doc_id", "text")
+        found = near.shared_rows(near.prefixes(docs, "text", spark.sparkContext.broadcast(near.sketch_of(marks))))
+        none = spark.createDataFrame([], "sig long, root long")
+        met.append(near.meetings(found, none).count())
+        assert sorted(tuple(r) for r in near.components(docs).collect()) == [(i, 46, i) for i in range(n)]
+    assert met[1] <= 4 * 120, met
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 30))) for _ in range(200)] + [None]
+    together = near.shingles(texts)
+    for t, own in zip(texts, together, strict=True):
+        assert (own == near.shingles([t])[0]).all() and len(own) == len(shingle_set(t or ""))
+
+
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(4)
+    words = list({"".join(rng.choices("abé日 x"[:4] + "z", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 300]))) for _ in range(3000)}) + ["a" * 255, "a" * 256, "a" * 257, "a" * 264]
+    h, counts = near.word_hashes([" ".join(words), None, "", " \x0b ", "Zz zZ"])
+    assert counts.tolist() == [len(words), 0, 0, 0, 2] and len(set(h[: len(words)].tolist())) == len(set(words)) and h[-1] == h[-2]
+    assert h[0] == near.word_hashes(["\t" + words[0]])[0][0]
+
+
+def test_names_of_the_caller_stay(spark):
+    names = ["mark", "__mark", "row", "keep_id", "id", "sig"]
+    docs = spark.createDataFrame([(i, f"a b c d e f {i // 2}", *names) for i in range(4)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    left = near.one_of_each(docs)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {0, 2} and left.first()["mark"] == "mark"
+
+
 def test_prefix_lengthens_with_cost():
     own = np.arange(1, 101, dtype=np.uint64) << np.uint64(64 - near.SKETCH_BITS)
     excess = np.zeros(1 << near.SKETCH_BITS)
