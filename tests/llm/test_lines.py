@@ -5,9 +5,13 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pytest
+
 sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import BLANKS, documents, odd_rows
 
+from pyspark.sql import functions as F
+
 from quillspark.llm import lines
 
 
@@ -47,23 +51,25 @@ def rows_with_lines():
     return rows
 
 
-def test_quality_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [4096, 0, 2])
+def test_quality_against_brute_force(spark, monkeypatch, limit):
     rows = rows_with_lines()
-    gone = above(rows, 3, 0.1)
+    gone = above(rows, 3, 0)
     assert gone
-    found = lines.quality(documents(spark, rows), least=3, share=0.1).collect()
+    monkeypatch.setattr(lines, "HOST_LINES", limit)
+    found = lines.quality(documents(spark, rows), least=3).collect()
     expected = sorted(((i, *measures(t, gone, h)) for i, t, h in rows), key=repr)
     assert sorted((tuple(r) for r in found), key=repr) == expected
-    kept = lines.keep_quality(documents(spark, rows), least=3, share=0.1)
+    kept = lines.keep_quality(documents(spark, rows), least=3)
     assert kept.columns == documents(spark, []).columns
-    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(((i, t) for i, t, h in rows if measures(t, gone, h)[6]), key=repr)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(((i, "\n".join(x for x in t.split("\n") if (h, key(x)) not in gone)) for i, t, h in rows if measures(t, gone, h)[6]), key=repr)
 
 
 def test_line_removal_against_brute_force(spark):
     rows = rows_with_lines()
     gone = above(rows, 3, 0.1)
     docs = documents(spark, rows)
-    found = lines.without_boilerplate(docs, least=3, share=0.1).select("doc_id", "text", "__lines", "__dropped").collect()
+    found = lines.without_boilerplate(docs, least=3, share=0.1, counts=("n_lines", "n_dropped")).select("doc_id", "text", "n_lines", "n_dropped").collect()
     expected = []
     for i, t, h in rows:
         own = [] if t is None else t.split("\n")
@@ -74,9 +80,24 @@ def test_line_removal_against_brute_force(spark):
 
 def test_copies_are_one_page(spark):
     rows = [(i, "the same page\nagain", "h") for i in range(50)]
-    assert all(r["__dropped"] == 0 for r in lines.without_boilerplate(documents(spark, rows)).collect())
+    assert all(r["n_dropped"] == 0 for r in lines.without_boilerplate(documents(spark, rows), counts=("n_lines", "n_dropped")).collect())
 
 
 def test_empty_tables(spark):
     assert lines.quality(documents(spark, [])).count() == 0
     assert lines.without_boilerplate(documents(spark, [])).count() == 0
+
+
+def test_names_of_the_caller_stay(spark):
+    names = ["row", "above", "kept", "left", "had", "lost", "host", "words", "__kept", "__dropped", "of"]
+    rows = [(1, "some words", "h", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    assert [tuple(r) for r in lines.without_boilerplate(docs).collect()] == rows
+    assert lines.keep_quality(docs).columns == docs.columns and lines.keep_quality(docs).count() == 0
+
+
+def test_distinct_words_of_a_long_text_repeat_no_window(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda x: x.cast("string")), " ")
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(text, F.lit(" 7 8 9 10 x")).alias("text"), F.lit("h").alias("source"))
+    found = lines.quality(docs).first()
+    assert (found["n_words"], found["n_repeat_words"]) == (200_005, 8)
