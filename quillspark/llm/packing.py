@@ -8,8 +8,9 @@ the queues' totals alone, in exact integer arithmetic: every task finds the wind
 windows and partitions, and no task walks the schedule from its start. When a queue with more than its natural share runs dry,
 a new phase deals the rest by the weights of the others.
 
-Sequences are full but for the last one. A source with less than 1/MAX_QUEUES of all tokens shares one queue with the others of
-that kind, as its share would be below a few tokens a window; nothing is left out.
+Sequences are full but for the last one. A source with less than 1/MAX_QUEUES of all tokens shares one queue with the others of that
+kind, as its share would be a few tokens a window. That queue is in order of how far each document lies in its own source (turned by a
+hash of the source, so that sources of one document spread out too): so every stretch of it holds its sources in their proportions.
 
 Null text: only the end id. Null source: a source of its own. Null or repeated ids: each row is packed. An empty table gives an
 empty result. Texts are encoded whole. Extra columns are ignored, whatever their names.
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, written
+from quillspark.llm.common import sliced, written
 
 LENGTH = 2048
 END_ID = 1
@@ -41,6 +42,8 @@ MAX_QUEUES = 256
 CACHE_WORDS = 500_000
 #: Windows whose shares are computed together.
 BLOCK = 256
+#: Rows of the shared queue that are summed up in one group, about.
+STRETCH_ROWS = 50_000
 
 
 #: The text rules of a tokenizer under which words can be encoded apart: fixed values of its file.
@@ -113,14 +116,13 @@ def encoder(path: str) -> Encoder:
 
 def encoded(docs: DataFrame, tokenizer: str, doc_id: str, text: str, source: str, end_id: int) -> DataFrame:
     """Per row: part, doc_id, source, n, before (tokens of the same source earlier in the part) and ids, as a written table."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, so_far = encoder(tokenizer), {}
         part = TaskContext.get().partitionId()
         end = np.array([end_id], encode.kind).tobytes()
-        for batch in batches:
+        for batch in sliced(batches, 2):
             ids = [x + end for x in encode([t or "" for t in batch.column(2).to_pylist()])]
             counts = [len(x) // encode.kind.itemsize for x in ids]
             before = []
@@ -167,10 +169,12 @@ class Schedule:
                 total = sum(take)
                 levels = [min(max(w * self.length - start, 0), total) for w in range(k * BLOCK, k * BLOCK + BLOCK + 1)]
                 base = [divmod(levels[0] * t, total) for t in take]
-                more = np.array([x - levels[0] for x in levels], np.int64)[:, None]
-                scaled = np.array([r for _, r in base], np.int64)[None, :] + more * np.array(take, np.int64)[None, :]
-                whole, deficit = np.divmod(scaled, total)
-                whole += np.array([f for f, _ in base], np.int64)[None, :]
+                # Products of tokens and totals leave 64 bits for very large corpora: exact integers of any size there.
+                kind = np.int64 if total * (levels[-1] - levels[0] + 1) < 2**62 else object
+                more = np.array([x - levels[0] for x in levels], kind)[:, None]
+                scaled = np.array([r for _, r in base], kind)[None, :] + more * np.array(take, kind)[None, :]
+                whole, deficit = scaled // total, scaled % total
+                whole = whole.astype(np.int64) + np.array([f for f, _ in base], np.int64)[None, :]
                 over = np.array(levels, np.int64) - whole.sum(axis=1)
                 rank = np.argsort(np.argsort(-deficit, axis=1, kind="stable"), axis=1, kind="stable")
                 out += whole + (rank < over[:, None])
@@ -224,23 +228,47 @@ def queues_of(rows: DataFrame, length: int, mixture: dict[str, float] | None) ->
     return names, sizes, weights
 
 
+def queued(rows: DataFrame, names: list[str | None], shared: bool) -> DataFrame:
+    """doc_id, source, queue, token (where the document starts in its queue), n and ids."""
+    queue = F.lit(len(names))
+    for k, name in enumerate(names):
+        queue = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(k)).otherwise(queue)
+    sums = rows.groupBy("part", "source").agg(F.sum("n").alias("n"))
+    # A group of the window holds one row for each part of the input.
+    parts = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("part").alias("of_part"), F.col("source").alias("of"), queue.alias("queue"), F.coalesce(F.sum("n").over(parts), F.lit(0)).alias("base"), "n")
+    totals = sums.groupBy(F.col("of").alias("of_total")).agg(F.sum("n").alias("total"))
+    sums = sums.join(totals, F.col("of").eqNullSafe(F.col("of_total"))) if shared else sums.withColumn("total", F.lit(None).cast("long"))
+    sums = written(sums.select("of_part", "of", "queue", "base", "total"), "queues")
+    placed = rows.join(sums, (F.col("part") == F.col("of_part")) & F.col("source").eqNullSafe(F.col("of")))
+    placed = placed.select("part", "doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("token"), "n", "ids", "total")
+    out = ["doc_id", "source", "queue", "token", "n", "ids"]
+    if not shared:
+        return placed.select(out)
+    # Stretches of the shared queue, each of about as many tokens of every source.
+    small = placed.where(F.col("queue") == len(names))
+    turn = F.shiftrightunsigned(F.xxhash64("source"), 11) * F.lit(2.0**-53)
+    small = small.withColumn("far", (F.col("token") + F.col("n") / 2) / F.col("total") + turn).withColumn("far", F.col("far") - F.floor("far"))
+    stretches = max(1, -(-rows.count() // STRETCH_ROWS))
+    small = written(small.withColumn("stretch", F.floor(F.col("far") * stretches)), "small")
+    inside = Window.partitionBy("stretch").orderBy("far", "source", "part", "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = small.groupBy("stretch").agg(F.sum("n").alias("n")).select(F.col("stretch").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each stretch
+    small = small.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(bases, F.col("stretch") == F.col("of"))
+    return placed.where(F.col("queue") < len(names)).select(out).unionByName(small.withColumn("token", F.col("base") + F.col("inside")).select(out))
+
+
 def pack(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, end_id: int = END_ID, mixture: dict[str, float] | None = None, with_ids: bool = True) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and, if wanted, source and ids (unsigned 32-bit).
 
     The documents are encoded once, into a table in the shared folder; queue positions are sums over its parts, so that the ids never
-    go through a shuffle while the sums of parts and sources are small, and are joined by part and source where they aren't.
+    go through a shuffle while the sums of parts and sources are small, and are joined by part and source where they aren't. Documents
+    of the shared queue are sorted by stretches of it.
     ``mixture`` maps sources to weights; without it the corpus' own proportions hold throughout.
     """
     rows = encoded(docs, tokenizer, doc_id, text, source, end_id)
     names, sizes, weights = queues_of(rows, length, mixture)
-    queue = F.lit(len(names))
-    for k, name in enumerate(names):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(k)).otherwise(queue)
-    sums = rows.groupBy("part", "source").agg(F.sum("n").alias("n")).withColumn("queue", queue)
-    order = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    sums = written(sums.select("part", F.col("source").alias("of"), "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "queues")
-    placed = rows.join(sums.withColumnRenamed("part", "of_part"), (F.col("part") == F.col("of_part")) & F.col("source").eqNullSafe(F.col("of")))
-    placed = placed.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("token"), "n", "ids")
+    placed = queued(rows, names, len(sizes) > len(names))
     kind = placed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import random
 import sys
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
@@ -74,3 +75,61 @@ def test_encoder_equals_the_tokenizer():
 
 def test_empty_table(spark):
     assert packing.pack(documents(spark, []), tokenizer_path()).count() == 0
+
+
+def walked(sizes, weights, length):
+    """Deficit round robin, window by window: each queue is owed its share, gets the whole tokens of what it is owed, and the largest deficits the rest."""
+    left, share = list(sizes), [Fraction(w) for w in weights]
+    start, done, table = 0, [0] * len(sizes), [[0] * len(sizes)]
+    phases = []
+    while any(left):
+        active = [q for q, x in enumerate(left) if x and share[q]] or [q for q, x in enumerate(left) if x]
+        rate = {q: share[q] or Fraction(left[q]) for q in active}
+        time = min(left[q] / rate[q] for q in active)
+        take = [min(left[q], int(time * rate[q])) if q in rate else 0 for q in range(len(left))]
+        phases.append(take)
+        left = [a - b for a, b in zip(left, take)]
+    while start < sum(sizes):
+        start = min(start + length, sum(sizes))
+        row, rest = [0] * len(sizes), start
+        for take in phases:
+            total = sum(take)
+            level = min(rest, total)
+            rest -= level
+            owed = [Fraction(level * t, total) for t in take]
+            got = [int(x) for x in owed]
+            for q in sorted(range(len(take)), key=lambda q: (got[q] - owed[q], q))[: level - sum(got)]:
+                got[q] += 1
+            row = [a + b for a, b in zip(row, got)]
+        table.append(row)
+    return np.array(table)
+
+
+@pytest.mark.parametrize("weights", [None, [1, 5, 2, 1]])
+def test_schedule_equals_a_walk(weights):
+    sizes = [1_000, 370, 9_001, 53]
+    plan = packing.Schedule(sizes, weights, 64)
+    assert (plan.before(0, plan.windows - 1) == walked(sizes, weights or sizes, 64)).all()
+
+
+def test_very_large_schedules_are_exact():
+    sizes = [18_000_000_000_000, 6_999_999_999_999, 3]
+    plan = packing.Schedule(sizes)
+    table = plan.before(plan.windows // 2, plan.windows // 2 + 3)
+    assert (np.diff(table.sum(axis=1)) == 2048).all()
+    assert np.abs(np.diff(table[:, 0]) - 2048 * 0.72).max() <= 2
+    edges, windows, offsets = plan.pieces(0, 9_000_000_000_000, 5_000)
+    assert edges[0] == 9_000_000_000_000 and edges[-1] == 9_000_000_005_000 and (np.diff(windows) > 0).all() and (offsets >= 0).all()
+
+
+def test_small_sources_are_mixed(spark, monkeypatch):
+    monkeypatch.setattr(packing, "STRETCH_ROWS", 40)
+    rows = [(i, "delta " * 300, "big") for i in range(900)] + [(1000 + i, "alpha " * 100, f"tiny{i // 20}") for i in range(60)]
+    found = packing.pack(documents(spark, rows), tokenizer_path(), with_ids=False, length=512).collect()
+    places = defaultdict(list)
+    for r in found:
+        if r["doc_id"] >= 1000:
+            places[(r["doc_id"] - 1000) // 20].append(r["sequence_id"])
+    last = max(r["sequence_id"] for r in found)
+    for own in places.values():  # each source is spread over the whole
+        assert all(sum(k * last / 4 <= x <= (k + 1) * last / 4 for x in own) >= len(own) / 8 for k in range(4))
