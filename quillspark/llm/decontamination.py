@@ -4,6 +4,11 @@ Texts are lower-cased in A-Z and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\
 an item; an item of fewer words, but not none, is one window. The automaton runs over word numbers (0 for a word of no item), so
 each document is scanned once; hits come back as word positions, which map to code points of the original text.
 
+A benchmark of more than BLOCK_BYTES of text makes an automaton for each block of items, as one of all items would outgrow a worker. Then
+a first pass looks every window of the documents up in a filter of all windows' hashes (FILTER_BITS bits for each, so that it is a small
+part of the benchmark), and only documents that pass, few but the contaminated ones, meet the automata. So the documents are read once
+for those that pass and once for the others, however large the benchmark is.
+
 Null texts and ids: a null text has no words; a null item id takes part as a window source and is left out of id lists.
 Empty tables: no documents give no rows, no items give clean rows. Repeated rows each get a row; ties do not arise.
 Long texts are scanned whole. Extra columns are ignored by ``contamination`` and kept by ``decontaminate``.
@@ -11,23 +16,26 @@ Long texts are scanned whole. Extra columns are ignored by ``contamination`` and
 
 from __future__ import annotations
 
-import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quillspark.llm.common import small_batches, written
+from quillspark.llm.common import folded, sliced, written
 
 WINDOW = 10
-#: Items go to the executors in blocks of so many bytes of text at most; each block is one automaton and one scan.
+#: Items go to the executors in blocks of so many bytes of text at most; each block is one automaton.
 BLOCK_BYTES = 8_000_000
+FILTER_BITS = 16
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same words before A-Z is folded
 _FOLD = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -55,14 +63,18 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not owners
 
-    def spans(self, words: list[bytes]) -> list[tuple[int, int, int]]:
-        """(first word, last word, item) of each occurrence of a window."""
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str | None]]:
+        """(first word, last word) of each occurrence of a window, and the names of the items that have any of these."""
         if self.empty or not words:
-            return []
+            return [], []
         ids = tuple([*map(self.number.get, words, [0] * len(words))])
         if not any(ids):
-            return []
-        return [(end - n + 1, end, item) for end, (n, own) in self.automaton.iter(ids) for item in own]
+            return [], []
+        spans, own = [], set()
+        for end, (n, owners) in self.automaton.iter(ids):
+            spans.append((end - n + 1, end))
+            own.add(owners)
+        return spans, [self.names[i] for i in {i for owners in own for i in owners}]
 
 
 _MATCHERS: dict[str, Matcher] = {}
@@ -88,108 +100,132 @@ def item_blocks(spark: SparkSession, items: DataFrame, item_id: str, text: str,
         yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
 
 
-def _scanned(batch: pa.RecordBatch, text: str, matcher: Matcher) -> tuple[list[int], list[list[tuple]]]:
-    """Word counts, and hits (first word, last word, item, start, end), of the rows of a batch."""
-    counts, hits = [], []
-    for i, (t, old) in enumerate(zip(batch.column(batch.schema.names.index(text)).to_pylist(), _carried(batch), strict=True)):
-        words = words_of(t)
-        counts.append(len(words))
-        spans = matcher.spans(words)
-        if spans:
-            where = [m.span() for m in _WORD.finditer(t)]
-            old = old + [(a, b, matcher.names[m], where[a][0], where[b][1]) for a, b, m in spans]
-        hits.append(old)
-    return counts, hits
-
-
-_HITS = "array<struct<first:bigint,last:bigint,item:string,start:bigint,end:bigint>>"
-_HIT_KEYS = ("first", "last", "item", "start", "end")
-
+class Filter:
+    """A bit for each of many hashes of windows; what isn't set occurs in no item."""
 
-def _carried(batch: pa.RecordBatch) -> list[list[tuple]]:
-    """Hits of earlier blocks of items."""
-    if "__hits" not in batch.schema.names:
-        return [[]] * batch.num_rows
-    return [[tuple(h[k] for k in _HIT_KEYS) for h in row] for row in batch.column(batch.schema.names.index("__hits")).to_pylist()]
+    def __init__(self, bits: int) -> None:
+        self.bits, self.field, self.sizes = bits, np.zeros(-(-bits // 8), np.uint8), set()
 
+    @staticmethod
+    def _hashes(words: list[bytes], n: int) -> np.ndarray:
+        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        s = np.full(max(0, len(h) - n + 1), n, np.uint64)
+        for j in range(n if len(s) else 0):
+            s = (s ^ h[j : len(h) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+            s ^= s >> np.uint64(29)
+        return s
 
-def scan(docs: DataFrame, items: DataFrame, finish, schema, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of ``finish(batch, word counts, hits)`` for each batch of documents, hits as (first word, last word, item, start, end).
+    def add(self, words: list[bytes], window: int) -> None:
+        n = min(window, len(words))
+        if n:
+            self.sizes.add(n)
+            at = (self._hashes(words, n) % np.uint64(self.bits)).astype(np.int64)
+            np.bitwise_or.at(self.field, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
-    One block of items is one narrow pass without a shuffle. Each further block is another pass over a written table.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    return _chain(docs, item_blocks(spark, items, item_id, item_text, block_bytes), finish, schema, text, window)
+    def may_hit(self, words: list[bytes]) -> bool:
+        for n in self.sizes:
+            at = (self._hashes(words, n) % np.uint64(self.bits)).astype(np.int64)
+            if (self.field[at >> 3] >> (at & 7).astype(np.uint8) & 1).any():
+                return True
+        return False
 
 
-def _chain(docs: DataFrame, blocks: Iterator[list], finish, schema, text: str, window: int) -> DataFrame:
-    df, block = docs, next(blocks)
-    while True:
-        following = next(blocks, None)
-        sent, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-        last = following is None
+_SPAN = StructType([StructField(k, LongType()) for k in ("first", "last", "start", "end")])
+_FOUND = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(StringType()))])
+_KINDS = [pa.int64(), pa.list_(pa.struct([pa.field(k, pa.int64()) for k in ("first", "last", "start", "end")])), pa.list_(pa.string())]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name, last=last) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(sent, name, window)
-            for batch in batches:
-                counts, hits = _scanned(batch, text, matcher)
-                if last:
-                    yield finish(batch, counts, hits)
-                else:
-                    rows = [[dict(zip(_HIT_KEYS, h, strict=True)) for h in row] for row in hits]
-                    kind = pa.list_(pa.struct([pa.field(k, pa.string() if k == "item" else pa.int64()) for k in _HIT_KEYS]))
-                    names = [n for n in batch.schema.names if n != "__hits"]
-                    yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(n)) for n in names), pa.array(rows, kind)], names=[*names, "__hits"])
 
-        if last:
-            return df.mapInArrow(run, schema)
-        carried = docs.withColumn("__hits", F.array().cast(_HITS)).schema
-        df, block = written(df.mapInArrow(run, carried), "scanned"), following
+def _found(text: str | None, matcher: Matcher) -> tuple[int, list[dict], list[str | None]]:
+    """Word count, hits merged where they touch or overlap (words, inclusive, and code points), and items."""
+    words = words_of(text)
+    spans, items = matcher.hits(words)
+    if not spans:
+        return len(words), [], []
+    where = [m.span() for m in _WORD.finditer(text)]
+    merged = union([(a, b + 1) for a, b in spans])
+    return len(words), [{"first": a, "last": b - 1, "start": where[a][0], "end": where[b - 1][1]} for a, b in merged], items
+
+
+def _with(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+    """The batch's columns but its first one, the text, with what was found in it."""
+    return pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array([f[k] for f in found], _KINDS[k]) for k in range(3))], names=[*batch.schema.names[1:], *_FOUND.names])
+
+
+def _scan(rows: DataFrame, sent: Broadcast, name: str, window: int) -> DataFrame:
+    """What one block's automaton finds in the first column, beside the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = _matcher(sent, name, window)
+        for batch in sliced(batches, 0):
+            yield _with(batch, [_found(t, matcher) for t in batch.column(0).to_pylist()])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *_FOUND.fields]))
+
+
+def scan(rows: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """n_words, spans and items of the texts in the first column, beside the other columns."""
+    spark = rows.sparkSession
+    blocks = item_blocks(spark, items, item_id, item_text, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    send = spark.sparkContext.broadcast
+    if second is None:
+        return _scan(rows, send(first), uuid.uuid4().hex, window)
+    # A window begins with a word, which has two characters at least with what parts it from the next one.
+    sieve = Filter(max(64, FILTER_BITS * (items.agg(F.sum(F.length(item_text))).first()[0] or 0) // 2))
+    for block in item_blocks(spark, items, item_id, item_text, block_bytes):
+        for _, text in block:
+            sieve.add(words_of(text), window)
+    filtered = send(sieve)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0):
+            yield batch.filter(pa.array([filtered.value.may_hit(words_of(t)) for t in batch.column(0).to_pylist()], pa.bool_()))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0):
+            words = [*map(words_of, batch.column(0).to_pylist())]
+            clean = [not filtered.value.may_hit(w) for w in words]
+            yield _with(batch.filter(pa.array(clean, pa.bool_())), [(len(w), [], []) for w, c in zip(words, clean, strict=True) if c])
+
+    text, *rest = rows.columns
+    some = written(rows.mapInArrow(passed, rows.schema).select(F.monotonically_increasing_id().alias("id"), F.struct(*rows.columns).alias("row")), "passed")
+    whole = None
+    for block in chain([first, second], blocks):
+        found = written(_scan(some.select(F.col("row")[text].alias("text"), "id"), send(block), uuid.uuid4().hex, window), "hits")
+        whole = found if whole is None else whole.unionByName(found)
+    each = whole.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    hit = some.join(each, "id").select(*[F.col("row")[c].alias(c) for c in rest], *_FOUND.names)
+    return hit.unionByName(rows.mapInArrow(others, StructType([*rows.schema.fields[1:], *_FOUND.fields])))
 
 
 def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and char_spans, the merged hits in code points."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.transform(scan, items, _digest, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, char_spans array<struct<start:bigint,end:bigint>>", **how)
-
-
-def _digest(batch: pa.RecordBatch, counts: list[int], hits: list[list[tuple]]) -> pa.RecordBatch:
-    n_hit, n_items, shas, merged = [], [], [], []
-    for row in hits:
-        ids = sorted({h[2] for h in row if h[2] is not None})
-        n_hit.append(covered([h[:2] for h in row]))
-        n_items.append(len(ids))
-        shas.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        merged.append([{"start": a, "end": b} for a, b in union([h[3:] for h in row])])
-    spans = pa.array(merged, pa.list_(pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())])))
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), spans],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "char_spans"],
-    )
-
-
-def _clean(batch: pa.RecordBatch, counts: list[int], hits: list[list[tuple]]) -> pa.RecordBatch:
-    names = [n for n in batch.schema.names if n != "__hits"]
-    kept = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(n)) for n in names], names=names)
-    return kept.filter(pa.array([not row for row in hits], pa.bool_()))
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    rows = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    found = scan(rows, items, **how)
+    # Hits of several automata may overlap: they are merged in order, each from where those before it end.
+    names = F.sort_array(F.array_distinct(F.filter("items", lambda i: i.isNotNull())))
+    spans = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["first"].alias("first"), s["last"].alias("last"))))
+    kind = "array<struct<start:bigint,end:bigint,first:bigint,last:bigint>>"
+    done = F.struct(*[F.lit(2**62).alias(n) for n in ("start", "end", "first", "last")])
+    none = F.struct(*[F.lit(-1).cast("long").alias(n) for n in ("start", "end", "first", "last")])
+
+    def step(held: Column, s: Column) -> tuple[Column, Column]:
+        apart = s["first"] > held["last"] + 1
+        longer = F.struct(held["start"].alias("start"), F.greatest(held["end"], s["end"]).alias("end"), held["first"].alias("first"), F.greatest(held["last"], s["last"]).alias("last"))
+        return F.when(apart | (held["first"] < 0), s).otherwise(longer), F.when(apart & (held["first"] >= 0), F.array(held)).otherwise(F.array().cast(kind))
+
+    merged = F.when(F.size("spans") > 1, folded(F.concat(spans, F.array(done).cast(kind)), none, step, kind)).otherwise(spans)
+    df = found.select("doc_id", "n_words", merged.alias("spans"), names.alias("items"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
+    chars = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return df.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), chars.alias("char_spans"))
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", **how) -> DataFrame:
     """The documents, all columns as they are, without those in which a window of the benchmark occurs."""
-    return docs.transform(scan, items, _clean, docs.schema, **how)
-
-
-def covered(spans: list[tuple[int, int]]) -> int:
-    """How many positions lie in the closed spans."""
-    if not spans:
-        return 0
-    marks = np.zeros(max(b for _, b in spans) + 2, np.int64)
-    for a, b in spans:
-        marks[a] += 1
-        marks[b + 1] -= 1
-    return int((np.cumsum(marks) > 0).sum())
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")
+    found = scan(docs.select(F.col(text).alias("text"), others, F.col(text).alias("whole")), items, **how).where(F.size("spans") == 0)
+    return found.select(*[F.col("whole").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

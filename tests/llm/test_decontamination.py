@@ -57,6 +57,15 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(clean, key=repr)
 
 
+@pytest.mark.parametrize("block", [10_000_000, 200])
+def test_names_of_the_caller_stay(spark, block):
+    names = ["__hits", "row", "spans", "id", "whole", "items", "n_words"]
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j k" if i else "other words", *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "b c d e f g h i j k " * 12)], "item_id long, text string")
+    left = D.decontaminate(docs, items, block_bytes=block)
+    assert [tuple(r) for r in left.collect()] == [(0, "other words", *names)] and left.columns == docs.columns
+
+
 def test_empty_tables(spark):
     docs, none = documents(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(docs, none).count() == 0
