@@ -1,11 +1,12 @@
 """Toxicity by a classifier chain: linear models for categories in sequence, each fed the earlier categories' probabilities.
 
-Features are words and the beginnings of words (so that stems of invented or inflected forms count), present or not, plus a few
-ratios of the text. The FEATURES most telling ones are chosen, as many for each category, by their
-document frequencies under its labels; the counting is a Spark job over the sample. The models are trained on a bounded sample of the labelled rows: SAMPLE of them at most (expected), even
-over the label patterns and weighted back to their shares. Earlier probabilities enter training as out-of-fold predictions, so that
-later models see them as uncertain as they will be; decision thresholds come from out-of-fold predictions as well. Scoring reads every
-document whole and is one narrow pass; what is sent to the executors has a fixed size.
+Categories are conditions on the columns of the labels, in the order of the chain. Features are words and the beginnings of words (so
+that stems of invented or inflected forms count), present or not, plus a few ratios of the text. The FEATURES most telling ones are
+chosen, as many for each category, by their document frequencies under its labels; the counting is a Spark job over the sample. The
+models are trained on a bounded sample of the labelled rows: SAMPLE of them at most (expected), even over the label patterns and weighted
+back to their shares. Earlier probabilities enter training as out-of-fold predictions, so that later models see them as uncertain as they
+will be; decision thresholds come from out-of-fold predictions as well. A fold's predictions come from features chosen and models fitted
+without its rows. Scoring reads every document whole and is one narrow pass; what is sent to the executors has a fixed size.
 
 Nulls: a null text has no features; rows of labels with a null id or label are left out. Repeated rows are scored one by one.
 Without labelled rows of both kinds a category has the prior probability. Empty tables give empty results. Extra columns are ignored.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, written
+from quillspark.llm.common import SLICE_BYTES, sliced, written
 
 SAMPLE = 8_000
 FEATURES = 2_000
@@ -140,7 +141,7 @@ def fit(data: Data, dense: np.ndarray, y: np.ndarray, on: np.ndarray, steps: int
 @dataclass
 class Chain:
     categories: list[str]
-    chosen: list[int]
+    chosen: list[int]  # features of the final models
     models: list[Linear] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
     out_of_fold: np.ndarray | None = None
@@ -155,15 +156,24 @@ class Chain:
         return np.column_stack(out)
 
 
-def train(chain: Chain, data: Data, labels: np.ndarray, folds: np.ndarray) -> Chain:
-    """Fit the chain; ``labels`` has a column for each category."""
+def _only(data: Data, columns: np.ndarray) -> Data:
+    """The data with the given columns alone, renumbered in their order."""
+    place = np.full(data.n_features, -1)
+    place[columns] = np.arange(len(columns))
+    on = place[data.columns] >= 0
+    return Data(data.rows[on], place[data.columns[on]], data.dense, data.weights, len(columns))
+
+
+def train(chain: Chain, data: Data, labels: np.ndarray, folds: np.ndarray, own: list[np.ndarray]) -> Chain:
+    """Fit the chain; ``labels`` has a column for each category, ``own`` the columns of each fold's features and last those of the final models."""
     dense, everything, held = data.dense, np.ones(len(labels), bool), []
+    parts = [_only(data, columns) for columns in own]
     for k in range(labels.shape[1]):
         y, p = labels[:, k].astype(float), np.zeros(len(labels))
         for fold in range(FOLDS):
             out = folds == fold
-            p[out] = _sigmoid(fit(data, dense, y, ~out).logits(data, dense))[out]
-        chain.models.append(fit(data, dense, y, everything))
+            p[out] = _sigmoid(fit(parts[fold], dense, y, ~out).logits(parts[fold], dense))[out]
+        chain.models.append(fit(parts[-1], dense, y, everything))
         chain.thresholds.append(_threshold(p, y, data.weights))
         held.append(p)
         dense = np.column_stack([dense, p])
@@ -182,19 +192,20 @@ def _threshold(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     return float((p[order[best]] + below) / 2)
 
 
-#: Categories in the chain's order, as conditions on the labels.
-CATEGORIES: dict[str, Column | None] = {"low_quality": None, "toxic": None, "toxic_and_low": None}
-
-
 def conditions() -> dict[str, Column]:
+    """Categories that the labels quality and toxic can tell: they hold no finer kinds of toxicity."""
     low, toxic = F.col("quality") == 0, F.col("toxic") == 1
-    return dict(zip(CATEGORIES, (low, toxic, toxic & low), strict=True))
+    return {"low_quality": low, "toxic": toxic, "toxic_and_low": toxic & low}
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
-    """Written table of key, text, y (an array of 0 and 1) and weight: about ``size`` labelled rows, by a hash of the id."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & F.col("toxic").isNotNull())
-    known = known.select("doc_id", F.array(*[c.cast("int") for c in conditions().values()]).alias("y"))
+def _fold(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(FOLDS)).cast("int")
+
+
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, size: int, categories: dict[str, Column]) -> DataFrame:
+    """Written table of key, text, y (an array of 0 and 1), weight and fold: about ``size`` labelled rows, by a hash of the id."""
+    known = labels.select("doc_id", F.array(*[c.cast("int") for c in categories.values()]).alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & ~F.exists("y", lambda v: v.isNull()))
     patterns = {tuple(r["y"]): r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one for each label pattern
     each = max(1, size // max(1, len(patterns)))
     rate = F.lit(0.0)
@@ -204,32 +215,50 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, size: int
     drawn = known.withColumn("rate", rate).where(u < F.col("rate"))
     drawn = written(drawn.select(F.col("doc_id").alias("key"), "y", F.try_divide(F.lit(1.0), F.col("rate")).alias("weight")), "drawn")
     body = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("text"))
-    return written(body.join(F.broadcast(drawn), F.col("own_id") == F.col("key")).select("key", "text", "y", "weight"), "sample")
+    return written(body.join(F.broadcast(drawn), F.col("own_id") == F.col("key")).select("key", "text", "y", "weight", _fold(F.col("key")).alias("fold")), "sample")
 
 
-def choose(rows: DataFrame, n: int) -> list[int]:
-    """For each category the features that speak most for it, by the log-odds of their document frequencies in standard errors."""
+def choose(rows: DataFrame, n: int, k: int) -> list[list[int]]:
+    """For each fold, from the rows of the others, and last from all rows: the features that speak most for each of k categories, by the
+    log-odds of their document frequencies in standard errors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        held, size = [], 0
+        for batch in sliced(batches, 0):
+            for t, y, fold in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 own = np.fromiter({h for p in set((t or "").split()) for h in word_features(p)}, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), *[pa.array(np.full(len(own), v, np.int64)) for v in y]], names=["h", *(f"y{i}" for i in range(len(y)))])
-
-    k = len(CATEGORIES)
-    counted = rows.select("text", "y").mapInArrow(run, "h bigint, " + ", ".join(f"y{i} bigint" for i in range(k)))
-    counted = counted.groupBy("h").agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(k)]).where("n >= 5")
-    counted = written(counted, "features")
-    sizes = rows.agg(F.count("*").alias("n"), *[F.sum(F.col("y")[i]).alias(f"y{i}") for i in range(k)]).first()
-    usable = [i for i in range(k) if 0 < (sizes[f"y{i}"] or 0) < sizes["n"]]
-    chosen: dict[int, None] = {}
-    for i in usable:
-        a, b = F.col(f"y{i}"), F.col("n") - F.col(f"y{i}")
-        pos, neg = float(sizes[f"y{i}"]), float(sizes["n"] - sizes[f"y{i}"])
-        odds = F.ln((a + 0.5) / F.lit(pos + 1)) - F.ln((b + 0.5) / F.lit(neg + 1))
-        top = counted.select("h", (odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).alias("gain")).orderBy(F.desc("gain"), "h").limit(n // len(usable))
-        chosen.update(dict.fromkeys(r["h"] for r in top.collect()))
-    return [*chosen]
+                held.append((own, sum(v << i for i, v in enumerate(y)), fold))
+                size += own.nbytes
+                if size > SLICE_BYTES:
+                    yield _spread(held)
+                    held, size = [], 0
+        if held:
+            yield _spread(held)
+
+    def _spread(held: list[tuple]) -> pa.RecordBatch:
+        lengths = [len(own) for own, _, _ in held]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([own for own, _, _ in held])), *(pa.array(np.repeat([x[c] for x in held], lengths).astype(np.int32)) for c in (1, 2))], names=["h", "y", "fold"])
+
+    says = lambda y, i: F.shiftright(y, i).bitwiseAND(F.lit(1))
+    counted = rows.select("text", "y", "fold").mapInArrow(run, "h bigint, y int, fold int")
+    sums = [F.sum((F.col("fold") == f).cast("int") * (F.lit(1) if i < 0 else says(F.col("y"), i))).alias(f"f{f}_{i}") for f in range(FOLDS) for i in range(-1, k)]
+    counted = counted.groupBy("h").agg(*sums)
+    counted = written(counted.where(sum(F.col(f"f{f}_-1") for f in range(FOLDS)) >= 5), "features")
+    sizes = {r["fold"]: r for r in rows.groupBy("fold").agg(F.count("*").alias("-1"), *[F.sum(F.col("y")[i]).alias(str(i)) for i in range(k)]).collect()}  # a row for each fold
+    out = []
+    for left_out in [*range(FOLDS), None]:
+        on = [f for f in range(FOLDS) if f != left_out]
+        size = {i: sum(sizes[f][str(i)] for f in on if f in sizes) for i in range(-1, k)}
+        count = {i: sum(F.col(f"`f{f}_{i}`") for f in on) for i in range(-1, k)}
+        usable = [i for i in range(k) if 0 < size[i] < size[-1]]
+        chosen: dict[int, None] = {}
+        for i in usable:
+            a, b = count[i], count[-1] - count[i]
+            odds = F.ln((a + 0.5) / F.lit(size[i] + 1.0)) - F.ln((b + 0.5) / F.lit(size[-1] - size[i] + 1.0))
+            top = counted.where(count[-1] >= 5).select("h", (odds / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))).alias("gain")).orderBy(F.desc("gain"), "h").limit(n // len(usable))
+            chosen.update(dict.fromkeys(r["h"] for r in top.collect()))
+        out.append([*chosen])
+    return out
 
 
 def _data(found: list[tuple[list[int], list[float]]], weights: np.ndarray, n_features: int) -> Data:
@@ -238,36 +267,38 @@ def _data(found: list[tuple[list[int], list[float]]], weights: np.ndarray, n_fea
     return Data(rows, columns, np.array([d for _, d in found], float).reshape(len(found), N_RATIOS), weights, n_features)
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SAMPLE, n_features: int = FEATURES) -> Chain:
-    small_batches(docs.sparkSession)
-    rows = sample(docs, labels, doc_id, text, size)
-    chosen = choose(rows, n_features)
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SAMPLE, n_features: int = FEATURES, categories: dict[str, Column] | None = None) -> Chain:
+    """The chain for ``categories``, conditions on the labels' columns by name; by default those of ``conditions``."""
+    categories = categories or conditions()
+    rows = sample(docs, labels, doc_id, text, size, categories)
+    lists = choose(rows, n_features, len(categories))
+    union = [*dict.fromkeys(h for own in lists for h in own)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(chosen)
-        for batch in batches:
+        features = Features(union)
+        for batch in sliced(batches, 1):
             found = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.list_(pa.float64())), batch.column(2), batch.column(3)],
-                names=["key", "columns", "dense", "y", "weight"],
+                [batch.column(0), pa.array([f for f, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.list_(pa.float64())), *batch.columns[2:]],
+                names=["key", "columns", "dense", "y", "weight", "fold"],
             )
 
     kind = rows.schema["key"].dataType.simpleString()
-    drawn = rows.mapInArrow(run, f"key {kind}, columns array<int>, dense array<double>, y array<int>, weight double")
+    drawn = rows.mapInArrow(run, f"key {kind}, columns array<int>, dense array<double>, y array<int>, weight double, fold int")
     drawn = sorted(drawn.collect(), key=lambda r: (str(r["key"]), r["columns"]))  # bounded by the sample
-    chain = Chain([*CATEGORIES], chosen)
+    chain = Chain([*categories], lists[-1])
     if not drawn:
-        chain.models = [Linear(np.zeros(0), np.zeros(N_RATIOS + k), -35.0) for k in range(len(CATEGORIES))]
-        chain.thresholds = [1.0] * len(CATEGORIES)
+        chain.models = [Linear(np.zeros(0), np.zeros(N_RATIOS + k), -35.0) for k in range(len(categories))]
+        chain.thresholds = [1.0] * len(categories)
         return chain
-    data = _data([(r["columns"], r["dense"]) for r in drawn], np.array([r["weight"] for r in drawn]), len(chosen))
-    folds = np.array([xxhash.xxh3_64_intdigest(str(r["key"])) % FOLDS for r in drawn])
-    return train(chain, data, np.array([r["y"] for r in drawn]), folds)
+    data = _data([(r["columns"], r["dense"]) for r in drawn], np.array([r["weight"] for r in drawn]), len(union))
+    place = {h: i for i, h in enumerate(union)}
+    own = [np.array([place[h] for h in x], np.int64) for x in lists]
+    return train(chain, data, np.array([r["y"] for r in drawn]), np.array([r["fold"] for r in drawn]), own)
 
 
 def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, p_<category> and, for each category, whether it is set."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(chain)
     names = chain.categories
@@ -275,9 +306,7 @@ def score(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = sent.value
         features = Features(chain.chosen)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 1):
             data = _data([features(t) for t in batch.column(1).to_pylist()], np.ones(batch.num_rows), len(chain.chosen))
             p = chain.predict(data)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, k]) for k in range(len(names))), *(pa.array(p[:, k] > chain.thresholds[k]) for k in range(len(names)))], names=["doc_id", *(f"p_{n}" for n in names), *names])
