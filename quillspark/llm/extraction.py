@@ -3,9 +3,9 @@
 Each page becomes lines (blocks of text). Pages of a host are put in the order of their URL paths; each is paired with the nearer of
 the last page before and the first page behind whose lines aren't all the same as its own (longest common path, then the earlier one). The lines of a pair are aligned by a
 longest common subsequence, and lines that both have are deleted: menus, notices and footers repeat from page to page. Two exact
-rules on the markup follow, since pages also share sentences and have boilerplate of their own: lines inside an article or main
-element are never deleted by differencing, and are the whole text where there is such an element; lines inside elements whose name
-or class marks them as boilerplate are dropped.
+rules on the markup go with it, since pages also share sentences and have boilerplate of their own, which no other page has: lines inside
+an article or main element are never deleted by differencing, and are the whole text where there is such an element; lines inside
+elements whose name or class marks them as boilerplate are dropped.
 
 A host with more than its share of all pages is cut into ranges of path and id, so that no task holds a whole host. Each range is also
 given the nearest different pages beyond its edges, found by a pass over such hosts before; so pairs don't depend on the cuts. Within a
@@ -23,14 +23,16 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillspark.llm.common import ARROW_ROWS, small_batches, written
+from quillspark.llm.common import SLICE_BYTES, sliced, written
 
 #: A part of a host has about so many pages, or the PARTS-th of all pages where that is more; so there are PARTS heavy hosts at most.
 PART_PAGES, PARTS = 500, 10_000
@@ -154,18 +156,35 @@ def _align(x: list[tuple[int, int]], y: list[int]) -> set[int]:
     if len(x) == 1:
         return {x[0][0]} if x[0][1] in y else set()
     half = len(x) // 2
-    left, right = _lengths([h for _, h in x[:half]], y), _lengths([h for _, h in x[half:]][::-1], y[::-1])
-    cut = max(range(len(y) + 1), key=lambda k: left[k] + right[len(y) - k])
+    left, right = lengths([h for _, h in x[:half]], y), lengths([h for _, h in x[half:]][::-1], y[::-1])
+    cut = int(np.argmax(left + right[::-1]))
     return _align(x[:half], y[:cut]) | _align(x[half:], y[cut:])
 
 
-def _lengths(x: list[int], y: list[int]) -> list[int]:
-    row = [0] * (len(y) + 1)
+def lengths(x: list[int], y: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with each prefix of y.
+
+    One bit of a large integer stands for each line of y, and a line of x updates all of them by an addition, so that 64 comparisons are
+    one step of the machine.
+    """
+    places: dict[int, list[int]] = {}
+    for j, h in enumerate(y):
+        places.setdefault(h, []).append(j)
+
+    @lru_cache(maxsize=64)
+    def matches(h: int) -> int:
+        bits = np.zeros(len(y), np.uint8)
+        bits[places[h]] = 1
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    full = (1 << len(y)) - 1
+    open_ = full
     for h in x:
-        diagonal = 0
-        for j, g in enumerate(y, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if h == g else max(row[j], row[j - 1])
-    return row
+        if h in places:
+            own = open_ & matches(h)
+            open_ = ((open_ + own) | (open_ - own)) & full
+    bits = np.unpackbits(np.frombuffer(open_.to_bytes(-(-len(y) // 8), "little"), np.uint8), bitorder="little")[: len(y)]
+    return np.concatenate([[0], np.cumsum(bits == 0)])
 
 
 _HASHED = "keys array<bigint>, kinds binary, body binary"
@@ -226,7 +245,6 @@ def _edges(light: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     spark = pages.sparkSession
-    small_batches(spark)
     u = F.coalesce(F.col(url).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
@@ -245,7 +263,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = sent.value
-        for batch in batches:
+        for batch in sliced(batches, 4):
             keys, kinds, bodies = [], [], []
             for page in batch.column(4).to_pylist():
                 lines = lines_of(page)
@@ -294,12 +312,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     before, run, same = run[-1] if here else None, [page], {(page["kinds"], page["body"]): (page["kinds"], page["body"])}
             yield from paired(before, run, None)
 
-        id_type, done = arrow_id, []
+        id_type, done, size = arrow_id, [], 0
         for row in rows_of():
             done.append(row)
-            if len(done) == ARROW_ROWS:
+            size += 100 + sum(map(len, row[1]))
+            if size > SLICE_BYTES:
                 yield out(done)
-                done = []
+                done, size = [], 0
         yield out(done)
 
     arrow_id = to_arrow_type(rows.schema["page_id"].dataType)
