@@ -27,7 +27,7 @@ _ABOVE = """
 
 ORACLES["op6_quality"] = (
     "WITH"
-    + _ABOVE.format(least=20, share=0.01)
+    + _ABOVE.format(least=20, share=0)
     + """,
      w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
      t AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g

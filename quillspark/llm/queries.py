@@ -43,8 +43,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text, n_lines and n_dropped."""
-    found = lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("doc_id", "text", found["__lines"].alias("n_lines"), found["__dropped"].alias("n_dropped"))
+    found = lines.without_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), counts=("n_lines", "n_dropped"))
+    return found.drop("source")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40), sharding.even_tree(41)).drop("region", "rack")
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.even_tree(40), sharding.even_tree(41))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
