@@ -8,27 +8,23 @@ treated as the stages' operators state.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, lines, near, packing
-from quillspark.llm.common import table, written
+from quillspark.llm.common import passing, table, written
 from quillspark.llm.queries import tokenizer_path
 
-#: Packing cuts by tokens and so has no SQL; the run is tested against a brute-force version.
+#: Packing cuts by tokens and so has no SQL; the stages and the run are tested against brute-force versions.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return lines.keep_quality(docs)
+    """Documents that the rules keep, without the lines over their host's limit."""
+    return lines.keep_quality(docs, size="n_chars" if "n_chars" in docs.columns else None)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their sites' boilerplate lines."""
-    found = lines.without_boilerplate(docs)
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    return lines.without_boilerplate(docs, size="n_chars" if "n_chars" in docs.columns else None)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +54,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with passing(spark) as keep:  # a stage's own tables go once its result is written
+            docs = keep(written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)
