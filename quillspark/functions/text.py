@@ -88,3 +88,10 @@ def number_list(text: Column) -> Column:
     span = F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
     each = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2})\b"), F.lit(1)), lambda x: x.cast("int"))
     return F.when(low != "", span).otherwise(each)
+
+
+def escape(text: Column) -> Column:
+    """The five characters that mark up HTML as their references."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text

@@ -49,20 +49,6 @@ def first_match(value: Column, rules: list[tuple[str, str]], default: str | None
     return out
 
 
-def cascade(text: Column) -> Column:
-    """A format by the first rule that holds; the rules fit the fixtures' prose."""
-    f = fold(text)
-    syntax = F.size(F.array_distinct(F.regexp_extract_all(f, F.lit(r"\b(def|return|class|for|if)\b"), F.lit(0))))
-    return (
-        F.when(F.contains(f, F.lit("the is")), "statement")
-        .when(text.rlike(r"^\s*([A-Z][a-z]+ ){2}"), "heading")
-        .when(syntax >= 2, "code")
-        .when(f.rlike(r"^[0-9\s.,%-]*[0-9][0-9\s.,%-]*$"), "calculation")
-        .when(f.rlike(r"(?<![A-Za-z0-9_])(was|figure|table)(?![A-Za-z0-9_])"), "interpretation")
-        .otherwise("conceptual")
-    )
-
-
 def negative(text: Column, words: list[str], folded_pattern: str, tail: int = 400) -> Column:
     """Upper-case words near the end, whole by ASCII rules, or a pattern in the folded text."""
     whole = rf"(?<![A-Za-z0-9_])({'|'.join(words)})(?![A-Za-z0-9_])"

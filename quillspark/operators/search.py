@@ -9,14 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fold, let
+from quillspark.operators.statistics import at_place
 
 
 @dataclass(frozen=True)
 class FilterSpec:
-    """Columns with their allowed values (none: any), and terms that must all occur."""
+    """Columns with their allowed values (none: any), array columns with values of which one must be there, and terms that must all occur."""
 
     any_of: dict[str, list[str]] = field(default_factory=dict)
     terms: str = ""
+    overlap: dict[str, list[str]] = field(default_factory=dict)
+    kind: str = "all"
+    flagged: bool = False
+    seed: int | None = None
 
 
 def all_terms(folded: Column, query: str) -> Column:
@@ -58,9 +63,23 @@ def sample(df: DataFrame, key: str, seed: int, n: int, first: Column | None = No
 
 
 def daily(df: DataFrame, key: str, day: int) -> DataFrame:
-    """The row at place (day * 7919) mod n in the order of the key: ranges are counted first, and one of them is ranked."""
-    n = df.count()
-    if not n:
-        return df.limit(0)
-    place = day * 7919 % n
-    return df.orderBy(key).offset(place).limit(1)
+    """The rows whose numeric key is at place (day * 7919) mod n in the order of the keys, found by counting ranges of keys."""
+    found = at_place(df.select(F.lit(0).alias("all"), key), "all", key, F.pmod(F.lit(day * 7919), F.col("n")))
+    return df.join(found.select(F.col(key).cast(df.schema[key].dataType).alias("found")), F.col(key) == F.col("found"), "left_semi")
+
+
+def filtered(df: DataFrame, spec: FilterSpec, folded: Column, key: str, flags: DataFrame | None = None) -> DataFrame:
+    """Rows that pass every facet of the filter: kind, values, overlap of topics, flags (rows of ``flags`` by key), and all terms.
+
+    Rows are never annulled. With a seed they are put in a shuffled order that depends on it and the key alone.
+    """
+    out = df.where(~F.coalesce(F.col("annulled"), F.lit(False)))
+    if spec.kind != "all":
+        out = out.where(F.col("kind") == spec.kind)
+    for column, values in spec.overlap.items():
+        if values:
+            out = out.where(F.arrays_overlap(column, F.array(*map(F.lit, values))))
+    if spec.flagged and flags is not None:
+        out = out.join(flags.select(key), key, "left_semi")
+    out = apply(out, spec, folded)
+    return out if spec.seed is None else out.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{spec.seed}"))), key)

@@ -45,7 +45,7 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 def spelling_mode(tokens: DataFrame) -> DataFrame:
     """For each folded word its most frequent spelling; ties go to the first seen. ``tokens`` has word and ord."""
     counts = tokens.groupBy(fold(F.col("word")).alias("folded"), "word").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    best = F.max_by(F.struct("word", "n"), F.struct(F.col("n"), -F.col("first")))
+    best = F.min_by(F.struct("word", "n"), F.struct(-F.col("n"), "first"))
     return counts.groupBy("folded").agg(best.alias("best")).select("folded", "best.word", "best.n")
 
 
@@ -78,11 +78,39 @@ def heat(counts: DataFrame, n: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(top)).withColumn("bucket", bucket).drop("top")
 
 
+#: Bins of a value's range that are counted in one round, and rows that are ranked in one group at most, but for equal values.
+BINS, RANKED = 1024, 20_000
+
+
+def at_place(df: DataFrame, by: str, value: str, place: Column) -> DataFrame:
+    """by, value and n: the value at ``place``, an expression of the group's size n, in the order of each group's numeric values.
+
+    Rounds of counts narrow each group down to the bin that holds the place, so that no group is sorted whole.
+    """
+    rows = df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    state = rows.groupBy("g").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).withColumn("place", place.cast("long")).withColumn("inside", F.col("n"))
+    while True:
+        left = state.where((F.col("inside") > RANKED) & (F.col("high") > F.col("low")))
+        if not left.limit(1).count():
+            break
+        span = state.select("g", "low", "high", "place", "n")
+        held = rows.join(span, "g").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+        bin_ = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        counts = held.groupBy("g", F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("c"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("before", before).join(span.select("g", "place", "n"), "g").where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c")))
+        state = counts.select("g", F.col("a").alias("low"), F.col("b").alias("high"), "n", (F.col("place") - F.col("before")).alias("place"), F.col("c").alias("inside"))
+    held = rows.join(state, "g").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+    # Equal values are one row with a count.
+    counts = held.groupBy("g", "v").agg(F.count("*").alias("c"), F.first("place").alias("place"), F.first("n").alias("n"))
+    upto = F.sum("c").over(Window.partitionBy("g").orderBy("v"))
+    found = counts.withColumn("upto", upto).where((F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
+    return found.select(F.col("g").alias(by), F.col("v").alias(value), "n")
+
+
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """sorted[floor(n / 2)] of each group, by ranks rather than by a collected list."""
-    w = Window.partitionBy(by)
-    ranked = df.select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("i") == F.floor(F.col("n") / 2)).select(by, F.col(value).alias("upper_median"), "n")
+    """sorted[floor(n / 2)] of each group."""
+    return at_place(df, by, value, F.floor(F.col("n") / 2)).select(by, F.col(value).alias("upper_median"), "n")
 
 
 def repeated_lines(lines: DataFrame, document: str, least: int, share: float) -> DataFrame:
@@ -100,3 +128,10 @@ def length_rank(df: DataFrame, lengths: Column, own: Column) -> DataFrame:
     rows = df.select((own == top).alias("longest"), (own == low).alias("shortest"), (ties / F.size(lengths)).alias("chance"))
     out = rows.agg(F.count("*").alias("n"), F.count_if("longest").alias("longest"), F.count_if("shortest").alias("shortest"), F.sum("chance").alias("chance"))
     return out.select("n", percent(F.col("longest"), F.col("n")).alias("longest_pct"), percent(F.col("shortest"), F.col("n")).alias("shortest_pct"), percent(F.col("chance"), F.col("n")).alias("chance_pct"))
+
+
+def extremes(odds: DataFrame, k: int = 18, good: int = 4, poor: int = 6) -> DataFrame:
+    """The words that speak most for correct alternatives and for distractors; ties by the word."""
+    top = odds.where((F.col("good") >= good) & (F.col("log_odds") > 0)).orderBy(F.desc("log_odds"), "word").limit(k)
+    low = odds.where((F.col("poor") >= poor) & (F.col("log_odds") < 0)).orderBy("log_odds", "word").limit(k)
+    return top.select(F.lit("correct").alias("side"), "*").unionByName(low.select(F.lit("distractor").alias("side"), "*"))

@@ -125,12 +125,12 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     Both sides meet in value ranges, where the nearest points below and above are carried over by windows; the edges of the ranges,
     as many as there are cores, fill in for neighbours in other ranges. No product of the sides is formed.
     """
-    n = max(1, left.sparkSession.sparkContext.defaultParallelism)
-    bounds = right.agg(F.min("y").alias("low"), F.max("y").alias("high")).first()
-    if bounds["low"] is None:
-        return left.select("id", F.lit(None).cast(right.schema["key"].dataType).alias("nearest"), F.lit(None).cast("double").alias("distance"))
-    width = max((bounds["high"] - bounds["low"]) / n, 1e-9)
-    bucket = lambda c: F.least(F.greatest(F.floor((F.col(c) - bounds["low"]) / width), F.lit(0)), F.lit(n - 1)).cast("int")
+    wanted = max(1, left.sparkSession.sparkContext.defaultParallelism)
+    # Ranges of about equally many points; their bounds need not be exact.
+    shares = [k / wanted for k in range(1, wanted)]
+    bounds = sorted(set(right.approxQuantile("y", shares, 0.5 / wanted))) if shares else []
+    n = len(bounds) + 1
+    bucket = lambda c: F.lit(0) + sum((F.col(c) >= b).cast("int") for b in bounds)
     points = right.groupBy("y").agg(F.min("key").alias("key")).withColumn("b", bucket("y"))
     edges = points.groupBy("b").agg(F.min_by(F.struct("y", "key"), "y").alias("first"), F.max_by(F.struct("y", "key"), "y").alias("last")).collect()  # n rows at most
     edges.sort(key=lambda r: r["b"])
@@ -151,3 +151,15 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     near = F.filter(F.array(F.coalesce("low", "before"), F.coalesce("high", "after")), lambda p: p.isNotNull())
     best = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p["y"] - F.col("v")).alias("distance"), p["key"].alias("key"))))
     return rows.withColumn("best", best).select("id", F.col("best.key").alias("nearest"), F.col("best.distance").alias("distance"))
+
+
+def by_topic(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows counted once for each of their topics: n, right and their share in percent."""
+    each = rows.select(*keys, "ok", F.explode("topics").alias("topic")).groupBy(*keys, "topic").agg(F.count("*").alias("n"), F.count_if("ok").alias("right"))
+    return each.withColumn("pct", percent(F.col("right"), F.col("n"), 0))
+
+
+def neighbours(rows: DataFrame, by: str, order: list[str], key: str) -> DataFrame:
+    """Each row's key with the one before and the one behind it."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.select(by, key, F.lag(key).over(w).alias("previous"), F.lead(key).over(w).alias("following"))

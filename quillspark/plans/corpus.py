@@ -70,13 +70,13 @@ def document_frequency(spark: SparkSession, d: str) -> DataFrame:
     r"""
 WITH t AS (SELECT doc_id, string_split_regex(text, '[^\p{L}]+') AS ws FROM documents),
      u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
-     c AS (SELECT strip_accents(lower(word)) AS folded, word, count(*) AS n, min(doc_id * 1000000 + pos) AS first FROM u WHERE length(word) >= 3 GROUP BY ALL)
+     c AS (SELECT strip_accents(lower(word)) AS folded, word, count(*) AS n, min((doc_id, pos)) AS first FROM u WHERE length(word) >= 3 GROUP BY ALL)
 SELECT folded, word, n FROM c QUALIFY row_number() OVER (PARTITION BY folded ORDER BY n DESC, first) = 1
 """
 )
 def accent_mode(spark: SparkSession, d: str) -> DataFrame:
     tokens = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", r"[^\p{L}]+")).alias("pos", "word"))
-    tokens = tokens.where(F.length("word") >= 3).select("word", (F.col("doc_id") * 1_000_000 + F.col("pos") + 1).alias("ord"))
+    tokens = tokens.where(F.length("word") >= 3).select("word", F.struct("doc_id", "pos").alias("ord"))
     return statistics.spelling_mode(tokens)
 
 
@@ -199,19 +199,6 @@ def topic_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(LEXICON.classify(T.fold(F.col("text")), 6), "+").alias("topics"))
 
 
-@query(
-    r"""
-WITH f AS (SELECT conv_id, turn, text, strip_accents(lower(text)) AS f FROM conversations)
-SELECT conv_id, turn, CASE WHEN contains(f, 'the is') THEN 'statement' WHEN regexp_matches(text, '^\s*([A-Z][a-z]+ ){2}') THEN 'heading'
-  WHEN len(list_distinct(regexp_extract_all(f, '\b(def|return|class|for|if)\b'))) >= 2 THEN 'code' WHEN regexp_matches(f, '^[0-9\s.,%-]*[0-9][0-9\s.,%-]*$') THEN 'calculation'
-  WHEN regexp_matches(f, '\b(was|figure|table)\b') THEN 'interpretation' ELSE 'conceptual' END AS format FROM f
-"""
-)
-def format_detect(spark: SparkSession, d: str) -> DataFrame:
-    rules = classify.cascade(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", rules.alias("format"))
-
-
 @query(r"SELECT conv_id, turn, regexp_matches(right(text, 400), '\b(NOT|EXCEPT|FALSE)\b') OR regexp_matches(strip_accents(lower(text)), 'nicht|never|ththno') AS negative FROM conversations")
 def negative_command(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", classify.negative(F.col("text"), ["NOT", "EXCEPT", "FALSE"], "nicht|never|ththno").alias("negative"))

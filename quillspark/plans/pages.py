@@ -67,17 +67,6 @@ def num_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", shape.alias("shape"), total.alias("total"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
-p AS (SELECT doc_id, i, w, coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM u)
-SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, o + length(w) / 2 AS centre FROM p WHERE i <= 5""")
-def token_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Centres of the first five tokens of each text, by running lengths inside the row's own array: no shuffle."""
-    first = F.slice(F.split("text", " "), 1, 5)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<double>").alias("out"))
-    step = lambda s, w: F.struct((s["at"] + F.length(w) + 1).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(w) / 2)).alias("out"))
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.aggregate(first, start, step, lambda s: s["out"])).alias("i", "centre"))
-
-
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), m AS (SELECT doc_id, upper(strip_accents(lower(trim(line)))) AS m FROM l)
 SELECT doc_id, CASE WHEN starts_with(m, 'THE ') THEN 'objective' WHEN starts_with(m, 'IN ') THEN 'essay' WHEN contains(m, 'LICENSED') THEN 'stop' END AS marker, count(*) AS n
 FROM m WHERE starts_with(m, 'THE ') OR starts_with(m, 'IN ') OR contains(m, 'LICENSED') GROUP BY ALL""")
@@ -98,27 +87,3 @@ def manual_key(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "w"))
     letter = F.upper(F.left("w", F.lit(1)))
     return words.select("item_id", (F.col("pos") + 1).alias("num"), F.when(letter.rlike("^[A-E]$"), letter).alias("answer"))
-
-
-@query(rf"SELECT item_id, CAST(length(w) AS INTEGER) AS num, max_by(lower(left(w, 1)), num) AS answer FROM ({_KEY}) GROUP BY item_id, length(w)")
-def list_key(spark: SparkSession, d: str) -> DataFrame:
-    """The number is the word's length, and the last of equal numbers wins."""
-    words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "w"))
-    return words.groupBy("item_id", F.length("w").alias("num")).agg(F.max_by(F.lower(F.left("w", F.lit(1))), "pos").alias("answer"))
-
-
-@query(rf"""WITH c AS (SELECT item_id, count(*) FILTER (regexp_matches(w, '^[a-e]')) AS lists, count(*) FILTER (regexp_matches(w, 'ing')) AS pairs, count(*) AS words FROM ({_KEY}) GROUP BY item_id)
-SELECT item_id, CASE WHEN lists >= 5 THEN 'list' WHEN pairs >= 5 THEN 'pairs' ELSE 'grid' END AS method FROM c""")
-def key_strategy(spark: SparkSession, d: str) -> DataFrame:
-    words = F.split(F.trim("text"), r"\s+")
-    lists, pairs = F.size(F.filter(words, lambda w: w.rlike("^[a-e]"))), F.size(F.filter(words, lambda w: w.rlike("ing")))
-    return table(spark, d, "benchmark").select("item_id", F.when(lists >= 5, "list").when(pairs >= 5, "pairs").otherwise("grid").alias("method"))
-
-
-@query(rf"""WITH k AS (SELECT item_id, num, num % 4 AS col, lower(left(w, 1)) AS l FROM ({_KEY}) WHERE num <= 12)
-SELECT item_id, CAST(col AS INTEGER) AS col, CASE WHEN count(*) FILTER (l = 't') > 0 THEN NULL ELSE min_by(l, num) END AS answer FROM k GROUP BY item_id, col""")
-def grid_key(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a grid of four columns: the first letter of a column counts, unless one in it annuls the column."""
-    words = table(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("pos", "w")).where("pos < 12")
-    cells = words.select("item_id", "pos", ((F.col("pos") + 1) % 4).alias("col"), F.lower(F.left("w", F.lit(1))).alias("l"))
-    return cells.groupBy("item_id", "col").agg(F.when(F.count_if(F.col("l") == "t") > 0, None).otherwise(F.min_by("l", "pos")).alias("answer"))

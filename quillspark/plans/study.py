@@ -178,25 +178,6 @@ def longest_alternative(spark: SparkSession, d: str) -> DataFrame:
     return statistics.length_rank(lengths, F.col("ls"), F.get("ls", F.lit(1)))
 
 
-@query("SELECT n_name, CAST(len(regexp_extract_all(replace(n_name, ',', ''), 'A')) AS BIGINT) AS n_a, len(list_filter(string_split_regex(replace(n_name, ',', ''), '[AE]'), lambda x: x <> '')) AS statements FROM nation")
-def statement_counts(spark: SparkSession, d: str) -> DataFrame:
-    bare = F.replace("n_name", F.lit(","), F.lit(""))
-    return table(spark, d, "nation").select("n_name", F.regexp_count(bare, F.lit("A")).cast("long").alias("n_a"), F.size(F.filter(F.split(bare, "[AE]"), lambda x: x != "")).cast("long").alias("statements"))
-
-
-@query("SELECT r_name, CASE WHEN contains(lower(r_name), 'asia') THEN 'both' WHEN contains(lower(r_name), 'eur') THEN 'first' WHEN contains(lower(r_name), 'africa') THEN 'second' ELSE 'other' END AS outcome FROM region")
-def assertion_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    from quillspark.operators.classify import first_match
-
-    return table(spark, d, "region").select("r_name", first_match(F.regexp_replace(T.fold(F.col("r_name")), r"[\s,]", ""), [("asia", "both"), ("eur", "first"), ("africa", "second")], "other").alias("outcome"))
-
-
-@query("SELECT c_custkey, CASE WHEN regexp_matches(left(c_mktsegment, 1), '^[A-E]$') THEN left(c_mktsegment, 1) END AS answer FROM customer")
-def answer_normalize(spark: SparkSession, d: str) -> DataFrame:
-    first = F.left("c_mktsegment", F.lit(1))
-    return table(spark, d, "customer").select("c_custkey", F.when(first.rlike("^[A-E]$"), first).alias("answer"))
-
-
 _MS = "CAST(floor(o_totalprice * 100) AS BIGINT)"
 
 
