@@ -95,7 +95,7 @@ def at_place(df: DataFrame, by: str, value: str, place: Column) -> DataFrame:
             break
         span = state.select("g", "low", "high", "place", "n")
         held = rows.join(span, "g").where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-        bin_ = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
+        bin_ = F.least(F.floor(F.try_divide(F.col("v") - F.col("low"), F.col("high") - F.col("low")) * BINS), F.lit(BINS - 1))
         counts = held.groupBy("g", F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("c"))
         before = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("before", before).join(span.select("g", "place", "n"), "g").where((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c")))
