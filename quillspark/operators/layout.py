@@ -124,11 +124,56 @@ def sections(found: DataFrame, pages: DataFrame, covers: DataFrame) -> DataFrame
     return rows.select("doc", "page", "i", "kind", "num", F.when(specific, "specific").otherwise("general").alias("section"))
 
 
+def segments(found: DataFrame, pages: DataFrame, width: float) -> DataFrame:
+    """doc, block, kind, num, page, col, x0, x1, y0 and y1: the areas of each block in reading order (page, column, height).
+
+    A marker opens a block, a stop closes it, an end closes the document; a block goes on in the next column and page. Pages before the
+    first opening marker have no areas, nor do strips that are less than 4 high. ``pages`` are the frames.
+    """
+    c = F.col
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = pages.select("doc", "page", F.lit(-1).alias("i"), none("double").alias("x"), none("double").alias("top"), none("string").alias("kind"), none("int").alias("num"), "footer_top")
+    rows = empty.unionByName(found.select("doc", "page", "i", "x", "top", "kind", "num", none("double").alias("footer_top")))
+    opens = c("kind").isNotNull() & ~c("kind").isin("stop", "end")
+    of_doc, of_page = Window.partitionBy("doc"), Window.partitionBy("doc", "page")
+    least = lambda column, holds=opens: F.min(F.when(holds, c(column)))
+    margin, content = F.coalesce(least("x").over(of_doc) - 8, F.lit(0.0)), F.coalesce(least("top").over(of_doc) - 4, F.lit(0.0))
+    rows = rows.withColumn("left_margin", margin).withColumn("content_top", content).withColumn("first_page", least("page").over(of_doc)).where("page >= first_page")
+    rows = rows.withColumn("split", least("x", opens & (c("x") > RIGHT_COLUMN * width)).over(of_page) - 8).withColumn("footer_top", F.max("footer_top").over(of_page))
+    right = F.lit(width) - c("left_margin")
+    column = lambda k, x0, x1: F.struct(F.lit(k).alias("col"), x0.alias("x0"), x1.alias("x1"))
+    two = F.array(column(0, c("left_margin"), c("split")), column(1, c("split"), right))
+    rows = rows.withColumn("c", F.explode(F.when(c("split").isNotNull(), two).otherwise(F.array(column(0, c("left_margin"), right)))))
+    rows = rows.select("doc", "page", "c.*", "split", "footer_top", "i", "x", "kind", "num", F.coalesce(c("top") - 2, c("content_top")).alias("y0"))
+    rows = rows.where(c("kind").isNull() | c("split").isNull() | ((c("x") >= c("x0") - 2) & (c("x") < c("x1") - 20))).withColumn("order", c("kind").isNotNull())
+    reading = Window.partitionBy("doc").orderBy("page", "col", "order", "y0", "i")
+    in_column = Window.partitionBy("doc", "page", "col").orderBy("order", "y0", "i")
+    rows = rows.withColumn("y1", F.coalesce(F.lead("y0").over(in_column), c("footer_top")))
+    now = F.last(F.when(c("kind").isNotNull(), F.struct("kind", "num")), ignorenulls=True).over(reading)
+    rows = rows.withColumn("now", now).withColumn("block", F.count(F.when(opens, 1)).over(reading)).withColumn("ended", F.count(F.when(c("kind") == "end", 1)).over(reading) > 0)
+    rows = rows.where(~c("ended") & ~c("now.kind").isin("stop", "end") & (c("y1") - c("y0") >= 4))
+    return rows.select("doc", "block", "now.kind", "now.num", "page", "col", "x0", "x1", "y0", "y1")
+
+
+def contained(items: DataFrame, areas: DataFrame) -> DataFrame:
+    """The items that lie in an area of their page, with its columns: by height with small tolerances, by width with their centre."""
+    c, centre = F.col, F.col("x") + F.least(F.col("w"), F.lit(20.0)) / 2
+    met = items.join(areas, ["doc", "page"])
+    return met.where((c("top") >= c("y0") - 1) & (c("bottom") <= c("y1") + 2) & (centre >= c("x0")) & (centre < c("x1")))
+
+
 def repair_ligatures(text: Column) -> Column:
     """Joins words that were cut behind ti, tt or ft."""
     return F.regexp_replace(text, r"([a-zà-ú])(ti|tt|ft) (?=[a-zà-ú])", "$1$2")
 
 
+def repaired(texts: DataFrame, by: str, text: str) -> DataFrame:
+    """Texts with their ligatures repaired in groups that hold at least as many broken ones as they have rows."""
+    broken = F.regexp_count(F.col(text), F.lit(r"[a-zà-ú](?:ti|tt|ft) (?=[a-zà-ú])"))
+    gate = texts.groupBy(F.col(by).alias("of")).agg((F.sum(broken) >= F.count("*")).alias("repair"))
+    return texts.join(gate, F.col(by).eqNullSafe(F.col("of")), "left").withColumn(text, F.when(F.col("repair"), repair_ligatures(F.col(text))).otherwise(F.col(text))).drop("of", "repair")
+
+
 def leaked_glyphs(text: Column) -> Column:
     """Characters of partly mapped fonts as what they stand for."""
     return F.replace(F.translate(text, "ĚĴͳ", " (-"), F.lit("Į"), F.lit("fi"))

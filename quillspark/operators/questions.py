@@ -82,6 +82,36 @@ def outcome(answer_text: Column) -> Column:
     return first_match(F.regexp_replace(T.fold(answer_text), r"[\s,]", ""), OUTCOMES, "other")
 
 
+def split_question(lines: Column) -> Column:
+    """A struct of statement and alternatives from a question's lines.
+
+    The alternatives begin at the last line A from which, taking the first B behind it, the first C behind that and so on, four letters
+    at least are found. One pass from the last line to the first keeps the run that starts at each letter.
+    """
+    runs = "struct<A:array<int>,B:array<int>,C:array<int>,D:array<int>,E:array<int>>"
+    none = F.array().cast("array<int>")
+    letters = F.reverse(F.transform(lines, lambda x, i: F.struct(F.regexp_extract(x, r"^([A-E])(?:\s|$)", 1).alias("l"), i.alias("i"))))
+
+    def step(s: Column, x: Column) -> Column:
+        at = lambda k, rest: F.when(x["l"] == k, F.concat(F.array(x["i"]), rest)).otherwise(s[k])
+        whole = (x["l"] == "A") & (F.size(s["A"]) == 0) & (F.size(s["B"]) >= 3)
+        first = F.when(whole, F.concat(F.array(x["i"]), s["B"])).otherwise(s["A"])
+        return F.struct(first.alias("A"), at("B", s["C"]).alias("B"), at("C", s["D"]).alias("C"), at("D", s["E"]).alias("D"), at("E", none).alias("E")).cast(runs)
+
+    best = F.aggregate(letters, F.struct(*[none.alias(k) for k in "ABCDE"]).cast(runs), step, lambda s: s["A"])
+
+    def parts(best: Column) -> Column:
+        def alternative(at: Column, n: Column) -> Column:
+            end = F.coalesce(F.get(best, n + 1), F.size(lines))
+            first = F.regexp_replace(F.get(lines, at), r"^[A-E]\s*", "")
+            return T.squeeze(F.concat_ws(" ", first, F.array_join(F.slice(lines, at + 2, end - at - 1), " ")))
+
+        before = F.when(F.size(best) > 0, F.slice(lines, F.lit(1), F.get(best, F.lit(0)))).otherwise(lines)
+        return F.struct(F.array_join(before, "\n").alias("statement"), F.transform(best, alternative).alias("alternatives"))
+
+    return T.let(best, parts)
+
+
 def title(slug: Column, known: dict[str, str]) -> Column:
     """The known name of a slug, else its words with capitals."""
     out = F.initcap(F.replace(slug, F.lit("_"), F.lit(" ")))

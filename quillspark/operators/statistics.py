@@ -70,6 +70,13 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
     return df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(f"n_{v.lower().replace('-', '_').replace(' ', '_')}") for v in values])
 
 
+def letter_grid(groups: DataFrame, answers: DataFrame, by: str, letter: str, letters: list[str]) -> DataFrame:
+    """Counts of each letter and of all for every group, zero for groups without answers; null answers don't count."""
+    names = [f"n_{x.lower()}" for x in letters]
+    counts = pivot_counts(answers, by, letter, letters).join(answers.groupBy(by).agg(F.count(letter).alias("n")), by)
+    return groups.join(counts, by, "left").select(by, *[F.coalesce(c, F.lit(0)).alias(c) for c in [*names, "n"]])
+
+
 def heat(counts: DataFrame, n: str) -> DataFrame:
     """Bucket 0 for none, then 1 to 3 by thirds of the table's maximum (at least 1)."""
     top = counts.agg(F.greatest(F.max(n), F.lit(1)).alias("top"))

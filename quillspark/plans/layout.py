@@ -100,6 +100,46 @@ def block_sections(spark: SparkSession, d: str) -> DataFrame:
     return layout.sections(layout.markers(items, HEIGHT), layout.frames(items, HEIGHT), _covers(spark, d))
 
 
+_S = f"""{_M}, fp AS (SELECT doc, min(page) AS first_page FROM markers WHERE kind IN ('objective', 'essay', 'shared') GROUP BY doc),
+mg AS (SELECT doc, coalesce(min(x) FILTER (kind NOT IN ('stop', 'end')) - 8, 0) AS lm, coalesce(min(top) FILTER (kind NOT IN ('stop', 'end')) - 4, 0) AS ct FROM markers GROUP BY doc),
+sp AS (SELECT doc, page, min(x) FILTER (kind NOT IN ('stop', 'end') AND x > 0.4::DOUBLE * 560) - 8 AS split FROM markers GROUP BY doc, page),
+pc AS (SELECT doc, page, footer_top, lm, ct, split FROM frames JOIN fp USING (doc) JOIN mg USING (doc) LEFT JOIN sp USING (doc, page) WHERE page >= first_page),
+cl AS (SELECT doc, page, footer_top, ct, split, 0 AS col, lm AS x0, coalesce(split, 560 - lm) AS x1 FROM pc UNION ALL SELECT doc, page, footer_top, ct, split, 1, split, 560 - lm FROM pc WHERE split IS NOT NULL),
+ev AS (SELECT doc, page, col, x0, x1, footer_top, 0 AS ord, ct AS y0, -1 AS i, NULL AS kind, NULL::INTEGER AS num FROM cl
+  UNION ALL SELECT m.doc, m.page, col, x0, x1, footer_top, 1, m.top - 2, m.i, m.kind, m.num FROM markers m JOIN cl ON m.doc = cl.doc AND m.page = cl.page AND (split IS NULL OR (m.x >= x0 - 2 AND m.x < x1 - 20))),
+st AS (SELECT *, coalesce(lead(y0) OVER (PARTITION BY doc, page, col ORDER BY ord, y0, i), footer_top) AS y1, last_value(CASE WHEN kind IS NOT NULL THEN {{'kind': kind, 'num': num}} END IGNORE NULLS) OVER r AS now,
+  count(*) FILTER (kind NOT IN ('stop', 'end')) OVER r AS block, count(*) FILTER (kind = 'end') OVER r AS ended FROM ev WINDOW r AS (PARTITION BY doc ORDER BY page, col, ord, y0, i)),
+segs AS (SELECT doc, block, now.kind AS kind, now.num AS num, page, col, x0, x1, y0, y1 FROM st WHERE ended = 0 AND now.kind NOT IN ('stop', 'end') AND y1 - y0 >= 4)"""
+
+
+@query(f"WITH {_I}, {_F}, {_S} SELECT * FROM segs")
+def block_segments(spark: SparkSession, d: str) -> DataFrame:
+    items = _items(spark, d)
+    return layout.segments(layout.markers(items, HEIGHT), layout.frames(items, HEIGHT), WIDTH)
+
+
+@query(f"WITH {_I}, {_F}, {_S} SELECT doc, page, i, block FROM items JOIN segs s USING (doc, page) WHERE top >= y0 - 1 AND bottom <= y1 + 2 AND x + least(w, 20) / 2 >= x0 AND x + least(w, 20) / 2 < x1")
+def block_items(spark: SparkSession, d: str) -> DataFrame:
+    """Items by the block in whose areas they lie."""
+    items = _items(spark, d)
+    areas = layout.segments(layout.markers(items, HEIGHT), layout.frames(items, HEIGHT), WIDTH).select("doc", "page", "block", "x0", "x1", "y0", "y1")
+    return layout.contained(items, areas).select("doc", "page", "i", "block")
+
+
+_CUT = r"list_transform(ws, lambda w, i: w || CASE WHEN i = len(ws) OR (regexp_matches(w, '[a-zà-ú](ti|tt|ft)$') AND regexp_matches(ws[i + 1], '^[a-zà-ú]')) THEN '' ELSE ' ' END)"
+
+
+@query(
+    rf"""WITH b AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN regexp_replace(text, '([a-z])ti([a-z])', '\1ti \2', 'g') ELSE text END AS text FROM documents), w AS (SELECT *, string_split(text, ' ') AS ws FROM b),
+j AS (SELECT *, array_to_string({_CUT}, '') AS joined FROM w), g AS (SELECT source, sum(length(text) - length(joined)) >= count(*) AS repair FROM j GROUP BY source)
+SELECT doc_id, CASE WHEN repair THEN joined ELSE text END AS text FROM j JOIN g USING (source)"""
+)
+def ligature_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Words that were cut behind ti in every other document are joined where a source has at least as many as documents."""
+    cut = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", "([a-z])ti([a-z])", "$1ti $2")).otherwise(F.col("text"))
+    return layout.repaired(table(spark, d, "documents").select("doc_id", "source", cut.alias("text")), "source", "text").select("doc_id", "text")
+
+
 @query("SELECT doc_id, replace(replace(replace(replace(regexp_replace(text, '(a)(n)', '\\1Į\\2', 'g'), 'Ě', ' '), 'Į', 'fi'), 'Ĵ', '('), 'ͳ', '-') AS text FROM documents")
 def leaked_glyphs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", layout.leaked_glyphs(F.regexp_replace("text", "(a)(n)", "$1Į$2")).alias("text"))

@@ -107,6 +107,41 @@ def question_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", questions.identifier(F.col("source"), kind, nums).alias("id"), questions.title(F.col("source"), {}).alias("title"), F.concat_ws(" ", "shared", "statement", alternatives).alias("classified"), T.fold(F.concat_ws(" ", "statement", alternatives, "shared")).alias("searched"))
 
 
+_LETTERS = "ABCDEFG"
+_LINES = rf"""w AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS ws FROM documents), l AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM w),
+n AS (SELECT doc_id, pos, CASE WHEN pos % 3 = 0 THEN substr('{_LETTERS}', CAST(1 + (doc_id + pos * (pos // 3) + length(w)) % 7 AS INTEGER), 1) || ' ' ELSE '' END || w AS line FROM l),
+s AS (SELECT doc_id, pos, line, regexp_extract(line, '^([A-E])(?:\s|$)', 1) AS k FROM n)"""
+
+
+@query(
+    rf"""WITH {_LINES}, after AS (SELECT doc_id, pos, k, min(pos) FILTER (k = 'B') OVER w AS b, min(pos) FILTER (k = 'C') OVER w AS c, min(pos) FILTER (k = 'D') OVER w AS d, min(pos) FILTER (k = 'E') OVER w AS e
+  FROM s WHERE k <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT a.doc_id, a.pos AS a, a.b, b.c, c.d, d.e FROM after a JOIN after b ON b.doc_id = a.doc_id AND b.pos = a.b JOIN after c ON c.doc_id = a.doc_id AND c.pos = b.c JOIN after d ON d.doc_id = a.doc_id AND d.pos = c.d WHERE a.k = 'A'),
+f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) = 1),
+m AS (SELECT s.doc_id, pos, line, CASE WHEN a IS NULL OR pos < a THEN 0 WHEN pos < b THEN 1 WHEN pos < c THEN 2 WHEN pos < d THEN 3 WHEN e IS NULL OR pos < e THEN 4 ELSE 5 END AS part, pos IN (a, b, c, d, e) AS head FROM s LEFT JOIN f USING (doc_id)),
+p AS (SELECT doc_id, part, CASE WHEN part = 0 THEN string_agg(line, chr(10) ORDER BY pos) ELSE trim(string_agg(CASE WHEN head THEN regexp_replace(line, '^[A-E]\s*', '') ELSE line END, ' ' ORDER BY pos)) END AS t FROM m GROUP BY doc_id, part)
+SELECT doc_id, coalesce(max(t) FILTER (part = 0), '') AS statement, coalesce(string_agg(t, '|' ORDER BY part) FILTER (part > 0), '') AS alternatives FROM p GROUP BY doc_id"""
+)
+def question_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Statement and alternatives of texts with a word to a line, of which every third begins with a letter."""
+    docs = table(spark, d, "documents").select("doc_id", F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+").alias("ws"))
+    letter = lambda w, i: F.substring(F.lit(_LETTERS), (1 + (F.col("doc_id") + i * F.floor(i / 3) + F.length(w)) % 7).cast("int"), F.lit(1))
+    lines = F.transform("ws", lambda w, i: F.when(i % 3 == 0, F.concat(letter(w, i), F.lit(" "), w)).otherwise(w))
+    parts = docs.select("doc_id", lines.alias("lines")).select("doc_id", questions.split_question(F.col("lines")).alias("q"))
+    return parts.select("doc_id", "q.statement", F.array_join("q.alternatives", "|").alias("alternatives"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, CASE WHEN o_orderkey % 7 > 0 THEN substr('ABCDE', CAST(1 + o_orderkey % 5 AS INTEGER), 1) END AS answer FROM orders)
+SELECT c_custkey, count(*) FILTER (answer = 'A') AS n_a, count(*) FILTER (answer = 'B') AS n_b, count(*) FILTER (answer = 'C') AS n_c, count(*) FILTER (answer = 'D') AS n_d, count(*) FILTER (answer = 'E') AS n_e, count(answer) AS n FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY c_custkey"""
+)
+def letter_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Answers by letter for every customer, as exams; those without answers have zeros."""
+    k = F.col("o_orderkey")
+    answer = F.when(k % 7 > 0, F.substring(F.lit("ABCDE"), (1 + k % 5).cast("int"), F.lit(1)))
+    return statistics.letter_grid(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), answer.alias("answer")), "c_custkey", "answer", list("ABCDE"))
+
+
 @query(
     """WITH s AS (SELECT vec_id, unnest([vec_id, vec_id * 2, 1000000000]) AS doc, unnest([0, 1, 2]) AS pos FROM embeddings)
 SELECT vec_id, string_agg(coalesce(left(text, 12), ''), '|' ORDER BY pos) AS texts FROM s LEFT JOIN documents ON doc = doc_id GROUP BY vec_id"""

@@ -108,3 +108,53 @@ def test_filter_by_every_facet(spark):
     from quillspark.functions.text import fold
 
     assert {r["id"] for r in search.filtered(frame, spec, fold(F.col("text")), "id", flags).collect()} == {1, 6}
+
+
+def test_blocks_go_on_over_columns_and_pages_until_a_stop_or_the_end(spark):
+    kind = "doc int, page int, i int, x double, top double, kind string, num int"
+    marks = [(1, 2, 0, 20.0, 50.0, "objective", 1), (1, 2, 1, 300.0, 80.0, "objective", 2), (1, 2, 2, 300.0, 200.0, "stop", None), (1, 4, 0, 20.0, 90.0, "essay", None), (1, 4, 1, 20.0, 300.0, "end", None), (1, 4, 2, 20.0, 400.0, "objective", 9)]
+    pages = spark.createDataFrame([(1, p, 700.0) for p in range(1, 6)], "doc int, page int, footer_top double")
+    found = layout.segments(spark.createDataFrame(marks, kind), pages, 600.0).orderBy("block", "page", "col").collect()
+    got = [(r["block"], r["kind"], r["num"], r["page"], r["col"], r["x0"], r["x1"], r["y0"], r["y1"]) for r in found]
+    assert got == [
+        (1, "objective", 1, 2, 0, 12.0, 292.0, 48.0, 700.0),
+        (1, "objective", 1, 2, 1, 292.0, 588.0, 46.0, 78.0),
+        (2, "objective", 2, 2, 1, 292.0, 588.0, 78.0, 198.0),
+        (3, "essay", None, 4, 0, 12.0, 588.0, 88.0, 298.0),
+    ]
+    items = spark.createDataFrame([(1, 2, 0, 290.0, 10.0, 100.0, 110.0), (1, 2, 1, 270.0, 90.0, 47.0, 60.0), (1, 2, 2, 12.0, 5.0, 690.0, 703.0), (1, 3, 0, 50.0, 5.0, 100.0, 110.0)], "doc int, page int, i int, x double, w double, top double, bottom double")
+    inside = layout.contained(items, layout.segments(spark.createDataFrame(marks, kind), pages, 600.0)).select("i", "block").collect()
+    assert sorted(map(tuple, inside)) == [(0, 2), (1, 1)]
+
+
+def _split(lines):
+    marks = [x[0] if x[:1] in tuple("ABCDE") and (len(x) == 1 or x[1].isspace()) else "" for x in lines]
+    for start in reversed([k for k, m in enumerate(marks) if m == "A"]):
+        places = [start]
+        for k in range(start + 1, len(lines)):
+            if len(places) < 5 and marks[k] == "ABCDE"[len(places)]:
+                places.append(k)
+        if len(places) >= 4:
+            ends = [*places[1:], len(lines)]
+            return "\n".join(lines[:start]), [" ".join(" ".join([lines[a][1:].lstrip(), *lines[a + 1 : b]]).split()) for a, b in zip(places, ends, strict=True)]
+    return "\n".join(lines), []
+
+
+def test_questions_split_as_a_loop_would(spark):
+    rng = random.Random(5)
+    cases = [[], ["A"], ["A x", "B y", "C z", "D w"], ["A x", "B", "C", "D", "E", "A y", "B", "C"], ["x", "A 1", "more", "B 2", "B 3", "C", "D 4", "E 5", "E 6"]]
+    cases += [[rng.choice(["A one", "B two", "C", "D four", "E  five", "word", "Also", "B2"]) for _ in range(rng.randrange(30))] for _ in range(200)]
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, lines array<string>").select("k", questions.split_question(F.col("lines")).alias("q")).orderBy("k").collect()
+    assert [(r["q"]["statement"], r["q"]["alternatives"]) for r in rows] == [_split(c) for c in cases]
+
+
+def test_ligatures_are_repaired_where_many_are_broken(spark):
+    rows = [("a", "solu ti bati do"), ("a", "aft er"), ("b", "bati do"), ("b", "ok"), (None, "ati b")]
+    got = layout.repaired(spark.createDataFrame(rows, "s string, t string"), "s", "t").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [("a", "solu ti batido"), ("a", "after"), ("b", "bati do"), ("b", "ok"), (None, "atib")]))
+
+
+def test_letters_of_groups_without_answers_are_zero(spark):
+    groups, answers_ = spark.createDataFrame([(1,), (2,)], "g int"), spark.createDataFrame([(1, "A"), (1, None), (1, "C"), (1, "A")], "g int, a string")
+    got = statistics.letter_grid(groups, answers_, "g", "a", list("ABC")).orderBy("g").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 0, 1, 3), (2, 0, 0, 0, 0)]
