@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,28 +77,86 @@ def fill_sequence(rows: DataFrame, by: str, order: list[str], number: str) -> Da
     return rows.withColumn("filled", F.coalesce(F.col(number), F.count(F.when(F.col(number).isNull(), 1)).over(w)))
 
 
+def _runs(array: Column) -> Column:
+    """Runs of positive values in an array as (first, last): where they begin and where they end, in order."""
+
+    def ends(on: Column) -> Column:
+        places = lambda by: F.filter(F.transform(on, lambda x, i: F.when(x & ~F.coalesce(F.get(on, i + by), F.lit(False)), i)), lambda i: i.isNotNull())
+        firsts = F.filter(F.transform(on, lambda x, i: F.when(x & ((i == 0) | ~F.get(on, F.greatest(i - 1, F.lit(0)))), i)), lambda i: i.isNotNull())
+        return let(places(1), lambda lasts: F.transform(firsts, lambda first, k: F.struct(first.alias("first"), F.get(lasts, k).alias("last"))))
+
+    return let(F.transform(array, lambda x: F.coalesce(x > 0, F.lit(False))), ends)
+
+
 def islands(array: Column, tiny: int) -> Column:
     """Runs of positive values in an array as (first, last), without runs shorter than ``tiny`` at either end.
 
-    One pass of a fold over the array; the ends are trimmed until a run is long enough.
+    The ends are trimmed until a run is long enough.
     """
-    kind = "array<struct<first:int,last:int>>"
-    start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("open"), F.array().cast(kind).alias("runs"))
-
-    def step(s: Column, x: Column) -> Column:
-        on = x > 0
-        closed = F.when(~on & (s["open"] >= 0), F.concat(s["runs"], F.array(F.struct(s["open"].alias("first"), (s["i"] - 1).alias("last"))))).otherwise(s["runs"])
-        opened = F.when(on & (s["open"] < 0), s["i"]).when(~on, F.lit(-1)).otherwise(s["open"])
-        return F.struct((s["i"] + 1).alias("i"), opened.alias("open"), closed.alias("runs"))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["open"] >= 0, F.concat(s["runs"], F.array(F.struct(s["open"].alias("first"), (s["i"] - 1).alias("last"))))).otherwise(s["runs"])
 
     def trimmed(runs: Column) -> Column:
         long = F.transform(F.filter(F.transform(runs, lambda r, i: F.struct(i.alias("i"), (r["last"] - r["first"] + 1 >= tiny).alias("ok"))), lambda x: x["ok"]), lambda x: x["i"])
-        return F.when(F.size(long) == 0, F.array().cast(kind)).otherwise(F.slice(runs, F.array_min(long) + 1, F.array_max(long) - F.array_min(long) + 1))
+        return F.when(F.size(long) == 0, F.array().cast("array<struct<first:int,last:int>>")).otherwise(F.slice(runs, F.array_min(long) + 1, F.array_max(long) - F.array_min(long) + 1))
+
+    return let(_runs(array), trimmed)
+
+
+def content_range(array: Column, tiny: int, apart: int) -> Column:
+    """(first, last) place of the content: runs of positive values, but for small ones far from the rest at either end; (-1, -1) for none.
+
+    A run is small if it ends less than ``tiny`` behind its start, and far if more than ``apart`` lies between it and its neighbour. The end
+    is trimmed first; one run always stays.
+    """
 
-    return let(F.aggregate(array, start, step, finish), trimmed)
+    def kept(runs: Column, last: Column) -> Column:
+        small = lambda r: r["last"] - r["first"] < tiny
+        stays = F.transform(runs, lambda r, i: (i >= last) | ~small(r) | (F.get(runs, i + 1)["first"] - r["last"] <= apart))
+        return F.struct(F.get(runs, F.array_position(stays, True).cast("int") - 1)["first"].alias("first"), F.get(runs, last)["last"].alias("last"))
+
+    def ends(runs: Column) -> Column:
+        far = lambda r, i: (i > 0) & (r["last"] - r["first"] < tiny) & (r["first"] - F.get(runs, F.greatest(i - 1, F.lit(0)))["last"] > apart)
+        last = F.array_max(F.transform(runs, lambda r, i: F.when(~far(r, i), i)))
+        return F.when(F.size(runs) > 0, let(last, lambda k: kept(runs, k))).otherwise(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last")))
+
+    return let(_runs(array), ends)
+
+
+def anchored(rows: DataFrame, by: list[str], value: str, tolerance: float) -> DataFrame:
+    """by, value and grp: groups of sorted values, where a value joins the group whose first value is within the tolerance.
+
+    A group's first value decides, not its neighbours, so that no window says it. A task goes once through its sorted rows and keeps one
+    value at a time; nothing is collected by key. Null values are dropped.
+    """
+    kept = rows.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, anchor, group = None, 0.0, 0
+        for batch in batches:
+            out = []
+            for *key, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != last:
+                    last, anchor, group = key, v, 0
+                elif v - anchor > tolerance:
+                    anchor, group = v, group + 1
+                out.append(group)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*by, value, "grp"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.repartition(*by).sortWithinPartitions(*by, value).mapInArrow(run, f"{kinds}, grp int")
+
+
+def in_order(rows: DataFrame, by: str, order: list[str], letter: str, alphabet: str, least: int) -> DataFrame:
+    """by and found: from a key's last first letter on, the letters of the alphabet in order, each at its first place behind the one before.
+
+    Null below ``least`` letters. Each letter is one aggregation over its own rows, so that no key's rows are collected.
+    """
+    places = rows.select(by, F.struct(*order).alias("at"), F.col(letter).alias("letter"))
+    state = places.where(F.col("letter") == alphabet[0]).groupBy(by).agg(F.max("at").alias("last"), F.lit(1).alias("n"))
+    for x in alphabet[1:]:
+        following = state.join(places.where(F.col("letter") == x).drop("letter"), by, "left").groupBy(by)
+        state = following.agg(F.min(F.when(F.col("at") > F.col("last"), F.col("at"))).alias("last"), F.max("n").alias("n")).withColumn("n", F.col("n") + F.col("last").isNotNull().cast("int"))
+    found = F.when(F.col("n") >= least, F.left(F.lit(alphabet), F.col("n")))
+    return rows.select(by).distinct().join(state, by, "left").select(by, found.alias("found"))
 
 
 def anchor_groups(values: Column, tolerance: float) -> Column:

@@ -16,10 +16,13 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("link"))
 
 
-@query("SELECT lang, kind, count(*) AS n FROM (SELECT DISTINCT lang FROM documents) a, (SELECT unnest(['html', 'feed']) AS kind) b GROUP BY ALL")
+@query("""WITH c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, o_orderpriority AS section, count(*) AS n FROM orders GROUP BY ALL)
+SELECT year, section, coalesce(n, 0) AS n FROM (SELECT DISTINCT year FROM c) y CROSS JOIN (SELECT DISTINCT section FROM c) s LEFT JOIN c USING (year, section)""")
 def discover_grid(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.explode(F.array(F.lit("html"), F.lit("feed")))
-    return table(spark, d, "documents").select("lang").distinct().select("lang", kinds.alias("kind")).groupBy("lang", "kind").agg(F.count("*").alias("n"))
+    """Every year with every section, and what was found there, which may be nothing."""
+    found = table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("section")).agg(F.count("*").alias("n"))
+    grid = found.select("year").distinct().crossJoin(found.select("section").distinct())
+    return grid.join(found, ["year", "section"], "left").select("year", "section", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 _KIND = r"CASE WHEN contains(url, 'utm_source=feed') THEN 'feed' WHEN contains(url, '.html') THEN 'html' WHEN contains(url, '#') THEN 'frag' WHEN contains(url, '?') THEN 'query' WHEN suffix(url, '/') THEN 'slash' ELSE 'plain' END"

@@ -33,7 +33,7 @@ def latest_attempt(spark: SparkSession, d: str) -> DataFrame:
 SELECT "user", question, CASE WHEN seq IS NULL THEN 'new' WHEN ok IS NULL THEN 'answered' WHEN ok THEN 'right' ELSE 'wrong' END AS status FROM g LEFT JOIN l USING ("user", question)""")
 def status_of(spark: SparkSession, d: str) -> DataFrame:
     attempts = _attempts(spark, d)
-    grid = attempts.select("user").distinct().join(F.broadcast(attempts.select("question").distinct()))  # questions: a handful of types
+    grid = attempts.select("user").distinct().crossJoin(attempts.select("question").distinct())  # as many rows as the result
     last = study.latest(attempts, "user", "question")
     return grid.join(last, ["user", "question"], "left").select("user", "question", study.status(F.col("ok"), F.col("seq").isNotNull()).alias("status"))
 
@@ -72,10 +72,10 @@ def exam_progress(spark: SparkSession, d: str) -> DataFrame:
     return study.progress(attempts.select("question").distinct().crossJoin(F.broadcast(total)), study.latest(attempts, "user", "question"), "question")
 
 
-@query(f"""WITH {_A}, k AS (SELECT a.* FROM a WHERE question IN ('click', 'purchase', 'view')) SELECT question, count(*) AS n FROM k GROUP BY question""")
+@query(f"""WITH {_A} SELECT "user", count(*) AS n, count(*) FILTER (ok) AS "right" FROM a WHERE "user" IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) GROUP BY "user" """)
 def known_attempts(spark: SparkSession, d: str) -> DataFrame:
-    known = _attempts(spark, d).select("question").distinct().where(F.col("question").isin("click", "purchase", "view"))
-    return _attempts(spark, d).join(known, "question", "left_semi").groupBy("question").agg(F.count("*").alias("n"))
+    known = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("user"))
+    return _attempts(spark, d).join(known, "user", "left_semi").groupBy("user").agg(F.count("*").alias("n"), F.count_if("ok").alias("right"))
 
 
 @query(f"""WITH {_A}, i AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY tm, seq) <= 10)
@@ -122,7 +122,7 @@ SELECT e.event_type, count(*) AS n FROM events e JOIN s ON e.event_type = s.even
 def range_containment(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_type", "ts")
     segments = events.groupBy("event_type").agg(F.min("ts").alias("a")).withColumn("b", F.col("a") + F.expr("INTERVAL 7 DAYS"))
-    return events.join(F.broadcast(segments), "event_type").where((F.col("ts") >= F.col("a")) & (F.col("ts") < F.col("b"))).groupBy("event_type").agg(F.count("*").alias("n"))
+    return events.join(segments, "event_type").where((F.col("ts") >= F.col("a")) & (F.col("ts") < F.col("b"))).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT c_custkey AS id, s.s_suppkey AS nearest, s.d AS distance FROM (SELECT c_custkey, s_suppkey, abs(s_acctbal - c_acctbal) AS d FROM customer, supplier) s
@@ -142,6 +142,19 @@ def islands_trimmed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", "r.first", "r.last")
 
 
+@query("""WITH p AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings),
+r AS (SELECT vec_id, i, i - row_number() OVER (PARTITION BY vec_id ORDER BY i) AS g FROM p WHERE x > 1.25),
+s AS (SELECT vec_id, min(i) AS a, max(i) AS b FROM r GROUP BY vec_id, g),
+o AS (SELECT *, row_number() OVER w AS k, lag(b) OVER w AS pb, lead(a) OVER w AS na FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY a)),
+l AS (SELECT vec_id, max(k) AS k FROM o WHERE pb IS NULL OR b - a >= 1 OR a - pb <= 6 GROUP BY vec_id),
+f AS (SELECT o.vec_id, min(o.k) AS k, any_value(l.k) AS z FROM o JOIN l ON o.vec_id = l.vec_id AND o.k <= l.k WHERE o.k = l.k OR b - a >= 1 OR na - b <= 6 GROUP BY o.vec_id)
+SELECT e.vec_id, CAST(coalesce(x.a, -1) AS INTEGER) AS first, CAST(coalesce(y.b, -1) AS INTEGER) AS last FROM embeddings e LEFT JOIN f USING (vec_id)
+LEFT JOIN o x ON x.vec_id = f.vec_id AND x.k = f.k LEFT JOIN o y ON y.vec_id = f.vec_id AND y.k = f.z""")
+def content_ranges(spark: SparkSession, d: str) -> DataFrame:
+    ink = F.transform("embedding", lambda x: x - F.lit(1.25))
+    return table(spark, d, "embeddings").select("vec_id", study.content_range(ink, 1, 6).alias("r")).select("vec_id", "r.first", "r.last")
+
+
 @query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 1.5)) > 0 AS ink, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings")
 def ink_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.exists("embedding", lambda x: x > 1.5).alias("ink"), F.size(F.filter("embedding", lambda x: x > 0)).cast("long").alias("n"))
@@ -262,17 +275,25 @@ def char_decode(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.translate("text", "éèêç", "eeec").alias("text"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS i FROM orders WHERE o_totalprice IS NOT NULL),
+g AS (SELECT o_custkey, v, i, v AS anchor, 0 AS grp FROM o WHERE i = 1 UNION ALL
+SELECT o.o_custkey, o.v, o.i, CASE WHEN o.v - g.anchor > 5000.0 THEN o.v ELSE g.anchor END, g.grp + CASE WHEN o.v - g.anchor > 5000.0 THEN 1 ELSE 0 END FROM g JOIN o ON o.o_custkey = g.o_custkey AND o.i = g.i + 1)
+SELECT o_custkey, v AS price, grp FROM g""")
 def anchor_group(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy groups of a customer's order prices: not transitive, so that no SQL is given; tested against a loop."""
-    prices = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_totalprice")).alias("v"))
-    rows = prices.select("o_custkey", F.explode(F.arrays_zip(F.col("v").alias("v"), study.anchor_groups(F.col("v"), 5000.0).alias("g"))).alias("x"))
-    return rows.select("o_custkey", F.col("x.v").alias("price"), F.col("x.g").alias("grp"))
+    prices = table(spark, d, "orders").select("o_custkey", F.col("o_totalprice").alias("price"))
+    return study.anchored(prices, ["o_custkey"], "price", 5000.0)
+
+
+_LETTERS = {"signup": "A", "click": "B", "view": "C", "purchase": "D", "error": "E"}
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT user_id, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LETTERS.items())} END AS l, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT user_id, max(i) AS i, 1 AS n FROM r WHERE l = 'A' GROUP BY user_id UNION ALL
+SELECT r.user_id, r.i, s.n + CASE WHEN r.l = substr('ABCDE', s.n + 1, 1) THEN 1 ELSE 0 END FROM s JOIN r ON r.user_id = s.user_id AND r.i = s.i + 1),
+m AS (SELECT user_id, max(n) AS n FROM s GROUP BY user_id)
+SELECT user_id, CASE WHEN n >= 2 THEN substr('ABCDE', 1, n) END AS found FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN m USING (user_id)""")
 def ordered_subsequence(spark: SparkSession, d: str) -> DataFrame:
-    """Letters of a user's events in order; a state machine, tested against a loop."""
-    letters = F.element_at(F.create_map(*[F.lit(x) for p in zip(["signup", "click", "view", "purchase", "error"], "ABCDE", strict=True) for x in p]), F.col("event_type"))
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", letters.alias("l")))).alias("e"))
-    return rows.select("user_id", study.ordered_subsequence(F.transform("e", lambda x: x["l"]), "ABC", 2).alias("found"))
+    """Letters of a user's events in order of time."""
+    letters = F.element_at(F.create_map(*[F.lit(x) for p in _LETTERS.items() for x in p]), F.col("event_type"))
+    rows = table(spark, d, "events").select("user_id", "ts", "event_id", letters.alias("letter"))
+    return study.in_order(rows, "user_id", ["ts", "event_id"], "letter", "ABCDE", 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -21,14 +21,14 @@ def daily_activity(attempts: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def keep_latest(attempts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Maintain the table of latest attempts below ``path``: each batch is merged into the next version of it."""
+    """Add each batch's latest attempts below ``path``; a batch that is repeated replaces itself, and no batch is written again later."""
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        before = f"{path}/version={epoch - 1}"
-        rows = batch
-        if epoch:
-            rows = spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        latest(rows, "user", "question").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/version={epoch}")
+    def add(batch: DataFrame, epoch: int) -> None:
+        latest(batch, "user", "question").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
-    return attempts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return attempts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The latest attempt of each question over all batches that ``keep_latest`` has added."""
+    return latest(spark.read.parquet(path).drop("batch"), "user", "question")

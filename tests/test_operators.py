@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fold
@@ -24,6 +26,57 @@ def test_islands_trim_only_edges(spark):
     assert found == [[(2, 3), (5, 5), (7, 8)], [], [], [(0, 1)]]
 
 
+def test_content_range_drops_far_specks(spark):
+    def loop(on, tiny, apart):
+        groups = []
+        for i, x in enumerate(on):
+            if x and groups and i - groups[-1][1] <= 1:
+                groups[-1][1] = i
+            elif x:
+                groups.append([i, i])
+        small = lambda g: g[1] - g[0] < tiny
+        while len(groups) > 1 and small(groups[-1]) and groups[-1][0] - groups[-2][1] > apart:
+            groups.pop()
+        while len(groups) > 1 and small(groups[0]) and groups[1][0] - groups[0][1] > apart:
+            groups.pop(0)
+        return (groups[0][0], groups[-1][1]) if groups else (-1, -1)
+
+    rng = random.Random(5)
+    cases = [[], [0], [1], [1, 0, 0, 0, 1], *[[int(rng.random() < share) for _ in range(40)] for share in (0.1, 0.2, 0.4) for _ in range(30)]]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, v array<int>")
+    for tiny, apart in ((1, 2), (2, 4)):
+        got = {r["i"]: (r["r"]["first"], r["r"]["last"]) for r in df.select("i", study.content_range(F.col("v"), tiny, apart).alias("r")).collect()}
+        assert got == {i: loop(c, tiny, apart) for i, c in enumerate(cases)}
+
+
+def test_anchored_rows_carry_their_group_over_batches(spark):
+    rng = random.Random(3)
+    rows = [(k, float(rng.randrange(40 * n))) for k, n in ((None, 5), (1, 9), (2, 300)) for _ in range(n)]
+    want = []
+    for k in (None, 1, 2):
+        anchor, group = None, -1
+        for v in sorted(v for key, v in rows if key == k):
+            if anchor is None or v - anchor > 25:
+                anchor, group = v, group + 1
+            want.append((k, v, group))
+    df = spark.createDataFrame([*rows, (1, None)], "k int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = [tuple(r) for r in study.anchored(df, ["k"], "v", 25.0).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert study.anchored(df.limit(0), ["k"], "v", 25.0).count() == 0
+
+
+def test_letters_in_order_like_the_fold(spark):
+    rng = random.Random(4)
+    cases = {k: [rng.choice("ABCDEX") for _ in range(n)] for k, n in enumerate([1, 3, 8, 20, 40, 60, 60, 60])}
+    rows = spark.createDataFrame([(k, i, x) for k, c in cases.items() for i, x in enumerate(c)], "u int, t int, l string")
+    folded = spark.createDataFrame(list(cases.items()), "u int, l array<string>").select("u", study.ordered_subsequence(F.col("l"), "ABCDE", 2).alias("found"))
+    assert sorted(map(tuple, study.in_order(rows, "u", ["t"], "l", "ABCDE", 2).collect())) == sorted(map(tuple, folded.collect()))
+
+
 def test_nearest_ties_and_edges(spark):
     left = spark.createDataFrame([(1, 0.0), (2, 5.0), (3, 100.0), (4, -50.0)], "id long, x double")
     right = spark.createDataFrame([(10, 4.0), (11, 6.0), (9, 6.0), (12, -1.0)], "key long, y double")

@@ -44,9 +44,11 @@ def test_streams(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     source = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     stream.keep_latest(stream.clean(source()), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    versions = spark.read.parquet(str(tmp_path / "out"))
-    last = versions.where(F.col("version") == versions.agg(F.max("version")).first()[0])
-    assert {(r["question"], r["ok"]) for r in last.collect()} == {("q", False), ("p", True)}
+    assert {(r["question"], r["ok"]) for r in stream.read_latest(spark, str(tmp_path / "out")).collect()} == {("q", False), ("p", True)}
+    more = spark.sql("SELECT 'u' AS user, 'q' AS question, true AS ok, timestamp'2024-01-03 12:00:00' AS at, 4L AS seq UNION ALL SELECT 'u', 'p', false, timestamp'2024-01-03 10:30:00', 5L")
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    stream.keep_latest(stream.clean(source()), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r["question"], r["ok"]) for r in stream.read_latest(spark, str(tmp_path / "out")).collect()} == {("q", True), ("p", True)}
     q = stream.daily_activity(source()).writeStream.format("memory").queryName("days").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(str(r["day"]), r["n"], r["right"]) for r in spark.table("days").collect()][:1] == [("2024-01-01", 2, 1)]
