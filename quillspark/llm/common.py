@@ -89,6 +89,13 @@ def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             paths.remove(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete one table of ``written`` that no later step reads."""
+    spark, path = df.sparkSession, df.quillspark_path
+    _remove(spark, path)
+    spark.__dict__[_PATHS].remove(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that the operators have written in this session; call it once their results have been used."""
     for path in spark.__dict__.pop(_PATHS, []):

@@ -181,11 +181,11 @@ def sketch_of(marks: DataFrame) -> np.ndarray:
     return np.maximum(0.0, cells - mean - 4 * np.sqrt(mean) - 1)
 
 
-def prefix(own: np.ndarray, excess: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def prefix(own: np.ndarray, excess: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
     """The prefix of a set: its shingles in order, their expected frequencies, and how many a partner has to share."""
     n = len(own)
     cost = excess[_cells(own)]
-    least = n - -(-PERCENT * n // 100)
+    least = n - -(-percent * n // 100)
     rare = np.flatnonzero(cost == 0)
     if len(rare) > least:  # a prefix of rare shingles costs nothing
         rare = rare[: least + 1]
@@ -204,7 +204,7 @@ _ROWS = "token bigint, part int, sig bigint, meta bigint"
 _N_BITS, _SHARED_BITS = 30, 3
 
 
-def prefixes(docs: DataFrame, text: str, excess: Broadcast) -> DataFrame:
+def prefixes(docs: DataFrame, text: str, excess: Broadcast, percent: int = PERCENT) -> DataFrame:
     """A row for each prefix shingle of each class: token, part (0 where the shingle isn't dealt out), sig and meta."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,7 @@ def prefixes(docs: DataFrame, text: str, excess: Broadcast) -> DataFrame:
                 if not len(own) or sig in seen:
                     continue
                 seen.add(sig)
-                found, cost, shared = prefix(own, sketch)
+                found, cost, shared = prefix(own, sketch, percent)
                 tokens.append(found)
                 costs.append(cost)
                 heads.append((len(found), sig, len(own) << _SHARED_BITS | shared))
@@ -295,26 +295,26 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     return found.where("part = 0").unionByName(written(dealt_out.join(several, "token", "left_semi"), "dealt").select(*found.columns))
 
 
-def _overlap(a: Column, b: Column) -> Column:
+def _overlap(a: Column, b: Column, percent: int) -> Column:
     """The least intersection of linked sets of these sizes."""
-    return F.ceil(F.lit(PERCENT) * (a.cast("long") + b) / F.lit(100 + PERCENT) - F.lit(1e-9)).cast("int")
+    return F.ceil(F.lit(percent) * (a.cast("long") + b) / F.lit(100 + percent) - F.lit(1e-9)).cast("int")
 
 
 def _within(n: Column, pos: Column, overlap: Column, shared: Column) -> Column:
     return pos <= n - overlap + shared - 1
 
 
-def _may_link(n1: Column, pos1: Column, s1: Column, n2: Column, pos2: Column, s2: Column) -> Column:
+def _may_link(n1: Column, pos1: Column, s1: Column, n2: Column, pos2: Column, s2: Column, percent: int) -> Column:
     """Whether a shingle at these places lies in the prefixes that the two sizes require."""
-    need, shared = _overlap(n1, n2), F.least(s1, s2)
-    sizes = (100 * n1 >= PERCENT * n2) & (100 * n2 >= PERCENT * n1)
+    need, shared = _overlap(n1, n2, percent), F.least(s1, s2)
+    sizes = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
     return sizes & _within(n1, pos1, need, shared) & _within(n2, pos2, need, shared)
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
+def star_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of classes with their shingles' pivots, and of pivots of a shingle's parts."""
     c = F.col
-    near = rows.where((c("sig") != c("pivot")) & _may_link(c("n"), c("pos"), c("shared"), c("pivot_n"), c("pivot_pos"), c("pivot_shared")))
+    near = rows.where((c("sig") != c("pivot")) & _may_link(c("n"), c("pos"), c("shared"), c("pivot_n"), c("pivot_pos"), c("pivot_shared"), percent))
     pairs = near.select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
     heads = rows.where("part > 0 OR sig = pivot").select("token", "part", "pivot").distinct()
     split = heads.groupBy("token").agg(F.max("part").alias("parts"), F.min("pivot").alias("head")).where("parts > 0")
@@ -322,15 +322,15 @@ def star_pairs(rows: DataFrame) -> DataFrame:
     return pairs.union(across.select(F.least("pivot", "head"), F.greatest("pivot", "head"))).distinct()
 
 
-def heads_of(rows: DataFrame) -> DataFrame:
+def heads_of(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Written table of sig, n, the length of its prefix, and those of its prefix shingles that other classes have in theirs."""
     c = F.col
     out = rows.groupBy("sig").agg(F.first("n").alias("n"), F.first("shared").alias("shared"), F.collect_set("token").alias("tokens"))
-    length = c("n") - F.ceil(PERCENT * c("n") / F.lit(100.0) - 1e-9).cast("int") + c("shared")
+    length = c("n") - F.ceil(percent * c("n") / F.lit(100.0) - 1e-9).cast("int") + c("shared")
     return written(out.select("sig", "n", length.alias("length"), "tokens"), "heads")
 
 
-def likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, heads: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose prefixes share as much as a link requires.
 
     Of two linked sets, let a's prefix end first in the common order. At most n - length of the intersection lies behind a's prefix,
@@ -339,9 +339,9 @@ def likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     c = F.col
     side = lambda k: heads.select(*[c(x).alias(f"{x}_{k}") for x in ("sig", "n", "length", "tokens")])
     both = pairs.join(side("a"), c("a") == c("sig_a")).join(side("b"), c("b") == c("sig_b"))
-    overlap = _overlap(c("n_a"), c("n_b"))
+    overlap = _overlap(c("n_a"), c("n_b"), percent)
     need = F.least(c("length_a") - c("n_a"), c("length_b") - c("n_b")) + overlap
-    sizes = (100 * c("n_a") >= PERCENT * c("n_b")) & (100 * c("n_b") >= PERCENT * c("n_a"))
+    sizes = (100 * c("n_a") >= percent * c("n_b")) & (100 * c("n_b") >= percent * c("n_a"))
     return both.where(sizes & (F.size(F.array_intersect("tokens_a", "tokens_b")) >= need)).select("a", "b")
 
 
@@ -367,13 +367,13 @@ def sets_of(docs: DataFrame, marks: DataFrame, wanted: DataFrame, doc_id: str, t
     return written(found, "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those pairs (a, b) that link."""
     once = sets.dropDuplicates(["sig"]) if sets.groupBy("sig").count().where("count > 1").limit(1).count() else sets
     left = pairs.join(once.select(F.col("sig").alias("a"), F.col("own").alias("own_a")), "a")
     both = left.join(once.select(F.col("sig").alias("b"), F.col("own").alias("own_b")), "b")
     common = F.size(F.array_intersect("own_a", "own_b"))
-    return both.where(100 * common >= PERCENT * (F.size("own_a") + F.size("own_b") - common)).select("a", "b")
+    return both.where(100 * common >= percent * (F.size("own_a") + F.size("own_b") - common)).select("a", "b")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -392,7 +392,7 @@ def connected(links: DataFrame) -> DataFrame:
                 return keep(written(labels, "component"))
 
 
-def meetings(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def meetings(rows: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row (sig0, sig1, need) for each prefix shingle in which two classes of different components meet and may link.
 
     Of the intersection of a pair, all that lies before the end of the prefix that ends first is in both prefixes, and the rest is behind
@@ -405,19 +405,19 @@ def meetings(rows: DataFrame, labels: DataFrame) -> DataFrame:
     rows = written(rows, "rooted")
     mixed = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     rows = written(rows.join(written(mixed, "mixed"), "token", "left_semi"), "open")
-    most = rows.groupBy(c("sig").alias("of")).agg((F.ceil(PERCENT * F.first("n") / F.lit(100.0) - 1e-9).cast("int") - F.first("shared") + F.count("*")).alias("most"))
+    most = rows.groupBy(c("sig").alias("of")).agg((F.ceil(percent * F.first("n") / F.lit(100.0) - 1e-9).cast("int") - F.first("shared") + F.count("*")).alias("most"))
     rows = rows.join(written(most, "most"), c("sig") == c("of")).drop("of")
 
     def bucket(n: Column) -> Column:
         return F.floor(F.ln(n.cast("double")) / F.lit(float(np.log(BUCKET))) + 1e-9).cast("int")
 
     # The smaller set of a pair stands in its own size's bucket, the larger one in those of all sizes it may meet at this place.
-    small = rows.where(_within(c("n"), c("pos"), _overlap(c("n"), c("n")), c("shared"))).withColumn("bucket", bucket(c("n")))
-    small = small.withColumn("able", _overlap(c("n"), c("n")) <= c("most"))
-    low = F.ceil(PERCENT * c("n") / F.lit(100.0) - 1e-9).cast("int")
+    small = rows.where(_within(c("n"), c("pos"), _overlap(c("n"), c("n"), percent), c("shared"))).withColumn("bucket", bucket(c("n")))
+    small = small.withColumn("able", _overlap(c("n"), c("n"), percent) <= c("most"))
+    low = F.ceil(percent * c("n") / F.lit(100.0) - 1e-9).cast("int")
     large = rows.withColumn("bucket", F.explode(F.sequence(bucket(low), bucket(c("n")))))
     least = F.greatest(low, F.ceil(F.pow(F.lit(BUCKET), c("bucket")) - 1e-6).cast("int"))
-    large = large.where(_within(c("n"), c("pos"), _overlap(least, c("n")), c("shared"))).withColumn("able", _overlap(least, c("n")) <= c("most"))
+    large = large.where(_within(c("n"), c("pos"), _overlap(least, c("n"), percent), c("shared"))).withColumn("able", _overlap(least, c("n"), percent) <= c("most"))
     sides = small.withColumn("side", F.lit(0)).unionByName(large.withColumn("side", F.lit(1))).drop("most")
     sides = written(sides, "sides")
     counts = sides.groupBy("token", "bucket", "root").agg(F.count("*").alias("rows"), F.min("side").alias("low"), F.max("side").alias("high"), F.max("able").alias("able"))
@@ -431,7 +431,7 @@ def meetings(rows: DataFrame, labels: DataFrame) -> DataFrame:
             out = out if value is None else out.where(c(name) == F.lit(value))
         return out.select("token", "bucket", *[c(x).alias(f"{x}{k}") for x in ("sig", "n", "pos", "shared", "root")])
 
-    fits = (c("root0") != c("root1")) & (F.struct("n0", "sig0") < F.struct("n1", "sig1")) & _may_link(c("n0"), c("pos0"), c("shared0"), c("n1"), c("pos1"), c("shared1"))
+    fits = (c("root0") != c("root1")) & (F.struct("n0", "sig0") < F.struct("n1", "sig1")) & _may_link(c("n0"), c("pos0"), c("shared0"), c("n1"), c("pos1"), c("shared1"), percent)
     met = None
     # One of the two is outside the group's largest component, and one of the two is able to link.
     for minor, able in product((True, False), (True, False)):
@@ -441,41 +441,50 @@ def meetings(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return met
 
 
-def left_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def left_pairs(rows: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of classes in different components that share enough of their prefixes."""
-    enough = meetings(rows, labels).groupBy("sig0", "sig1").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
+    enough = meetings(rows, labels, percent).groupBy("sig0", "sig1").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
     return enough.select(F.least("sig0", "sig1").alias("a"), F.greatest("sig0", "sig1").alias("b"))
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Marks (doc_id, mark, n, sig), one row per document, and labels (sig, root) of all classes that have links."""
     spark = docs.sparkSession
     with passing(spark) as keep:
         marks = keep(signed(docs, doc_id, text))
         excess = spark.sparkContext.broadcast(sketch_of(marks))
-        rows = shared_rows(prefixes(docs, text, excess))
-        heads = heads_of(rows)
-        first = written(likely(star_pairs(rows), heads), "stars")
+        rows = shared_rows(prefixes(docs, text, excess, percent))
+        heads = heads_of(rows, percent)
+        first = written(likely(star_pairs(rows, percent), heads, percent), "stars")
         with passing(spark) as keep_links:
-            links = keep_links(written(verified(first, sets_of(docs, marks, ends_of(first), doc_id, text)), "linked"))
+            links = keep_links(written(verified(first, sets_of(docs, marks, ends_of(first), doc_id, text), percent), "linked"))
         labels = keep(connected(links))
         with passing(spark) as keep_rest:
-            rest = likely(left_pairs(rows, labels), heads).join(first.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+            rest = likely(left_pairs(rows, labels, percent), heads, percent).join(first.select(F.col("a").alias("x"), F.col("b").alias("y")), (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
             rest = keep_rest(written(rest, "rest"))
-        links = written(links.union(verified(rest, sets_of(docs, marks, ends_of(rest), doc_id, text))), "all_links")
+        links = written(links.union(verified(rest, sets_of(docs, marks, ends_of(rest), doc_id, text), percent)), "all_links")
         labels = keep(connected(links))
     return marks.where("n >= 0").drop("cells"), labels
 
 
 def _rooted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     marks, labels = classes(docs, doc_id, text)
+    return rooted(marks, labels)
+
+
+def rooted(marks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Written table of the marks with the root of their class, itself where it has no links."""
     rows = marks.join(labels, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     return written(rows, "rooted_docs")
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
-    rows = _rooted(docs, doc_id, text)
+    return named(_rooted(docs, doc_id, text))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """Per row of ``rooted``: doc_id, n_shingles and the least doc_id of its component."""
     first = written(rows.where("n > 0").groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component")), "first")
     alone = F.col("n") == 0
     return rows.join(first, (F.col("root") == F.col("of")) & ~alone, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

@@ -78,12 +78,62 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit
 FROM d LEFT JOIN w USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLES["op4_ngram_join"] = f"""
+#: Links of documents by their 5-word shingles. The brace is filled with the similarity in hundredths.
+_COMPONENTS = f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
      g AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM d WHERE len(ws) > 0)),
      n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
      c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-     l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+     l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= {{percent}} * (p.n + q.n - c)),
      r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
-SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) LEFT JOIN n USING (doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id{{more}} FROM (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES["op4_ngram_join"] = _COMPONENTS.format(percent=75, more="")
+ORACLES["op12_minhash"] = _COMPONENTS.format(percent=85, more=", doc_id = component_id AS kept")
+
+
+def _clustering(clusters: int = 8, rounds: int = 10, scale: int = 1024, seed: int = 3) -> str:
+    """The rounds written out one after another, each from all components."""
+    parts = [
+        f"""v AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+      FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        f"c0 AS (SELECT r AS k, x AS c FROM v WHERE r < {clusters})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"d{i} AS (SELECT vec_id, r, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i})")
+        parts.append(f"a{i} AS (SELECT vec_id, r, x, min_by(k, d * {clusters} + k) AS k, CAST(min(d) AS BIGINT) AS d FROM d{i} GROUP BY vec_id, r, x)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT k, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS v, unnest(range(1, 65)) AS i FROM a{i}) GROUP BY k, i)")
+            parts.append(f"m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{i} GROUP BY k)")
+            parts.append(f"c{i + 1} AS (SELECT k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))")
+    return f"""
+WITH {', '.join(parts)}
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)
+"""
+
+
+ORACLES["op11_centroids"] = _clustering()
+
+#: CRC-32 over a word's bytes, with its table made from the polynomial.
+ORACLES["op13_resampling"] = f"""
+WITH t AS (SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), range(8)), lambda a, i: CASE WHEN (a & 1) = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY b) AS crc FROM range(256) r(b)),
+     d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+     q AS (SELECT regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+     u AS (SELECT doc_id, unnest(ws) AS w FROM d),
+     b AS (SELECT unnest(ws) AS w FROM q),
+     h AS (SELECT w, hex(w) AS x FROM (SELECT w FROM u UNION SELECT w FROM b)),
+     z AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT))), lambda a, y: xor(a >> 8, crc[(xor(a, y) & 255) + 1])), 4294967295) % 10000 AS k FROM h, t),
+     s AS (SELECT k, count(*) AS n FROM u JOIN z USING (w) GROUP BY k),
+     e AS (SELECT k, count(*) AS n FROM b JOIN z USING (w) GROUP BY k),
+     f AS (SELECT (SELECT sum(n) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM e) AS t),
+     g AS (SELECT k, CAST(floor(1000 * ln(CAST(coalesce(e.n, 0) + 1 AS DOUBLE) * (f.s + 10000) / (CAST(s.n + 1 AS DOUBLE) * (f.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN e USING (k), f),
+     w AS (SELECT doc_id, sum(gain) AS weight FROM u JOIN z USING (w) JOIN g USING (k) GROUP BY doc_id),
+     o AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                  CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+           FROM d LEFT JOIN w USING (doc_id)),
+     r AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS m FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * m // 100 THEN place END AS rank FROM r
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, extraction, lines, near, packing, pii, sharding, toxicity, warc
+from quillspark.llm import centroids, decontamination, extraction, lines, minhash, near, packing, pii, resampling, sharding, toxicity, warc
 from quillspark.llm.common import table
 
 
@@ -60,8 +60,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_extraction, op3_pii, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding, op10_toxicity)}
+    found = (op1_decontamination, op2_extraction, op3_pii, op4_ngram_join, op5_packing, op6_quality, op7_line_dedup, op8_warc, op9_sharding, op10_toxicity)
+    return {f.__name__: f for f in (*found, op11_centroids, op12_minhash, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
