@@ -24,7 +24,8 @@ def _fold_table() -> tuple[str, str]:
         bare = "".join(x for x in unicodedata.normalize("NFD", c) if not "\u0300" <= x <= "\u036f")
         if len(bare) == 1 and bare != c:
             pairs.append((c, bare))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    marks = "".join(map(chr, range(0x300, 0x370)))  # at the end, without a counterpart: they go
+    return "".join(a for a, _ in pairs) + marks, "".join(b for _, b in pairs)
 
 
 def let(value: Column, body) -> Column:
@@ -35,7 +36,7 @@ def let(value: Column, body) -> Column:
 def fold(text: Column) -> Column:
     """Lower case without accents: the search and matching form of a text."""
     source, target = _fold_table()
-    return F.lower(F.regexp_replace(F.translate(text, source, target), r"[\u0300-\u036F]", ""))
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.lower(F.translate(text, source, target)))
 
 
 def squeeze(text: Column) -> Column:
@@ -50,7 +51,7 @@ def marker_norm(text: Column) -> Column:
 
 def words(text: Column, stop: list[str] | None = None, least: int = 5) -> Column:
     """Folded words of at least ``least`` letters that aren't stop words, in order."""
-    tokens = F.split(F.regexp_replace(fold(text), r"[^a-z\s-]", " "), r"\s+")
+    tokens = F.split(fold(text), r"(?:[^a-z-])+")
     kept = F.filter(tokens, lambda w: F.length(w) >= least)
     return kept if not stop else F.filter(kept, lambda w: ~w.isin(*stop))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fold, let, round_half_up
@@ -33,12 +33,7 @@ class Lexicon:
         each = [F.struct((-(round_half_up(s, digits) if digits else s)).alias("low"), F.lit(i).alias("ord"), F.lit(t).alias("topic")) for i, (t, s) in enumerate(self.scores(folded).items())]
         ranked = F.filter(F.array_sort(F.array(*each)), lambda x: x["low"] < 0)
 
-        def pick(r: Column) -> Column:
-            best, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
-            both = (-second["low"] >= 4) & (-second["low"] >= 0.6 * -best["low"])
-            return F.when(both, F.array(best["topic"], second["topic"])).when(best.isNotNull(), F.array(best["topic"])).otherwise(F.array(F.lit(self.fallback)))
-
-        return let(ranked, pick)
+        return let(ranked, lambda r: F.coalesce(_best_two(r), F.array(F.lit(self.fallback))))
 
 
 def first_match(value: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
@@ -49,7 +44,59 @@ def first_match(value: Column, rules: list[tuple[str, str]], default: str | None
     return out
 
 
-def negative(text: Column, words: list[str], folded_pattern: str, tail: int = 400) -> Column:
-    """Upper-case words near the end, whole by ASCII rules, or a pattern in the folded text."""
-    whole = rf"(?<![A-Za-z0-9_])({'|'.join(words)})(?![A-Za-z0-9_])"
-    return F.right(text, F.lit(tail)).rlike(whole) | fold(text).rlike(folded_pattern)
+def negative(text: Column, words: list[str], folded_words: list[str], tail: int = 400) -> Column:
+    """Upper-case words, or words of any case and accent, whole by ASCII rules, in the last ``tail`` characters."""
+    whole = lambda listed: rf"(?<![A-Za-z0-9_])({'|'.join(listed)})(?![A-Za-z0-9_])"
+    end = F.right(text, F.lit(tail))
+    return end.rlike(whole(words)) | fold(end).rlike(whole(folded_words))
+
+
+#: Letters of a keyword's literal beginning that serve as its key in the index.
+KEY = 4
+
+
+def keyword_index(keywords: DataFrame) -> DataFrame:
+    """The keywords (topic, ord, grp, pos, regex) with key: the literal letters, at most KEY, with which every match begins.
+
+    Letters that may be left out aren't taken; a keyword with a bar outside brackets, or that begins with anything else, has an empty key
+    and is tried on every text. Keywords that can never match keep their positions, and so the weights of those behind them.
+    """
+    bare = F.regexp_replace("regex", r"^\\b", "")
+    literal = F.regexp_extract(bare, rf"^((?:[a-z](?![?*{{|])){{1,{KEY}}})", 1)
+    return keywords.withColumn("key", F.when(F.regexp_replace("regex", r"\([^()]*\)", "").contains("|"), "").otherwise(literal))
+
+
+def keyword_counts(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """id, topic, ord, pos and n: how often each keyword of a text's own group occurs in it. ``texts`` has id, grp and folded (text).
+
+    The beginnings of a text's distinct words meet the keywords by key in an equi-join, so that the work doesn't grow with the
+    dictionary but with what of it may occur; only the patterns that may are then counted, in one pass over the texts.
+    """
+    starts = F.transform(F.array_distinct(F.regexp_extract_all("folded", F.lit(rf"(?:^|[^a-z])([a-z]{{1,{KEY}}})"), F.lit(1))), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.substring(w, F.lit(1), k)))
+    keys = F.array_distinct(F.concat(F.flatten(starts), F.array(F.lit(""))))
+    met = texts.select("id", "grp", F.explode(keys).alias("key")).join(keyword_index(keywords), ["grp", "key"])
+    found = met.groupBy("id").agg(F.collect_list(F.struct("topic", "ord", "pos", "regex")).alias("maybe"))  # at most a group's keywords
+    rows = texts.select("id", "folded").join(found, "id")
+    counted = F.transform("maybe", lambda k: F.struct(k["topic"].alias("topic"), k["ord"].alias("ord"), k["pos"].alias("pos"), F.regexp_count("folded", F.concat(F.lit("(^|[^a-z])"), k["regex"])).alias("n")))
+    return rows.select("id", F.explode(F.filter(counted, lambda k: k["n"] > 0)).alias("k")).select("id", "k.topic", "k.ord", "k.pos", "k.n")
+
+
+def topics_by_table(texts: DataFrame, keywords: DataFrame, fallback: dict[str, str]) -> DataFrame:
+    """id and topics of texts (id, grp, folded): the best topic of the text's group, and the second where it has 0.6 of the best score and
+    at least 4; ties by ord. A text without any keyword has its group's fallback, and none without a group."""
+    each = keyword_counts(texts, keywords)
+    term = F.when(F.col("pos") < HEAVY, 3.0).otherwise(2.0) * F.pow(F.least(F.lit(3), F.col("n")).cast("double"), F.lit(0.7))
+    terms = F.transform(F.array_sort(F.collect_list(F.struct("pos", term.alias("t")))), lambda x: x["t"])
+    scores = each.groupBy("id", "topic", "ord").agg(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("score"))  # in the order of the keywords
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "ord", "topic")))
+    best = scores.groupBy("id").agg(ranked.alias("r")).withColumn("topics", let(F.col("r"), _best_two)).drop("r")
+    of_group = F.lit(None).cast("string")
+    for group, topic in fallback.items():
+        of_group = F.when(F.col("grp") == group, topic).otherwise(of_group)
+    return texts.select("id", "grp").join(best, "id", "left").select("id", F.coalesce("topics", F.when(of_group.isNotNull(), F.array(of_group)), F.array().cast("array<string>")).alias("topics"))
+
+
+def _best_two(r: Column) -> Column:
+    best, second = F.get(r, F.lit(0)), F.get(r, F.lit(1))
+    both = (-second["low"] >= 4) & (-second["low"] >= 0.6 * -best["low"])
+    return F.when(both, F.array(best["topic"], second["topic"])).when(best.isNotNull(), F.array(best["topic"]))

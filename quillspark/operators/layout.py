@@ -5,11 +5,15 @@ Items are (doc, page, i, x, w, h, baseline, str): i is their order on the page.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators.classify import first_match
+from quillspark.operators.study import anchored
 
 # Shares of a page's height, tolerances, and the patterns of markers in normalised text.
 FOOTER_ZONE, FOOTER_DEFAULT, RIGHT_COLUMN, MARKER_HEIGHT = 0.86, 0.93, 0.4, 0.95
@@ -71,11 +75,19 @@ def median_height(items: DataFrame) -> DataFrame:
     return counts.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("doc").agg(F.min("h").alias("body"))
 
 
-def markers(items: DataFrame, height: float) -> DataFrame:
-    """doc, page, i, x, top, kind, num and nums of the marker items above the footers; headings of small print don't count."""
-    norm = T.marker_norm(F.col("str"))
-    rows = items.withColumn("norm", norm).withColumn("kind", first_match(F.col("norm"), MARKERS)).where("kind IS NOT NULL")
-    rows = rows.join(frames(items, height), ["doc", "page"]).join(median_height(items), "doc")
+def markers(items: DataFrame, height: float, framed: DataFrame | None = None, decode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc, page, i, x, top, kind, num and nums of the marker items above the footers; headings of small print don't count.
+
+    ``framed`` are the frames where the caller has them. With ``decode``, an item that is no marker is looked at once more in its decoded
+    form: a short heading may be in glyph ids although its font wasn't decoded on the page.
+    """
+    norm = F.col("norm") if "norm" in items.columns else T.marker_norm(F.col("str"))
+    rows = items.withColumn("norm", norm).withColumn("kind", first_match(F.col("norm"), MARKERS))
+    if decode is not None:
+        again = F.when(F.col("kind").isNull(), T.marker_norm(decode(F.col("str"))))
+        rows = rows.withColumn("norm", F.coalesce(again, "norm")).withColumn("kind", F.coalesce("kind", first_match(F.col("norm"), MARKERS)))
+    rows = rows.where("kind IS NOT NULL")
+    rows = rows.join(frames(items, height) if framed is None else framed, ["doc", "page"]).join(median_height(items), "doc")
     rows = rows.where((F.col("top") < F.col("footer_top")) & (F.col("kind").isin("stop", "end") | (F.col("h") >= MARKER_HEIGHT * F.col("body"))))
     pattern = {kind: p for p, kind in MARKERS}
     num = F.when(F.col("kind") == "essay", F.regexp_extract("norm", pattern["essay"], 1)).when(F.col("kind") == "objective", F.regexp_extract("norm", pattern["objective"], 1))
@@ -112,16 +124,21 @@ def cover_ranges(text: Column) -> Column:
 
 
 def sections(found: DataFrame, pages: DataFrame, covers: DataFrame) -> DataFrame:
-    """The opening markers with their section: by the footer of their page where any footer of the document names the general part, else
+    """doc, page, i, kind, num and section of the opening markers."""
+    return sectioned(found.where(~F.col("kind").isin("stop", "end")), pages, covers).select("doc", "page", "i", "kind", "num", "section")
+
+
+def sectioned(found: DataFrame, pages: DataFrame, covers: DataFrame) -> DataFrame:
+    """Rows that open blocks with their section: by the footer of their page where any footer of the document names the general part, else
     by the cover's ranges, else specific. ``covers`` has doc and cover."""
     general = F.contains(F.regexp_replace(T.marker_norm(F.col("footer_text")), r"\s", ""), F.lit("FORMACAOGERAL"))
     marked = pages.select("doc", "page", general.alias("general"))
     named = marked.groupBy("doc").agg(F.bool_or("general").alias("named"))
-    rows = found.where(~F.col("kind").isin("stop", "end")).join(marked, ["doc", "page"]).join(named, "doc").join(covers, "doc", "left")
+    rows = found.join(marked, ["doc", "page"]).join(named, "doc").join(covers, "doc", "left")
     cover, start = F.col("cover"), F.col("cover.specific_from")
     by_cover = F.when(F.col("kind") == "essay", F.array_contains(cover["essays"], F.col("num"))).when(F.col("kind") == "objective", F.col("num") >= start).otherwise(F.array_min("nums") >= start)
     specific = F.when(F.col("named"), ~F.col("general")).when(cover.isNotNull(), F.coalesce(by_cover, F.lit(False))).otherwise(True)
-    return rows.select("doc", "page", "i", "kind", "num", F.when(specific, "specific").otherwise("general").alias("section"))
+    return rows.select(*found.columns, F.when(specific, "specific").otherwise("general").alias("section"))
 
 
 def segments(found: DataFrame, pages: DataFrame, width: float) -> DataFrame:
@@ -130,10 +147,27 @@ def segments(found: DataFrame, pages: DataFrame, width: float) -> DataFrame:
     A marker opens a block, a stop closes it, an end closes the document; a block goes on in the next column and page. Pages before the
     first opening marker have no areas, nor do strips that are less than 4 high. ``pages`` are the frames.
     """
+    return areas(reading(found, pages, width))
+
+
+def areas(rows: DataFrame) -> DataFrame:
+    """The areas of ``reading``'s rows."""
+    open_ = ~F.col("ended") & ~F.col("now.kind").isin("stop", "end")
+    return rows.where(open_ & (F.col("y1") - F.col("y0") >= 4)).select("doc", "block", "now.kind", "now.num", "page", "col", "x0", "x1", "y0", "y1")
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """doc, block, kind, num, nums, page and i of the markers among ``reading``'s rows that open a block, with areas or without."""
+    return rows.where(~F.col("ended") & ~F.col("kind").isin("stop", "end")).select("doc", "block", "kind", "num", "nums", "page", "i")
+
+
+def reading(found: DataFrame, pages: DataFrame, width: float) -> DataFrame:
+    """Columns and markers in reading order, each with its strip of the page, the block it belongs to and whether the document has ended."""
     c = F.col
     none = lambda kind: F.lit(None).cast(kind)
-    empty = pages.select("doc", "page", F.lit(-1).alias("i"), none("double").alias("x"), none("double").alias("top"), none("string").alias("kind"), none("int").alias("num"), "footer_top")
-    rows = empty.unionByName(found.select("doc", "page", "i", "x", "top", "kind", "num", none("double").alias("footer_top")))
+    empty = pages.select("doc", "page", F.lit(-1).alias("i"), none("double").alias("x"), none("double").alias("top"), none("string").alias("kind"), none("int").alias("num"), none("array<int>").alias("nums"), "footer_top")
+    nums = c("nums") if "nums" in found.columns else none("array<int>").alias("nums")
+    rows = empty.unionByName(found.select("doc", "page", "i", "x", "top", "kind", "num", nums, none("double").alias("footer_top")))
     opens = c("kind").isNotNull() & ~c("kind").isin("stop", "end")
     of_doc, of_page = Window.partitionBy("doc"), Window.partitionBy("doc", "page")
     least = lambda column, holds=opens: F.min(F.when(holds, c(column)))
@@ -144,15 +178,13 @@ def segments(found: DataFrame, pages: DataFrame, width: float) -> DataFrame:
     column = lambda k, x0, x1: F.struct(F.lit(k).alias("col"), x0.alias("x0"), x1.alias("x1"))
     two = F.array(column(0, c("left_margin"), c("split")), column(1, c("split"), right))
     rows = rows.withColumn("c", F.explode(F.when(c("split").isNotNull(), two).otherwise(F.array(column(0, c("left_margin"), right)))))
-    rows = rows.select("doc", "page", "c.*", "split", "footer_top", "i", "x", "kind", "num", F.coalesce(c("top") - 2, c("content_top")).alias("y0"))
+    rows = rows.select("doc", "page", "c.*", "split", "footer_top", "i", "x", "kind", "num", "nums", F.coalesce(c("top") - 2, c("content_top")).alias("y0"))
     rows = rows.where(c("kind").isNull() | c("split").isNull() | ((c("x") >= c("x0") - 2) & (c("x") < c("x1") - 20))).withColumn("order", c("kind").isNotNull())
-    reading = Window.partitionBy("doc").orderBy("page", "col", "order", "y0", "i")
+    order = Window.partitionBy("doc").orderBy("page", "col", "order", "y0", "i")
     in_column = Window.partitionBy("doc", "page", "col").orderBy("order", "y0", "i")
     rows = rows.withColumn("y1", F.coalesce(F.lead("y0").over(in_column), c("footer_top")))
-    now = F.last(F.when(c("kind").isNotNull(), F.struct("kind", "num")), ignorenulls=True).over(reading)
-    rows = rows.withColumn("now", now).withColumn("block", F.count(F.when(opens, 1)).over(reading)).withColumn("ended", F.count(F.when(c("kind") == "end", 1)).over(reading) > 0)
-    rows = rows.where(~c("ended") & ~c("now.kind").isin("stop", "end") & (c("y1") - c("y0") >= 4))
-    return rows.select("doc", "block", "now.kind", "now.num", "page", "col", "x0", "x1", "y0", "y1")
+    now = F.last(F.when(c("kind").isNotNull(), F.struct("kind", "num")), ignorenulls=True).over(order)
+    return rows.withColumn("now", now).withColumn("block", F.count(F.when(opens, 1)).over(order)).withColumn("ended", F.count(F.when(c("kind") == "end", 1)).over(order) > 0)
 
 
 def contained(items: DataFrame, areas: DataFrame) -> DataFrame:
@@ -174,6 +206,116 @@ def repaired(texts: DataFrame, by: str, text: str) -> DataFrame:
     return texts.join(gate, F.col(by).eqNullSafe(F.col("of")), "left").withColumn(text, F.when(F.col("repair"), repair_ligatures(F.col(text))).otherwise(F.col(text))).drop("of", "repair")
 
 
+#: Code points that are normalised on their way here, and the glyph ids they stood for.
+NORMALISED = {0x3B: 0x37E, 0xB7: 0x387, 0x2B9: 0x374}
+#: Glyphs that a table may have; it goes into expressions.
+MOST_GLYPHS = 4096
+
+
+def glyph_decoder(glyphs: DataFrame) -> Callable[[Column], Column]:
+    """A function that decodes glyph ids by a table (code int, text string) of at most MOST_GLYPHS rows, such as a lookup file.
+
+    Every character is looked up by its code point, in one pass: those that the table gives one character are translated, those of several
+    characters go by way of private characters. A blank stays, normalised code points count as the glyph they stood for, control characters
+    that the table doesn't know are dropped, and others stay.
+    """
+    rows = glyphs.select("code", "text").where("code IS NOT NULL AND text IS NOT NULL").limit(MOST_GLYPHS + 1).collect()
+    if len(rows) > MOST_GLYPHS:
+        raise ValueError(f"a table of more than {MOST_GLYPHS} glyphs")
+    known = {r["code"]: r["text"] for r in rows}
+    of = {code: text for code, text in known.items() if code not in (0x20, *NORMALISED)}
+    of |= {code: known[real] for code, real in NORMALISED.items() if real in known}
+    of |= {code: "" for code in range(0x20) if code not in of}
+    several = {code: chr(0xE000 + k) for k, code in enumerate(sorted(c for c, t in of.items() if len(t) > 1))}
+    single = {code: several.get(code, text) for code, text in of.items() if text}
+    source = "".join(map(chr, single)) + "".join(chr(c) for c, t in of.items() if not t)
+
+    def decode(text: Column) -> Column:
+        text = F.translate(text, source, "".join(single.values()))
+        for code, mark in several.items():
+            text = F.replace(text, F.lit(mark), F.lit(of[code]))
+        return text
+
+    return decode
+
+
+def decoded(items: DataFrame, decode: Callable[[Column], Column]) -> DataFrame:
+    """Items with their text decoded where their font is in glyph ids on the page, and without leaked glyphs elsewhere.
+
+    A font is in glyph ids if at least half of its characters on the page, and three of them, are control characters or of the code points
+    in which glyph ids come.
+    """
+    bare = F.regexp_replace("str", T.BLANK, "")
+    font = Window.partitionBy("doc", "page", "font")
+    rows = items.withColumn("chars", F.sum(F.length(bare)).over(font)).withColumn("odd", F.sum(F.regexp_count(bare, F.lit(r"[\x00-\x1F\u0100-\u03FF]"))).over(font))
+    glyph_ids = (F.col("chars") >= 3) & (F.col("odd") >= 0.5 * F.col("chars"))
+    return rows.withColumn("str", F.when(glyph_ids, decode(F.col("str"))).otherwise(leaked_glyphs(F.col("str")))).drop("chars", "odd")
+
+
+def page_runs(items: DataFrame, tolerance: float = 2.0) -> DataFrame:
+    """doc, page, i, x, w, h, baseline, top, bottom and str of the runs that the items of a page make.
+
+    Lines first: from top to bottom an item joins the line whose first baseline is within the tolerance. Then, from left to right, a run
+    ends where a gap is at least max(3, 0.7 of the next item's height), and a blank comes between items of a run with a visible gap and
+    no blank yet. A run has its line's baseline; i counts runs in reading order. The anchors of the streamed pass are the windows' keys.
+    """
+    kept = items.where(F.col("str").rlike(rf"[^{T.BLANK[1:]}")).select("doc", "page", F.col("i").cast("long").alias("i"), "x", "w", "h", "baseline", "str")
+    lines = anchored(kept, ["doc", "page"], "baseline", tolerance, ["x", "i"])
+    line = Window.partitionBy("doc", "page", "grp")
+    order = line.orderBy("x", "baseline", "i")
+    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(order)
+    blank = F.endswith(F.lag("str").over(order), F.lit(" ")) | F.startswith("str", F.lit(" "))
+    rows = lines.withColumn("new", F.coalesce(gap >= F.greatest(F.lit(3.0), 0.7 * F.col("h")), F.lit(True)))
+    rows = rows.withColumn("piece", F.concat(F.when(~F.col("new") & (gap > 0.15 * F.col("h")) & ~blank, " ").otherwise(""), "str"))
+    rows = rows.withColumn("run", F.count(F.when(F.col("new"), 1)).over(order)).withColumn("line", F.min("baseline").over(line))
+    pieces = F.sort_array(F.collect_list(F.struct("x", "baseline", "i", "piece")))
+    end = F.max_by(F.col("x") + F.col("w"), F.struct("x", "baseline", "i"))
+    runs_ = rows.groupBy("doc", "page", "grp", "run").agg(F.min("x").alias("x"), end.alias("end"), F.max("h").alias("h"), F.first("line").alias("baseline"), pieces.alias("p"))
+    place = (F.col("grp").cast("long") * (1 << 20) + F.col("run")).alias("i")
+    text = T.squeeze(F.array_join(F.transform("p", lambda p: p["piece"]), "")).alias("str")
+    runs_ = runs_.select("doc", "page", place, "x", (F.col("end") - F.col("x")).alias("w"), "h", "baseline", text)
+    return runs_.withColumn("top", F.col("baseline") - 0.9 * F.col("h")).withColumn("bottom", F.col("baseline") + 0.25 * F.col("h"))
+
+
+def assembled(rows: DataFrame, by: list[str], order: list[str], tolerance: float = 2.0, column: float = 400.0, reach: float | None = 300.0) -> DataFrame:
+    """The rows (page, baseline, x and others) with line, a number from 0 for each key: lines put together in reading order.
+
+    A row joins the first line, of those opened so far, of its page whose first baseline is within the tolerance and whose first x is less
+    than ``column`` away, if it begins right of that x less ``reach``; otherwise it opens a line. Without ``reach`` every row opens
+    one. A task goes once through its rows in order, and forgets the lines of a page when the next one begins (rows come page by page),
+    so that it holds a page's anchors and nothing of the rows.
+    """
+    names = rows.columns
+    at = [names.index(c) for c in (*by, "page", "baseline", "x")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, page, count, open_ = None, None, 0, []
+        for batch in batches:
+            out = []
+            for *key, number, baseline, x in zip(*(batch.column(k).to_pylist() for k in at), strict=True):
+                if key != last:
+                    last, page, count, open_ = key, number, 0, []
+                elif number != page:
+                    page, open_ = number, []
+                met = next((line for line in open_ if abs(line[0] - baseline) <= tolerance and abs(line[1] - x) < column), None)
+                if met is None or reach is None or x <= met[1] - reach:
+                    met = (baseline, x, count)
+                    open_.append(met)
+                    count += 1
+                out.append(met[2])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*names, "line"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(*by).sortWithinPartitions(*by, "page", *order).mapInArrow(run, f"{kinds}, line bigint")
+
+
+def line_texts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, page, line and text of ``assembled`` rows, from left to right."""
+    each = F.sort_array(F.collect_list(F.struct("x", "place", "str")))
+    texts = rows.groupBy(*by, "line").agg(F.min("page").alias("page"), each.alias("p"))
+    return texts.select(*by, "page", "line", T.squeeze(F.array_join(F.transform("p", lambda p: p["str"]), " ")).alias("text"))
+
+
 def leaked_glyphs(text: Column) -> Column:
     """Characters of partly mapped fonts as what they stand for."""
     return F.replace(F.translate(text, "ĚĴͳ", " (-"), F.lit("Į"), F.lit("fi"))

@@ -14,10 +14,11 @@ def document_words(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
 
 
 def log_odds(words: DataFrame, positive: Column, least: int = 6) -> DataFrame:
-    """Smoothed log-odds of words between positive and other documents, rounded before use; denominators are word totals."""
+    """Smoothed log-odds of words between positive and other documents, rounded before use: a word's count on a side against that of the side's other words."""
     counts = words.groupBy("word").agg(F.count_if(positive).alias("good"), F.count_if(~positive).alias("poor"))
     totals = counts.agg(F.sum("good").alias("all_good"), F.sum("poor").alias("all_poor"))
-    odds = F.ln((F.col("good") + 0.5) / (F.col("all_good") + 0.5)) - F.ln((F.col("poor") + 0.5) / (F.col("all_poor") + 0.5))
+    side = lambda n: F.ln((F.col(n) + 0.5) / (F.col(f"all_{n}") - F.col(n) + 0.5))
+    odds = side("good") - side("poor")
     kept = counts.where(F.col("good") + F.col("poor") >= least)
     return kept.crossJoin(F.broadcast(totals)).select("word", "good", "poor", round_half_up(odds, 2).alias("log_odds"))
 
@@ -129,10 +130,9 @@ def repeated_lines(lines: DataFrame, document: str, least: int, share: float) ->
 
 
 def length_rank(df: DataFrame, lengths: Column, own: Column) -> DataFrame:
-    """How often the answer is the longest or the shortest of its alternatives, and by chance."""
+    """How often the answer is the longest or the shortest of its alternatives, ties included, and how often one taken blindly is the answer."""
     top, low = F.array_max(lengths), F.array_min(lengths)
-    ties = F.size(F.filter(lengths, lambda x: x == top))
-    rows = df.select((own == top).alias("longest"), (own == low).alias("shortest"), (ties / F.size(lengths)).alias("chance"))
+    rows = df.select((own == top).alias("longest"), (own == low).alias("shortest"), (1 / F.size(lengths)).alias("chance"))
     out = rows.agg(F.count("*").alias("n"), F.count_if("longest").alias("longest"), F.count_if("shortest").alias("shortest"), F.sum("chance").alias("chance"))
     return out.select("n", percent(F.col("longest"), F.col("n")).alias("longest_pct"), percent(F.col("shortest"), F.col("n")).alias("shortest_pct"), percent(F.col("chance"), F.col("n")).alias("chance_pct"))
 

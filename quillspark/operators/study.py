@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -121,63 +121,58 @@ def content_range(array: Column, tiny: int, apart: int) -> Column:
     return let(_runs(array), ends)
 
 
-def anchored(rows: DataFrame, by: list[str], value: str, tolerance: float) -> DataFrame:
-    """by, value and grp: groups of sorted values, where a value joins the group whose first value is within the tolerance.
+def anchored(rows: DataFrame, by: list[str], value: str, tolerance: float, then: Sequence[str] = ()) -> DataFrame:
+    """The rows with grp: groups of sorted values, where a value joins the group whose first value is within the tolerance.
 
-    A group's first value decides, not its neighbours, so that no window says it. A task goes once through its sorted rows and keeps one
-    value at a time; nothing is collected by key. Null values are dropped.
+    A group's first value decides, not its neighbours, so that no window says it. A task goes once through its rows, sorted by value and
+    then by ``then``, and keeps one value at a time; nothing is collected by key. Null values are dropped.
     """
-    kept = rows.select(*by, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
+    kept = rows.withColumn(value, F.col(value).cast("double")).where(F.col(value).isNotNull())
+    names = kept.columns
+    keys, at = [names.index(k) for k in by], names.index(value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, anchor, group = None, 0.0, 0
         for batch in batches:
             out = []
-            for *key, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, v in zip(*(batch.column(k).to_pylist() for k in (*keys, at)), strict=True):
                 if key != last:
                     last, anchor, group = key, v, 0
                 elif v - anchor > tolerance:
                     anchor, group = v, group + 1
                 out.append(group)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*by, value, "grp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*names, "grp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.repartition(*by).sortWithinPartitions(*by, value).mapInArrow(run, f"{kinds}, grp int")
+    return kept.repartition(*by).sortWithinPartitions(*by, value, *then).mapInArrow(run, f"{kinds}, grp int")
 
 
 def in_order(rows: DataFrame, by: str, order: list[str], letter: str, alphabet: str, least: int) -> DataFrame:
     """by and found: from a key's last first letter on, the letters of the alphabet in order, each at its first place behind the one before.
 
-    Null below ``least`` letters. Each letter is one aggregation over its own rows, so that no key's rows are collected.
+    Null below ``least`` letters. A task goes once through its sorted rows and keeps one number: how many letters the run has that began at
+    the last first letter.
     """
-    places = rows.select(by, F.struct(*order).alias("at"), F.col(letter).alias("letter"))
-    state = places.where(F.col("letter") == alphabet[0]).groupBy(by).agg(F.max("at").alias("last"), F.lit(1).alias("n"))
-    for x in alphabet[1:]:
-        following = state.join(places.where(F.col("letter") == x).drop("letter"), by, "left").groupBy(by)
-        state = following.agg(F.min(F.when(F.col("at") > F.col("last"), F.col("at"))).alias("last"), F.max("n").alias("n")).withColumn("n", F.col("n") + F.col("last").isNotNull().cast("int"))
-    found = F.when(F.col("n") >= least, F.left(F.lit(alphabet), F.col("n")))
-    return rows.select(by).distinct().join(state, by, "left").select(by, found.alias("found"))
-
-
-def anchor_groups(values: Column, tolerance: float) -> Column:
-    """Group numbers of sorted values: a value joins the group whose first value is within the tolerance (not transitive)."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, v: Column) -> Column:
-        new = s["anchor"].isNull() | (F.abs(v - s["anchor"]) > tolerance)
-        n = s["n"] + new.cast("int")
-        return F.struct(F.when(new, v).otherwise(s["anchor"]).alias("anchor"), n.alias("n"), F.concat(s["out"], F.array(n)).alias("out"))
-
-    return F.aggregate(values, start, step, lambda s: s["out"])
-
-
-def ordered_subsequence(letters: Column, alphabet: str = "ABCDE", least: int = 4) -> Column:
-    """From the last first letter on, the longest greedy run of the alphabet in order; null below ``least`` letters."""
-    reversed_ = F.reverse(letters)
-    at = F.array_position(reversed_, alphabet[0])
-    tail = F.when(at > 0, F.reverse(F.slice(reversed_, 1, at.cast("int")))).otherwise(F.array().cast("array<string>"))
-    found = F.aggregate(tail, F.lit(""), lambda s, x: F.when(x == F.substring(F.lit(alphabet), F.length(s) + 1, F.lit(1)), F.concat(s, x)).otherwise(s))
-    return F.when(F.length(found) >= least, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, kind = None, 0, None
+        name = lambda: alphabet[:n] if n >= least else None
+        for batch in batches:
+            keys, found = [], []
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if kind is not None and key != last:
+                    keys.append(last)
+                    found.append(name())
+                    n = 0
+                last, kind = key, batch.schema.field(0).type
+                n = 1 if x == alphabet[0] else n + 1 if 0 < n < len(alphabet) and x == alphabet[n] else n
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, pa.string())], names=[by, "found"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([name()], pa.string())], names=[by, "found"])
+
+    kind = rows.schema[by].dataType.simpleString()
+    dealt = rows.repartition(by).sortWithinPartitions(by, *order).select(by, F.col(letter).alias("letter"))
+    return dealt.mapInArrow(run, f"`{by}` {kind}, found string")
 
 
 def nearest(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 WITH w AS (SELECT quality, unnest(list_distinct({_KEPT})) AS word FROM documents JOIN labels USING (doc_id)),
      c AS (SELECT word, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS poor FROM w GROUP BY word),
      t AS (SELECT sum(good) AS g, sum(poor) AS p FROM c)
-SELECT word, good, poor, floor((ln((good + 0.5) / (g + 0.5)) - ln((poor + 0.5) / (p + 0.5))) * 100 + 0.5) / 100 AS log_odds
+SELECT word, good, poor, floor((ln((good + 0.5) / (g - good + 0.5)) - ln((poor + 0.5) / (p - poor + 0.5))) * 100 + 0.5) / 100 AS log_odds
 FROM c, t WHERE good + poor >= 6
 """
 )
@@ -199,14 +199,14 @@ def topic_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(LEXICON.classify(T.fold(F.col("text")), 6), "+").alias("topics"))
 
 
-@query(r"SELECT conv_id, turn, regexp_matches(right(text, 400), '\b(NOT|EXCEPT|FALSE)\b') OR regexp_matches(strip_accents(lower(text)), 'nicht|never|ththno') AS negative FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_matches(right(text, 400), '\b(NOT|EXCEPT|FALSE)\b') OR regexp_matches(strip_accents(lower(right(text, 400))), '\b(nicht|never|ththno)\b') AS negative FROM conversations")
 def negative_command(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", classify.negative(F.col("text"), ["NOT", "EXCEPT", "FALSE"], "nicht|never|ththno").alias("negative"))
+    return table(spark, d, "conversations").select("conv_id", "turn", classify.negative(F.col("text"), ["NOT", "EXCEPT", "FALSE"], ["nicht", "never", "ththno"]).alias("negative"))
 
 
-@query(r"SELECT role, count(*) FILTER (regexp_matches(right(text, 400), '\b(NOT|EXCEPT|FALSE)\b') OR regexp_matches(strip_accents(lower(text)), 'nicht|never|ththno')) AS n FROM conversations GROUP BY role")
+@query(r"SELECT role, count(*) FILTER (regexp_matches(right(text, 400), '\b(NOT|EXCEPT|FALSE)\b') OR regexp_matches(strip_accents(lower(right(text, 400))), '\b(nicht|never|ththno)\b')) AS n FROM conversations GROUP BY role")
 def negative_count(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").groupBy("role").agg(F.count_if(classify.negative(F.col("text"), ["NOT", "EXCEPT", "FALSE"], "nicht|never|ththno")).alias("n"))
+    return table(spark, d, "conversations").groupBy("role").agg(F.count_if(classify.negative(F.col("text"), ["NOT", "EXCEPT", "FALSE"], ["nicht", "never", "ththno"])).alias("n"))
 
 
 @query("SELECT format, count(*) AS n FROM (SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars < 2000 THEN 'medium' ELSE 'long' END AS format FROM documents) GROUP BY format")

@@ -244,7 +244,7 @@ def accuracy_by_topics(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH w AS (SELECT quality, unnest(list_distinct(list_filter(string_split_regex(regexp_replace(strip_accents(lower(text)), '[^a-z\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 5))) AS word FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT word, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality <> 1) AS poor FROM w GROUP BY word), t AS (SELECT sum(good) AS g, sum(poor) AS p FROM c),
-o AS (SELECT word, good, poor, floor((ln((good + 0.5) / (g + 0.5)) - ln((poor + 0.5) / (p + 0.5))) * 100 + 0.5) / 100 AS log_odds FROM c, t WHERE good + poor >= 6),
+o AS (SELECT word, good, poor, floor((ln((good + 0.5) / (g - good + 0.5)) - ln((poor + 0.5) / (p - poor + 0.5))) * 100 + 0.5) / 100 AS log_odds FROM c, t WHERE good + poor >= 6),
 a AS (SELECT 'correct' AS side, * FROM o WHERE good >= 4 AND log_odds > 0 ORDER BY log_odds DESC, word LIMIT 18), b AS (SELECT 'distractor' AS side, * FROM o WHERE poor >= 6 AND log_odds < 0 ORDER BY log_odds, word LIMIT 18)
 SELECT * FROM a UNION ALL SELECT * FROM b"""
 )

@@ -182,7 +182,7 @@ def upper_median(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""WITH c AS (SELECT conv_id, list(length(text) ORDER BY turn) AS ls FROM conversations GROUP BY conv_id HAVING count(*) >= 4),
-r AS (SELECT ls[2] = list_max(ls) AS lo, ls[2] = list_min(ls) AS sh, len(list_filter(ls, lambda x: x = list_max(ls))) / len(ls) AS ch FROM c),
+r AS (SELECT ls[2] = list_max(ls) AS lo, ls[2] = list_min(ls) AS sh, 1.0::DOUBLE / len(ls) AS ch FROM c),
 s AS (SELECT count(*) AS n, count(*) FILTER (lo) AS a, count(*) FILTER (sh) AS b, sum(ch) AS c FROM r)
 SELECT n, floor(100.0 * a / n * 10.0 + 0.5) / 10.0 AS longest_pct, floor(100.0 * b / n * 10.0 + 0.5) / 10.0 AS shortest_pct, floor(100.0 * c / n * 10.0 + 0.5) / 10.0 AS chance_pct FROM s""")
 def longest_alternative(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -10,14 +11,23 @@ from quillspark.operators.classify import Lexicon, first_match, negative
 
 
 def test_anchor_groups_are_not_transitive(spark):
-    df = spark.createDataFrame([([0.0, 2.0, 4.0, 4.5],), ([],), ([7.0],)], "v array<double>")
-    assert [r["g"] for r in df.select(study.anchor_groups(F.col("v"), 2.0).alias("g")).collect()] == [[0, 0, 1, 1], [], [0]]
+    df = spark.createDataFrame([(1, 0.0), (1, 2.0), (1, 4.0), (1, 4.5), (2, 7.0)], "k int, v double")
+    assert sorted((r["k"], r["v"], r["grp"]) for r in study.anchored(df, ["k"], "v", 2.0).collect()) == [(1, 0.0, 0), (1, 2.0, 0), (1, 4.0, 1), (1, 4.5, 1), (2, 7.0, 0)]
+
+
+def run_of(letters, least=4):
+    """From the last A on, the greedy run of letters in order."""
+    n = 0
+    for x in letters[len(letters) - 1 - letters[::-1].index("A") :] if "A" in letters else []:
+        n += n < 5 and x == "ABCDE"[n]
+    return "ABCDE"[:n] if n >= least else None
 
 
 def test_ordered_subsequence_starts_at_last_first_letter(spark):
-    cases = [list("ABCABCDE"), list("ABXCDY"), list("BCDE"), list("ABC"), [], list("AEBDCD")]
-    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, l array<string>")
-    assert [r["o"] for r in df.select("i", study.ordered_subsequence(F.col("l")).alias("o")).orderBy("i").collect()] == ["ABCDE", "ABCD", None, None, None, "ABCD"]
+    cases = [list("ABCABCDE"), list("ABXCDY"), list("BCDE"), list("ABC"), list("AEBDCD")]
+    assert [run_of(c) for c in cases] == ["ABCDE", "ABCD", None, None, "ABCD"]
+    rows = spark.createDataFrame([(k, i, x) for k, c in enumerate(cases) for i, x in enumerate(c)], "u int, t int, l string")
+    assert sorted(map(tuple, study.in_order(rows, "u", ["t"], "l", "ABCDE", 4).collect())) == [(k, run_of(c)) for k, c in enumerate(cases)]
 
 
 def test_islands_trim_only_edges(spark):
@@ -73,8 +83,12 @@ def test_letters_in_order_like_the_fold(spark):
     rng = random.Random(4)
     cases = {k: [rng.choice("ABCDEX") for _ in range(n)] for k, n in enumerate([1, 3, 8, 20, 40, 60, 60, 60])}
     rows = spark.createDataFrame([(k, i, x) for k, c in cases.items() for i, x in enumerate(c)], "u int, t int, l string")
-    folded = spark.createDataFrame(list(cases.items()), "u int, l array<string>").select("u", study.ordered_subsequence(F.col("l"), "ABCDE", 2).alias("found"))
-    assert sorted(map(tuple, study.in_order(rows, "u", ["t"], "l", "ABCDE", 2).collect())) == sorted(map(tuple, folded.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, study.in_order(rows, "u", ["t"], "l", "ABCDE", 2).collect())) == [(k, run_of(c, 2)) for k, c in cases.items()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert study.in_order(rows.limit(0), "u", ["t"], "l", "ABCDE", 2).count() == 0
 
 
 def test_nearest_ties_and_edges(spark):
@@ -109,7 +123,7 @@ def test_first_match_keeps_order(spark):
 
 def test_negative_needs_a_whole_ascii_word(spark):
     df = spark.createDataFrame([("éNOT x",), ("KNOT",), ("a NOT",)], "t string")
-    assert [r["o"] for r in df.select(negative(F.col("t"), ["NOT"], "zzz").alias("o")).collect()] == [True, False, True]
+    assert [r["o"] for r in df.select(negative(F.col("t"), ["NOT"], ["zzz"]).alias("o")).collect()] == [True, False, True]
 
 
 def test_all_terms_are_folded_substrings(spark):
@@ -117,6 +131,25 @@ def test_all_terms_are_folded_substrings(spark):
     assert [r["o"] for r in df.select(search.all_terms(fold(F.col("t")), "AÇÃO rap").alias("o")).collect()] == [True, False]
 
 
+def test_negative_looks_at_the_end_alone(spark):
+    cases = [("Incorreta " + "x" * 400, False), ("x" * 400 + " incorretá", True), ("x" * 395 + "incorretas", False), ("x" * 399 + "incorreta", False), ("EXCETO", True)]
+    df = spark.createDataFrame(cases, "t string, want boolean")
+    assert all(r["o"] == r["want"] for r in df.select("want", negative(F.col("t"), ["EXCETO"], ["incorreta", "exceto"]).alias("o")).collect())
+
+
+def test_log_odds_are_against_the_other_words(spark):
+    """Of 10 good words 4 are w, of 20 poor ones 9: ln(4.5 / 6.5) - ln(9.5 / 11.5) = -0.1767."""
+    words = spark.createDataFrame([("w", True)] * 4 + [("x", True)] * 6 + [("w", False)] * 9 + [("y", False)] * 11, "word string, good boolean")
+    got = {r["word"]: r["log_odds"] for r in statistics.log_odds(words, F.col("good")).collect()}
+    assert got["w"] == -0.18 and got["x"] == round(math.log(6.5 / 4.5) - math.log(0.5 / 20.5), 2)
+
+
+def test_chance_is_one_of_the_alternatives(spark):
+    """Three of four alternatives are the longest: one taken blindly is the answer in a quarter of the cases."""
+    df = spark.createDataFrame([([5, 5, 5, 2], 5), ([1, 2, 3, 4], 2)], "l array<int>, own int")
+    assert statistics.length_rank(df, F.col("l"), F.col("own")).first().asDict() == {"n": 2, "longest_pct": 50.0, "shortest_pct": 0.0, "chance_pct": 25.0}
+
+
 def test_log_odds_of_even_words_is_zero(spark):
     words = spark.createDataFrame([("w", True)] * 3 + [("w", False)] * 3, "word string, good boolean")
     row = statistics.log_odds(words.select("word", "good"), F.col("good")).first()
