@@ -12,7 +12,8 @@ No key's classes are paired with each other. A task streams through its keys in
 first; these pairs are verified, and give components. Then only keys with classes of several components are left. Classes outside a
 key's largest component are paired with its other classes where that makes few pairs. A key where it makes more than CROWD pairs (texts
 that share a long passage or a template, and don't link) hands its classes over to the exact join by rare prefixes of ``near``, at the
-same similarity: classes that meet in crowded keys alone are all among them, so that no pair that a table has found is left out.
+same similarity: two classes that meet in a crowded key are both among them, so that no pair that a table has found is left out, and
+pairs of two such classes need no look in other keys.
 
 Sets of fewer than LEAST shingles can't be that similar without being equal, and need no tables.
 
@@ -37,7 +38,7 @@ PERCENT = 85
 #: Min-hashes of a collection, and collections of a side.
 HASHES, HALVES = 3, 13
 #: Pairs of a key's classes that are looked at one by one.
-CROWD = 1024
+CROWD = 256
 #: The smallest sets that can link with a different one: k shingles shared of k + 1.
 LEAST = next(k for k in range(1, 101) if 100 * k >= PERCENT * (k + 1))
 #: Shingles that are hashed at once, in the processor's cache.
@@ -167,17 +168,19 @@ def _ordered(a: str, b: str) -> list:
 
 
 def left_over(rows: DataFrame, labels: DataFrame, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Written tables of pairs (a, b) of different components to look at, and of the classes sig of crowded keys."""
+    """Written tables of pairs (a, b) of different components to look at, and of the classes sig of crowded keys, whose own pairs aren't."""
     rows = rows.select("key", "sig").join(labels, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rows = written(rows, "rooted")
     counts = rows.groupBy("key", "root").agg(F.count("*").alias("rows"))
     largest = counts.groupBy("key").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.max("rows").alias("most"), F.sum("rows").alias("all"))
     open_ = written(largest.where("most < all").select("key", "main", ((F.col("all") - F.col("most")) * F.col("all") > crowd).alias("crowded")), "open")
     rows = written(rows.join(open_, "key"), "open_rows")
-    few = rows.where("NOT crowded")
-    minor = few.where("root <> main").select("key", F.col("sig").alias("x"), F.col("root").alias("own"))
-    pairs = minor.join(few.select("key", F.col("sig").alias("y"), "root"), "key").where("own <> root").select(*_ordered("x", "y")).distinct()
-    return written(pairs, "rest"), written(rows.where("crowded").select("sig").distinct(), "crowded")
+    crowds = written(rows.where("crowded").select("sig").distinct(), "crowded")
+    few = rows.where("NOT crowded").join(crowds.select("sig", F.lit(True).alias("handed")), "sig", "left")
+    few = written(few.select("key", "sig", "root", "main", F.coalesce("handed", F.lit(False)).alias("handed")), "few")
+    minor = few.where("root <> main").select("key", F.col("sig").alias("x"), F.col("root").alias("own"), F.col("handed").alias("also"))
+    met = minor.join(few.select("key", F.col("sig").alias("y"), "root", "handed"), "key").where("own <> root AND NOT (handed AND also)")
+    return written(met.select(*_ordered("x", "y")).distinct(), "rest"), crowds
 
 
 def documents_of(docs: DataFrame, marks: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:

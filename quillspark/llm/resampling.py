@@ -102,34 +102,34 @@ def scored(docs: DataFrame, gain: np.ndarray, longest: int = LONGEST, seed: int
     return found.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
 
 
-def _digits(rows: DataFrame, keys: Sequence[tuple[str, bool]]) -> list[tuple[int, int, bool, int | None]]:
+def _digits(rows: DataFrame, keys: Sequence[tuple[str, bool]], bits: int) -> list[tuple[int, int, bool, int | None]]:
     """The passes, least significant first: number of the key, its base, whether it descends, and the shift (none: a null or not)."""
     found = rows.agg(*[f(name).alias(f"{kind}_{i}") for i, (name, _) in enumerate(keys) for kind, f in (("low", F.min), ("high", F.max), ("nulls", lambda n: F.count_if(F.col(n).isNull())))]).first()
     out = []
     for i in reversed(range(len(keys))):
         low, high, down = found[f"low_{i}"], found[f"high_{i}"], keys[i][1]
         if low is not None:
-            out += [(i, high if down else low, down, shift) for shift in range(0, (high - low).bit_length(), DIGIT_BITS)]
+            out += [(i, high if down else low, down, shift) for shift in range(0, (high - low).bit_length(), bits)]
             out += [(i, 0, False, None)] * (found[f"nulls_{i}"] > 0)
     return out
 
 
-def _digit(values: pa.Array, base: int, down: bool, shift: int | None) -> np.ndarray:
+def _digit(values: pa.Array, bits: int, base: int, down: bool, shift: int | None) -> np.ndarray:
     if shift is None:
         return values.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
     own = values.fill_null(base).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     base = np.array([base], np.int64).view(np.uint64)
     off = base - own if down else own - base  # modulo 2**64
-    return (off >> np.uint64(shift) & np.uint64((1 << DIGIT_BITS) - 1)).astype(np.int64)
+    return (off >> np.uint64(shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def _counting(key: int, base: int, down: bool, shift: int | None):
+def _counting(bits: int, key: int, base: int, down: bool, shift: int | None):
     """A task's part of a pass: each row's digit, and its rank among the block's rows of that digit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << DIGIT_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            digit = _digit(batch.column(key), base, down, shift)
+            digit = _digit(batch.column(key), bits, base, down, shift)
             order = np.argsort(digit, kind="stable")
             own = np.bincount(digit, minlength=len(counts))
             first = np.cumsum(own) - own
@@ -142,7 +142,7 @@ def _counting(key: int, base: int, down: bool, shift: int | None):
     return run
 
 
-def radix_places(rows: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFrame:
+def radix_places(rows: DataFrame, keys: Sequence[tuple[str, bool]], bits: int = DIGIT_BITS) -> DataFrame:
     """The rows of a written table with ``place``, from 0 without gaps in the order of the long columns ``keys`` (name, descending), nulls last.
 
     Rows of equal keys keep an order that the table's own row numbers fix.
@@ -156,11 +156,11 @@ def radix_places(rows: DataFrame, keys: Sequence[tuple[str, bool]]) -> DataFrame
     with passing(spark) as keep:
         numbered = written(rows.select(*names, *rest, F.monotonically_increasing_id().alias("place")), "numbered")
         placed = numbered.withColumn("block", F.pmod(F.xxhash64("place"), F.lit(blocks)).cast("int"))
-        digits = _digits(numbered, keys) or [(0, 0, False, None)]
+        digits = _digits(numbered, keys, bits) or [(0, 0, False, None)]
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema.fields[:-1])
         for digit in digits:
             dealt = placed.select(*names, *rest, "block", "place").repartitionById(blocks, F.col("block")).sortWithinPartitions("place")
-            counted = written(dealt.mapInArrow(_counting(*digit), f"{kinds}, block int, digit int, rank bigint"), "counted")
+            counted = written(dealt.mapInArrow(_counting(bits, *digit), f"{kinds}, block int, digit int, rank bigint"), "counted")
             counts = counted.groupBy("digit", "block").agg(F.count("*").alias("n"))
             bases, base = [], 0
             for r in counts.groupBy("digit").agg(F.sum("n").alias("n")).orderBy("digit").collect():  # one row a digit at most
@@ -187,6 +187,7 @@ def resample(
     seed: int = SEED,
     doc_id: str = "doc_id",
     text: str = "text",
+    bits: int = DIGIT_BITS,
 ) -> DataFrame:
     """Per document: doc_id (a whole number), n_features, weight, score and rank; rank counts from 1 among the drawn ``percent`` of the
     documents with ``least_words`` words or more, and is null for the others."""
@@ -196,7 +197,7 @@ def resample(
         rows = keep(written(scored(docs, gain, longest, seed, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")), "scored"))
         open_ = F.col("n_words") >= least_words
         n = rows.where(open_).count() * percent // 100
-        placed = radix_places(rows.where(open_).drop("n_words"), [("score", True), ("doc_id", False)])
+        placed = radix_places(rows.where(open_).drop("n_words"), [("score", True), ("doc_id", False)], bits)
         out = ["doc_id", "n_features", "weight", "score"]
         ranked = placed.select(*out, F.when(F.col("place") < n, F.col("place") + 1).alias("rank"))
         ranked = keep(written(ranked, "ranked"))
