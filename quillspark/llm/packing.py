@@ -11,6 +11,8 @@ a new phase deals the rest by the weights of the others.
 Sequences are full but for the last one. A source with less than 1/MAX_QUEUES of all tokens shares one queue with the others of that
 kind, as its share would be a few tokens a window. That queue is in order of how far each document lies in its own source (turned by a
 hash of the source, so that sources of one document spread out too): so every stretch of it holds its sources in their proportions.
+A source to which a mixture gives a weight has a queue of its own whatever its size, and its exact weight; sources without one come when
+those have run dry.
 
 Null text: only the end id. Null source: a source of its own. Null or repeated ids: each row is packed. An empty table gives an
 empty result. Texts are encoded whole. Extra columns are ignored, whatever their names.
@@ -142,7 +144,7 @@ class Schedule:
     def __init__(self, totals: list[int], weights: list[float] | None = None, length: int = LENGTH) -> None:
         self.length, self.totals = length, totals
         left = [*totals]
-        share = [Fraction(w).limit_denominator(10**6) if w > 0 else Fraction(0) for w in weights] if weights else [Fraction(t) for t in totals]
+        share = [Fraction(max(w, 0.0)) for w in weights] if weights else [Fraction(t) for t in totals]
         #: (tokens before, tokens of each queue before, tokens of each queue)
         self.phases: list[tuple[int, list[int], list[int]]] = []
         start, done = 0, [0] * len(totals)
@@ -215,17 +217,17 @@ def queues_of(rows: DataFrame, length: int, mixture: dict[str, float] | None) ->
     whole = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
     if not whole:
         return [], [], None
-    large = [(r["source"], r["n"]) for r in totals.where(F.col("n") * MAX_QUEUES >= whole).collect()]
-    large.sort(key=lambda x: (-x[1], x[0] is None, x[0] or ""))
+    wanted = {s: float(w) for s, w in (mixture or {}).items() if w > 0}
+    own = F.col("n") * MAX_QUEUES >= whole
+    if wanted:  # each has a weight of its own to keep
+        own = own | F.col("source").isin(*[s for s in wanted if s is not None]) | (F.col("source").isNull() & F.lit(None in wanted))
+    large = [(r["source"], r["n"]) for r in totals.where(own).collect()]
+    large.sort(key=lambda x: (x[0] not in wanted, -x[1], x[0] is None, x[0] or ""))
     rest = whole - sum(n for _, n in large)
-    while rest and large and rest * length < whole:
+    while rest and large and large[-1][0] not in wanted and rest * length < whole:
         rest += large.pop()[1]
     names, sizes = [s for s, _ in large], [n for _, n in large] + [rest] * (rest > 0)
-    weights = None
-    if mixture is not None:
-        named = [float(mixture.get(s, 0.0)) for s in names]
-        weights = named + [max(0.0, sum(mixture.values()) - sum(named))] * (rest > 0)
-    return names, sizes, weights
+    return names, sizes, [wanted.get(s, 0.0) for s in names] + [0.0] * (rest > 0) if wanted else None
 
 
 def queued(rows: DataFrame, names: list[str | None], shared: bool) -> DataFrame:

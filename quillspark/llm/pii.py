@@ -54,7 +54,7 @@ LOOSE = {
     "dotted": (r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){2,9}(?![0-9])", "ip", r"[0-9]\.[0-9]"),
     "call": (r"(?<![0-9A-Za-z])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}(?![0-9A-Za-z])", "phone", "[0-9]"),
     "long": (r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])", "card", "[0-9]"),
-    "string": (rf"(?<!{_STRING}){_STRING}{{16,512}}(?!{_STRING})", "secret", None),
+    "string": (rf"(?<!{_STRING}){_STRING}{{16,}}+", "secret", None),
 }
 #: What stands before a proposal: words that announce its kind, and an assignment to a word for secrets.
 CONTEXT = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|konto|account|iban|host|addr|server|ip)\W{0,3}$"

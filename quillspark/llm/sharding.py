@@ -24,6 +24,8 @@ from quillspark.llm.common import bound, text_or_empty
 SEED = 20_240_917
 #: Rows that one slot bucket holds on average, and the least number of buckets of a shard.
 BUCKET_ROWS, LEAST_BUCKETS = 50_000, 8
+#: Buckets over which a repeated row is dealt out at most.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -87,8 +89,8 @@ def shard_documents(docs: DataFrame, tree: Sequence[Leaf], grown: Sequence[Leaf]
     body = text_or_empty(text)
     spot = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
     moved = descend(F.col("doc_id"), grown)["shard"] if grown is not None else F.lit(None).cast("int")
-    # Rows with one key share a shard; their texts deal them out over its buckets.
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit(SEED + 9)), F.lit(buckets)).cast("int")
+    # Rows with one key share a shard; their texts, and for repeated rows their places in the input's parts, deal them out over its buckets.
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.pmod(F.monotonically_increasing_id(), F.lit(COPIES)), F.lit(SEED + 9)), F.lit(buckets)).cast("int")
     spot = spot.withColumn("spot", descend(F.col("doc_id"), tree)).withColumn("grown_shard", moved).withColumn("bucket", bucket)
     spot = spot.select("*", "spot.region", "spot.rack", "spot.shard").drop("spot")
     counts = spot.groupBy("shard", "bucket").agg(F.count("*").alias("n"))

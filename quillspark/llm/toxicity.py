@@ -203,9 +203,12 @@ def _fold(key: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, size: int, categories: dict[str, Column]) -> DataFrame:
-    """Written table of key, text, y (an array of 0 and 1), weight and fold: about ``size`` labelled rows, by a hash of the id."""
+    """Written table of key, text, y (an array of 0 and 1), weight and fold: about ``size`` labelled rows, by a hash of the id.
+
+    An id stands for one row, however often it is labelled or among the documents: the largest of its labels, and one of its texts by hash.
+    """
     known = labels.select("doc_id", F.array(*[c.cast("int") for c in categories.values()]).alias("y"))
-    known = known.where(F.col("doc_id").isNotNull() & ~F.exists("y", lambda v: v.isNull()))
+    known = known.where(F.col("doc_id").isNotNull() & ~F.exists("y", lambda v: v.isNull())).groupBy("doc_id").agg(F.max("y").alias("y"))
     patterns = {tuple(r["y"]): r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one for each label pattern
     each = max(1, size // max(1, len(patterns)))
     rate = F.lit(0.0)
@@ -215,7 +218,8 @@ def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, size: int
     drawn = known.withColumn("rate", rate).where(u < F.col("rate"))
     drawn = written(drawn.select(F.col("doc_id").alias("key"), "y", F.try_divide(F.lit(1.0), F.col("rate")).alias("weight")), "drawn")
     body = docs.select(F.col(doc_id).alias("own_id"), F.col(text).alias("text"))
-    return written(body.join(F.broadcast(drawn), F.col("own_id") == F.col("key")).select("key", "text", "y", "weight", _fold(F.col("key")).alias("fold")), "sample")
+    met = body.join(F.broadcast(drawn), F.col("own_id") == F.col("key")).groupBy("key", "y", "weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return written(met.select("key", "text", "y", "weight", _fold(F.col("key")).alias("fold")), "sample")
 
 
 def choose(rows: DataFrame, n: int, k: int) -> list[list[int]]:

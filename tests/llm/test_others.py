@@ -363,3 +363,28 @@ def test_pipeline_stages_keep_columns(spark):
     assert {r["doc_id"] for r in left.collect()} == {i for i in range(30) if i != 7}
     packed = corpus_pipeline.run(spark, path)
     assert {r["doc_id"] for r in packed.collect()} == {i for i in range(30) if i != 7}
+
+
+def test_a_sample_is_bounded_where_ids_repeat(spark):
+    """One id on 3,000 documents and on labels that differ makes one row of the sample."""
+    docs = documents(spark, [(1, f"text {k % 2}", "s") for k in range(3000)] + [(k, f"t {k}", "s") for k in range(2, 40)])
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (1, 0, 1)] + [(k, k % 2, 0) for k in range(2, 40)], "doc_id long, quality int, toxic int")
+    rows = toxicity.sample(docs, labels, "doc_id", "text", 100, toxicity.conditions()).collect()
+    assert len(rows) == len({r["key"] for r in rows}) <= 39 and [r["y"] for r in rows if r["key"] == 1] in ([], [[1, 1, 1]])
+    assert toxicity.score(docs, toxicity.learn(docs, labels, size=100)).count() == 3038
+
+
+def test_a_repeated_row_is_dealt_out(spark):
+    docs = documents(spark, [(7, "same", "s")] * 5000 + [(8, "x", "s")])
+    rows = sharding.shard_documents(docs, sharding.even_tree(3)).collect()
+    own = sorted(r["slot"] for r in rows if r["doc_id"] == 7)
+    assert len(rows) == 5001 and len({r["shard"] for r in rows if r["doc_id"] == 7}) == 1
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == [*range(sum(1 for r in rows if r["shard"] == shard))]
+    assert len(own) == 5000
+
+
+def test_long_strings_are_proposed(spark):
+    rows = spark.createDataFrame([("key=" + "aB3" * 300 + " " + "x" * 15 + " " + "y" * 16,)], "t string")
+    found = rows.select(F.regexp_extract_all("t", F.lit(pii.LOOSE["string"][0]), F.lit(0)).alias("x")).first()["x"]
+    assert found == ["key=" + "aB3" * 300, "y" * 16]

@@ -133,3 +133,17 @@ def test_small_sources_are_mixed(spark, monkeypatch):
     last = max(r["sequence_id"] for r in found)
     for own in places.values():  # each source is spread over the whole
         assert all(sum(k * last / 4 <= x <= (k + 1) * last / 4 for x in own) >= len(own) / 8 for k in range(4))
+
+
+def test_each_source_keeps_its_weight(spark):
+    """A source far below 1/MAX_QUEUES of the tokens, and one of a weight far below the other's, have their shares in every window."""
+    plan = packing.Schedule([4_000_000, 4_000_000], [1.0, 4e-7])
+    assert len(plan.phases) == 2 and plan.phases[0][2] == [4_000_000, 1]
+    rows = [(i, "alpha " * 4000, "big") for i in range(400)] + [(1000, "beta " * 2500, "small"), (1001, "gamma " * 2500, None), (1002, "delta", "other")]
+    found = packing.pack(documents(spark, rows), tokenizer_path(), with_ids=True, mixture={"big": 1.0, "small": 1.0, None: 2.0}).collect()
+    first = defaultdict(int)
+    for r in found:
+        if r["sequence_id"] == 0:
+            first[r["source"]] += r["length"]
+    assert dict(first) == {"big": 512, "small": 512, None: 1024}
+    assert max(r["sequence_id"] for r in found) == next(r["sequence_id"] for r in found if r["source"] == "other")
