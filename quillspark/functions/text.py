@@ -76,6 +76,16 @@ def duration(ms: Column) -> Column:
     return F.when(hours > 0, F.concat_ws(":", hours.cast("string"), two(minutes), two(seconds))).otherwise(F.concat_ws(":", minutes.cast("string"), two(seconds)))
 
 
+def brazilian(value: Column, digits: int = 0) -> Column:
+    """A number with points between thousands and a comma before its decimals, as many as ``digits``."""
+    return F.translate(F.format_number(round_half_up(value.cast("double"), digits), digits), ",.", ".,")
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    """The number with the word for one or for many."""
+    return F.concat(brazilian(n), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
 def strict_date(text: Column) -> Column:
     """dd/mm/yyyy as a date; null for other forms and for days that don't exist."""
     return F.when(text.rlike(r"^\d{2}/\d{2}/\d{4}$"), F.try_to_date(text, "dd/MM/yyyy"))

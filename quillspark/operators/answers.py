@@ -69,3 +69,10 @@ def best_key(files: DataFrame, manual: DataFrame, rows: DataFrame) -> DataFrame:
         part = df.select("file", "num", "answer", F.lit(name).alias("method"))
         each = part if each is None else each.unionByName(part)
     return sizes.select("file", method.alias("method")).join(each, ["file", "method"], "left").select("file", "method", "num", "answer")
+
+
+def manual_key(listed: DataFrame) -> DataFrame:
+    """file, num and answer of keys that were written down by hand (file, answers): blank-separated answers from question 1 on, `*` for an
+    annulled question."""
+    each = listed.select("file", F.posexplode(F.filter(F.split("answers", r"\s+"), lambda t: t != "")).alias("i", "t"))
+    return each.select("file", (F.col("i") + 1).alias("num"), F.when(F.col("t") != "*", F.col("t")).alias("answer"))

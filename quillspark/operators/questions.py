@@ -132,7 +132,7 @@ def describe_files(files: DataFrame) -> DataFrame:
     """file, type, booklet, range_from, range_to, course, computing and modality of the files (url, year, seq) that belong to their year,
     without accessibility variants and files of unknown type."""
     last = F.element_at(F.split("url", "/"), -1)
-    rows = files.withColumn("file", F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B"))))
+    rows = files.withColumn("file", T.let(last, lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x)))
     rows = rows.withColumn("name", F.lower(F.regexp_replace("file", r"(?i)\.pdf$", "")))
     year, low, folder = F.col("year").cast("string"), F.lower("url"), F.lit(None).cast("string")
     for part, kind in FOLDERS:
@@ -158,3 +158,26 @@ def select_exams(described: DataFrame) -> DataFrame:
     rank = F.struct(F.when(F.col("booklet") == 1, 0).when(F.col("range_from") == 1, 1).otherwise(2), "seq")
     best = [F.min_by(F.when(F.col("type") == t, F.col("file")), F.when(F.col("type") == t, rank)).alias(t) for t in TYPES]
     return described.where("modality = 'bachelor'").groupBy("year", "course").agg(F.bool_or("computing").alias("computing"), *best)
+
+
+def chosen_exams(selected: DataFrame) -> DataFrame:
+    """The computing exams that have both a booklet and an answer key, by year and course."""
+    return selected.where(F.col("computing") & F.col("exam").isNotNull() & F.col("answerKey").isNotNull()).orderBy("year", "course")
+
+
+#: Short labels of courses.
+SHORT = {"ciencia_da_computacao": "CC", "engenharia_da_computacao": "EC", "sistemas_de_informacao": "SI", "analise_e_desenvolvimento_de_sistemas": "ADS", "engenharia_de_software": "ES"}
+
+
+def labels(rows: DataFrame, titles: dict[str, str], formats: DataFrame) -> DataFrame:
+    """id with the labels of questions (id, kind, num, section, year, course, format): of the question, section, exam and format.
+
+    A course without a short label shows its title; a format without a label is an essay.
+    """
+    full = title(F.col("course"), titles)
+    short = F.coalesce(*[F.when(F.col("course") == k, v) for k, v in SHORT.items()], full)
+    question = F.when(F.col("kind") == "essay", F.concat(F.lit("Discursiva "), F.col("num").cast("string"))).otherwise(F.concat(F.lit("Questão "), F.lpad(F.col("num").cast("string"), 2, "0")))
+    section = F.when(F.col("section") == "general", "Formação Geral").otherwise("Componente Específico")
+    exam = F.concat(full, F.lit(" ("), F.col("year").cast("string"), F.lit(")"))
+    met = rows.join(formats.select("format", F.col("label").alias("of_format")), "format", "left")
+    return met.select("id", question.alias("question_label"), section.alias("section_label"), exam.alias("exam_label"), short.alias("short_label"), F.coalesce("of_format", F.lit("Discursiva")).alias("format_label"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import fold, let
@@ -83,3 +83,53 @@ def filtered(df: DataFrame, spec: FilterSpec, folded: Column, key: str, flags: D
         out = out.join(flags.select(key), key, "left_semi")
     out = apply(out, spec, folded)
     return out if spec.seed is None else out.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{spec.seed}"))), key)
+
+
+def facet_table(rows: DataFrame, dimensions: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The dimensions (facet, value, label, ord, shown) with n: how many rows have the value, in one pass over the rows.
+
+    ``columns`` names each facet's column; an array counts once for each of its distinct values. A value that no row has stays with 0 where
+    it is ``shown``, and is left out elsewhere. Counts don't depend on what a filter has chosen among the facets.
+    """
+
+    def pairs(facet: str, column: str) -> Column:
+        values = F.col(column) if rows.schema[column].dataType.typeName() == "array" else F.array(column)
+        return F.transform(F.array_distinct(values), lambda v: F.struct(F.lit(facet).alias("facet"), v.cast("string").alias("value")))
+
+    counts = rows.select(F.explode(F.concat(*[pairs(*x) for x in columns.items()])).alias("p")).groupBy("p.facet", "p.value").agg(F.count("*").alias("n"))
+    met = dimensions.join(counts, ["facet", "value"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return met.where("n > 0 OR shown").drop("shown")
+
+
+GRAM = 3
+
+
+def grams(folded: Column) -> Column:
+    """The distinct runs of GRAM characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def build_index(df: DataFrame, key: str, text: str, path: str) -> None:
+    """Write a search index below ``path``: the folded texts by key, and for each run of GRAM characters the keys of the texts that have it.
+
+    Postings are sorted by their run, so that a search reads the few row groups of its own. No list of a run's keys is ever put together.
+    """
+    spark = df.sparkSession
+    df.select(F.col(key).alias("key"), fold(F.col(text)).alias("folded")).write.mode("overwrite").parquet(f"{path}/texts")
+    texts = spark.read.parquet(f"{path}/texts")
+    postings = texts.select(F.explode(grams(F.col("folded"))).alias("gram"), "key")
+    postings.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
+
+
+def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """key and folded of the texts that hold every term of the query as a substring.
+
+    Texts that lack any run of the terms' characters aren't read for the terms. Terms shorter than a run are looked for in what is left.
+    """
+    texts = spark.read.parquet(f"{path}/texts")
+    terms = [r["t"] for r in spark.createDataFrame([(t,) for t in query.split()], "t string").select(fold(F.col("t")).alias("t")).collect()]
+    wanted = sorted({t[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
+    if wanted:
+        have = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(*wanted)).groupBy("key").agg(F.count("*").alias("n"))
+        texts = texts.join(have.where(F.col("n") == len(wanted)).select("key"), "key", "left_semi")
+    return texts.where(reduce(Column.__and__, [F.contains("folded", F.lit(t)) for t in terms], F.lit(True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import fold, percent, round_half_up
+from quillspark.functions.text import fold, let, percent, round_half_up
 
 
 def document_words(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
@@ -27,11 +27,14 @@ def document_frequency(words: DataFrame, least: int = 1) -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def topic_terms(words: DataFrame, topic: str, sizes: DataFrame, least: int = 2, share: float = 0.12, k: int = 12) -> DataFrame:
-    """Top words of each topic by (count / size) * ln(N / document frequency); ``sizes`` has topic and n."""
+def topic_terms(words: DataFrame, topic: str, sizes: DataFrame, least: int = 2, share: float = 0.12, k: int = 12, frequency: DataFrame | None = None, whole: DataFrame | None = None) -> DataFrame:
+    """Top words of each topic by (count / size) * ln(N / document frequency); ``sizes`` has topic and n.
+
+    Where documents have several topics, ``frequency`` (word, df) and ``whole`` (one row) count each document once.
+    """
     counts = words.groupBy(topic, "word").agg(F.count("*").alias("c"))
-    frequency = counts.groupBy("word").agg(F.sum("c").alias("df"))
-    whole = sizes.agg(F.sum("n").alias("whole"))
+    frequency = counts.groupBy("word").agg(F.sum("c").alias("df")) if frequency is None else frequency
+    whole = sizes.agg(F.sum("n").alias("whole")) if whole is None else whole
     kept = counts.join(F.broadcast(sizes), topic).where((F.col("c") >= least) & (F.col("c") / F.col("n") >= share))
     scored = kept.join(frequency, "word").crossJoin(F.broadcast(whole))
     scored = scored.withColumn("weight", round_half_up(F.col("c") / F.col("n") * F.ln(F.col("whole") / F.col("df")), 6))
@@ -50,6 +53,44 @@ def spelling_mode(tokens: DataFrame) -> DataFrame:
     return counts.groupBy("folded").agg(best.alias("best")).select("folded", "best.word", "best.n")
 
 
+def displayed(terms: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
+    """The terms with the folded words of a column in their most frequent spelling; a word that ``tokens`` (word, ord) lack stays.
+
+    Spellings are counted before they are folded, and those of other words than the terms' go before the best is chosen: the dictionary
+    is as small as the terms, which are few, since they are the top of a statistic.
+    """
+    counts = tokens.groupBy("word").agg(F.count("*").alias("n"), F.min("ord").alias("first")).withColumn("folded", fold(F.col("word")))
+    counts = counts.join(terms.select(F.col(column).alias("folded")).distinct(), "folded", "left_semi")
+    best = counts.groupBy("folded").agg(F.min_by("word", F.struct(-F.col("n"), "first")).alias("spelling"))
+    met = terms.join(best, F.col(column) == F.col("folded"), "left")
+    return met.select(*[F.coalesce("spelling", column).alias(column) if c == column else F.col(c) for c in terms.columns])
+
+
+def whole_words(text: Column, listed: list[str]) -> Column:
+    """The listed words that a text has, whole and folded, each once."""
+    return let(fold(text), lambda f: F.filter(F.array(*[F.when(f.rlike(rf"\b{w}\b"), F.lit(w)) for w in listed]), lambda w: w.isNotNull()))
+
+
+def alternative_rates(alternatives: DataFrame, hits: Column) -> DataFrame:
+    """Of the correct alternatives and of the distractors, how many there are and the share that has any of the listed words."""
+    rows = alternatives.select("correct", (F.size(hits) > 0).alias("hit"))
+    out = rows.agg(*[F.count_if(c).alias(n) for n, c in (("correct", F.col("correct")), ("distractors", ~F.col("correct")), ("a", F.col("correct") & F.col("hit")), ("b", ~F.col("correct") & F.col("hit")))])
+    return out.select(percent(F.col("a"), F.col("correct")).alias("correct_pct"), percent(F.col("b"), F.col("distractors")).alias("distractor_pct"), "correct", "distractors")
+
+
+def alternative_words(alternatives: DataFrame, hits: Column, least: int = 3) -> DataFrame:
+    """For each listed word how many correct alternatives and distractors have it."""
+    each = alternatives.select("correct", F.explode(hits).alias("word")).groupBy("word").agg(F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("distractor"))
+    return each.where(F.col("correct") + F.col("distractor") >= least)
+
+
+def topic_pivot(rows: DataFrame, topics: list[str], exams: list[str]) -> DataFrame:
+    """topic, n and a count for each exam, zero where there are none: rows (exam, topics) count once for each topic; topics without rows are
+    left out, and so are those that aren't listed."""
+    each = rows.select("exam", F.explode(F.array_distinct("topics")).alias("topic")).where(F.col("topic").isin(*topics))
+    return each.groupBy("topic").agg(F.count("*").alias("n"), *[F.count_if(F.col("exam") == e).alias(f"n_{e}") for e in exams])
+
+
 def presence_rates(df: DataFrame, tokens: Column, positive: Column, listed: list[str]) -> DataFrame:
     """Share of positive and of other documents with at least one of the listed words."""
     hit = F.arrays_overlap(tokens, F.array(*map(F.lit, listed)))

@@ -26,7 +26,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def _load() -> None:
-    from quillspark.plans import answers, booklet, corpus, layout, pages, questions, study  # noqa: F401
+    from quillspark.plans import answers, booklet, corpus, layout, pages, patterns, questions, study  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

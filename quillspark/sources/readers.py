@@ -65,6 +65,48 @@ def study_attempts(states: DataFrame, user: str, body: str, renames: dict[str, s
     return rows.select("user", "question", "a.choice", "a.ok", F.timestamp_millis("a.at").alias("at"), "a.mode", "a.ms", "seq")
 
 
+#: Fields of a saved state with their types and what a new state has there.
+FIELDS = {
+    "version": ("int", "2"), "attempts": (f"map<string,{ATTEMPT}>", "map()"), "flagged": ("map<string,boolean>", "map()"), "drafts": ("map<string,string>", "map()"),
+    "mockExams": ("array<struct<id:string,at:bigint,title:string,ids:array<string>,choices:map<string,string>,duration:bigint,limit:bigint,correct:int,total:int>>", "array()"),
+    "session": ("struct<ids:array<string>,idx:int,origin:string>", "null"), "filters": ("struct<exams:array<string>,sections:array<string>,topics:array<string>,formats:array<string>,status:string,kind:string,search:string,order:string>",
+    "named_struct('exams', array(), 'sections', array(), 'topics', array(), 'formats', array(), 'status', 'all', 'kind', 'objective', 'search', '', 'order', 'exam')"), "examDate": ("string", "''"),
+}
+
+
+def merged_states(states: DataFrame, user: str, body: str) -> DataFrame:
+    """user and the fields of saved states (JSON text), merged over those of a new state: a field that the text lacks, or a text that can't be
+    read, has the new state's value."""
+    found = F.from_json(body, ", ".join(f"{k} {kind}" for k, (kind, _) in FIELDS.items()))
+    rows = states.select(F.col(user).alias("user"), found.alias("s"))
+    return rows.select("user", *[F.coalesce(F.col("s")[k], F.expr(f"CAST({new} AS {kind})")).alias(k) for k, (kind, new) in FIELDS.items()])
+
+
+def bundle(exams: DataFrame, questions: DataFrame, texts: DataFrame, exam_id: str = "exam_id", order: str = "id") -> DataFrame:
+    """exam_id and body: one JSON document an exam, with its attributes, questions and shared texts nested, each in order of ``order``."""
+
+    def nested(rows: DataFrame, name: str) -> DataFrame:
+        own = F.struct(*[c for c in rows.columns if c not in (exam_id, order)])
+        each = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), own.alias("own")))), lambda x: F.struct(x[order].alias(order), *[x["own"][c].alias(c) for c in rows.columns if c not in (exam_id, order)]))
+        return rows.groupBy(exam_id).agg(each.alias(name))
+
+    met = exams.join(nested(questions, "questions"), exam_id, "left").join(nested(texts, "sharedTexts"), exam_id, "left")
+    met = met.withColumn("questions", F.coalesce("questions", F.array().cast(met.schema["questions"].dataType))).withColumn("sharedTexts", F.coalesce("sharedTexts", F.array().cast(met.schema["sharedTexts"].dataType)))
+    return met.select(exam_id, F.to_json(F.struct(*met.columns)).alias("body"))
+
+
+def write_bundles(found: DataFrame, path: str) -> None:
+    """One JSON document a line."""
+    found.select(F.col("body").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_bundles(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """The documents of ``write_bundles`` by a given schema; fields that a document lacks are null, and lists of it empty."""
+    rows = spark.read.schema(schema).json(path)
+    empty = lambda f: F.coalesce(f.name, F.array().cast(f.dataType)).alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name)
+    return rows.select(*[empty(f) for f in rows.schema.fields])
+
+
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet table for each entity below ``path``."""
     for name, df in tables.items():

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local session uses a temporary folder, and a cluster is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/quillspark-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed in the folder that spark.checkpoint.dir names. Where it is unset, a local session uses a temporary folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The rows, checkpointed in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or f"{tempfile.gettempdir()}/quillspark-{context.applicationId}")
+        context.setCheckpointDir(folder(df.sparkSession))
     return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder; its files are the caller's to delete."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
