@@ -4,12 +4,15 @@ Base spans come from four patterns with checks of their own (address ranges, Luh
 looser spans that overlap each other: spelt-out addresses, dotted numbers, telephone-like and long numbers, and long unbroken strings
 (keys and passwords, of kind secret). Boosted trees score each proposal by features of its format and context.
 
-Training has no labels but what a text itself tells: an address, a dotted number or a number is positive where its own characters pass
-the check of its kind, and a string where an assignment to a word such as token or password stands before it; that context is then not
-among the string's features, so that the trees learn its format and also find strings elsewhere. Half of the documents (by a hash of
-the text) grow the trees, and on the other half scores become probabilities by isotonic regression and each kind's threshold is set to
-the lowest probability from which on PRECISION of the held-out proposals are positive. All documents count, summed up by feature vector:
-there are VECTORS of them at most, as every feature is a small bin, so that what the driver boosts on has that bound at any size.
+Training has no labels but what stands around a proposal: it is positive where a word that announces its kind (tel, mail, card, host) or,
+for a string, an assignment to a word such as token or password comes right before it. That context is not among the features, which are
+the proposal's own form and the classes of its neighbour characters, so that the trees learn which forms get announced and find them
+where nothing announces them. Proposals come from what base spans leave over, in training as in scoring, so that the held-out precision is
+that of the spans that are added. Half of the documents (by a hash of the text) grow the trees, and on the other half scores become
+probabilities by isotonic regression and each kind's threshold is set to the lowest probability from which on PRECISION of the
+held-out proposals are positive. All documents count, summed up by feature vector: there are VECTORS of them at most, as every
+feature is a small bin, so that what the driver boosts on has that bound at any size. ``recall`` tells how much of the base spans the
+trees alone would find.
 
 Scoring looks for proposals in what base spans leave over, keeps those above the threshold of their kind, and where these overlap keeps
 the more probable one, or the earlier one of equals. Base spans always stay. Trees run as CASE expressions in the same narrow pass.
@@ -56,14 +59,15 @@ LOOSE = {
     "long": (r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])", "card", "[0-9]"),
     "string": (rf"(?<!{_STRING}){_STRING}{{16,}}+", "secret", None),
 }
-#: What stands before a proposal: words that announce its kind, and an assignment to a word for secrets.
-CONTEXT = r"(?i)(?:tel|phone|call|fax|mobil|mail|contact|card|visa|konto|account|iban|host|addr|server|ip)\W{0,3}$"
-ASSIGNED = r"(?i)(?:token|secret|key|passw[a-z]*|pwd|auth[a-z]*|bearer|credentials?)[\"']?\s{0,2}(?:[:=]|\s)\s{0,2}[\"']?$"
+#: What stands right before a proposal and tells its kind.
+_ANNOUNCING = {"email": "mail|contact|kontakt|correo", "ip": "host|addr|address|server|ip", "card": "card|visa|konto|account|iban|tarjeta|carte", "phone": "tel|telefon|phone|call|fax|mobile?|movil"}
+ANNOUNCED = {k: rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{w})\.?\s{{0,2}}[:=]?\s{{0,2}}$" for k, w in _ANNOUNCING.items()}
+ANNOUNCED["secret"] = r"(?i)(?:token|secret|key|passw[a-z]*|pwd|auth[a-z]*|bearer|credentials?)[\"']?\s{0,2}(?:[:=]|\s)\s{0,2}[\"']?$"
 BEFORE = 24
 
 #: Features by the number of their bins; strings have the last four only.
-BINS = {"generator": 5, "digits": 7, "groups": 5, "plus": 2, "paren": 2, "dots": 3, "at": 2, "before": 4, "after": 4, "context": 2, "length": 5, "share": 4, "hex": 2, "mixed": 2}
-VECTORS = 4 * int(np.prod([7, 5, 2, 2, 3, 2, 4, 4, 2])) + int(np.prod([5, 4, 2, 2]))
+BINS = {"generator": 5, "digits": 7, "groups": 5, "plus": 2, "paren": 2, "dots": 3, "at": 2, "before": 4, "after": 4, "length": 5, "share": 4, "hex": 2, "mixed": 2}
+VECTORS = 4 * int(np.prod([7, 5, 2, 2, 3, 2, 4, 4])) + int(np.prod([5, 4, 2, 2]))
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 _MATCH = "array<struct<start:bigint,end:bigint,body:string,before:string,after:string>>"
@@ -173,17 +177,12 @@ def _features(name: str, m: Column) -> dict[str, Column]:
         "at": F.contains(body, F.lit("@")).cast("int"),
         "before": _class_of(F.right(m["before"], F.lit(1))),
         "after": _class_of(m["after"]),
-        "context": m["before"].rlike(CONTEXT).cast("int"),
     }
 
 
-def _holds(name: str, kind: str, m: Column) -> Column:
+def _holds(kind: str, m: Column) -> Column:
     """The label of a proposal in training."""
-    if name == "string":
-        return m["before"].rlike(ASSIGNED)
-    if kind == "phone":
-        return m["body"].rlike(rf"^{BASE['phone']}$") & _valid("phone", m["body"])
-    return m["body"].rlike(rf"^{BASE[kind]}$") & _valid(kind, m["body"])
+    return m["before"].rlike(ANNOUNCED[kind])
 
 
 _FIELDS = ",".join(f"{n}:int" for n in BINS)
@@ -194,10 +193,11 @@ def _with_proposals(df: DataFrame, body: Column) -> DataFrame:
     kinds, parts = f"array<struct<start:bigint,rank:int,end:bigint,kind:string,holds:boolean,{_FIELDS}>>", []
     df = df.withColumn("left", body)
     text = F.col("left")
+
     def proposed(name: str, kind: str) -> Callable[[Column], Column]:
         def one(m: Column) -> Column:
             values = [v.cast("int").alias(n) for n, v in _features(name, m).items()]
-            return F.struct(m["start"].alias("start"), F.lit(ALL_KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), _holds(name, kind, m).alias("holds"), *values)
+            return F.struct(m["start"].alias("start"), F.lit(ALL_KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), _holds(kind, m).alias("holds"), *values)
 
         return one
 
@@ -308,9 +308,14 @@ def calibrate(model: Model, score: np.ndarray, kind: np.ndarray, positive: np.nd
             model.thresholds[k], model.precision[k] = float((s[good[-1]] + below) / 2), float(right[good[-1]] / every[good[-1]])
 
 
+def _left_over() -> Column:
+    """The text of rows with base that base spans leave over."""
+    return F.when(F.size("base") > 0, _blotted(F.col("body"))).otherwise(F.col("body"))
+
+
 def learn(docs: DataFrame, text: str = "text") -> Model:
     """The model from the counts of all proposals by feature vector and label, halves apart."""
-    df = _with_proposals(docs.select(text_or_empty(text).alias("body")), F.col("body"))
+    df = _with_proposals(_with_base(docs.select(text_or_empty(text).alias("body"))), _left_over())
     each = df.select(F.pmod(F.xxhash64("body", F.lit(5)), F.lit(2)).alias("half"), F.explode("proposals").alias("p")).select("half", "p.kind", "p.holds", *[f"p.{n}" for n in BINS])
     sums = [F.sum((F.col("half") == h).cast("long") * v).alias(f"{n}{h}") for h in (0, 1) for n, v in (("all", F.lit(1)), ("pos", F.col("holds").cast("long")))]
     counts = sorted(each.groupBy("kind", *BINS).agg(*sums).collect())  # VECTORS rows at most
@@ -343,7 +348,11 @@ def _with_spans(df: DataFrame, model: Model) -> DataFrame:
     df = _with_base(df)
     if not model.thresholds:
         return df.withColumn("spans", F.col("base"))
-    df = _with_proposals(df, F.when(F.size("base") > 0, _blotted(F.col("body"))).otherwise(F.col("body")))
+    return _with_chosen(_with_proposals(df, _left_over()), model)
+
+
+def _with_chosen(df: DataFrame, model: Model) -> DataFrame:
+    """Adds spans, the base spans and the chosen proposals, to rows with base and proposals."""
     cut = F.lit(float("inf"))
     scored = F.transform("proposals", lambda p: F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end"), p["kind"].alias("kind"), model.score(lambda n: p[n]).alias("p")))
 
@@ -374,6 +383,15 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     return df.select("doc_id", *map(counted, KINDS), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), counted("secret", "spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
+def recall(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """For each kind with base spans: kind, n_base, and n_found, those of them that the trees alone find when no base pattern is used."""
+    df = _with_base(docs.select(text_or_empty(text).alias("body"))).where(F.size("base") > 0)
+    found = _with_chosen(_with_proposals(df.withColumn("known", F.col("base")).withColumn("base", F.array().cast(_SPAN)), F.col("body")), model)
+    each = found.select("spans", F.explode("known").alias("b"))
+    covered = F.exists("spans", lambda s: (s["start"] <= F.col("b.start")) & (s["end"] >= F.col("b.end")))
+    return each.groupBy("b.kind").agg(F.count("*").alias("n_base"), F.count_if(covered).alias("n_found"))
+
+
 def redact(docs: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; where spans overlap, the earlier one is."""
     model = model or learn(docs, text)
