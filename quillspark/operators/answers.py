@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.staging import staged
+
 # The forms of an answer, and of a row that holds a number and its answer.
 ANSWER = r"^([A-E]|\*+|ANULAD[AO])$"
 LIST = r"^QUESTAO\s+(\d{1,2})\s+([A-E]|\*+|ANULAD[AO])\b"
@@ -54,21 +56,29 @@ def grid_key(found: DataFrame) -> DataFrame:
 
 def best_key(files: DataFrame, manual: DataFrame, rows: DataFrame) -> DataFrame:
     """file, method, num and answer: the manual key of a file if there is one, none for a file without text, else a list or pairs with
-    enough answers, else the grid. A file without answers keeps one row without a number."""
-    sources = {"manual": manual, "list": numbered(rows, LIST), "pairs": numbered(rows, PAIR), "grid": grid_key(tokens(rows))}
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("file").agg(F.count("*").alias(name))
-
-    sizes = files.join(counted(rows, "rows"), "file", "left")
-    for name in ("manual", "list", "pairs"):
-        sizes = sizes.join(counted(sources[name], f"n_{name}"), "file", "left")
-    method = F.when(F.col("n_manual") > 0, "manual").when(F.col("rows").isNull(), "none").when(F.col("n_list") >= LEAST, "list").when(F.col("n_pairs") >= LEAST, "pairs").otherwise("grid")
-    each = None
-    for name, df in sources.items():
-        part = df.select("file", "num", "answer", F.lit(name).alias("method"))
-        each = part if each is None else each.unionByName(part)
-    return sizes.select("file", method.alias("method")).join(each, ["file", "method"], "left").select("file", "method", "num", "answer")
+    enough answers, else the grid. A file without answers keeps one row without a number.
+
+    Rows are matched with both forms once. A file's method follows from one aggregation (numbers have two digits, so that a file's
+    distinct ones are few), and only the rows of the method that was chosen go on: grids are put together for files that need one.
+    """
+
+    def form(pattern: str) -> Column:
+        part = lambda k: F.regexp_extract("text", pattern, k)
+        return F.when(F.col("text").rlike(pattern), F.struct(part(1).try_cast("int").alias("num"), answer(part(2)).alias("answer")))
+
+    typed = rows.select("file", "row", "text", form(LIST).alias("list"), form(PAIR).alias("pair"))
+    distinct = lambda c: F.size(F.collect_set(f"{c}.num")).alias(f"n_{c}")
+    sizes = typed.groupBy("file").agg(F.count("*").alias("rows"), distinct("list"), distinct("pair"))
+    hand = manual.groupBy("file").agg(F.count("*").alias("n_manual"))
+    method = F.when(F.col("n_manual") > 0, "manual").when(F.col("rows").isNull(), "none").when(F.col("n_list") >= LEAST, "list").when(F.col("n_pair") >= LEAST, "pairs").otherwise("grid")
+    methods = staged(files.join(sizes, "file", "left").join(hand, "file", "left").select("file", method.alias("method")))
+    own = typed.join(methods, "file")
+    given = own.where(F.col("method").isin("list", "pairs")).withColumn("a", F.when(F.col("method") == "list", F.col("list")).otherwise(F.col("pair"))).where("a IS NOT NULL")
+    direct = given.groupBy("file", "a.num").agg(F.max_by(F.struct("a.answer"), "row").alias("last")).select("file", "num", "last.answer")
+    grid = grid_key(tokens(own.where("method = 'grid'").select("file", "row", "text")))
+    by_hand = manual.select("file", "num", "answer").join(methods.where("method = 'manual'").select("file"), "file", "left_semi")
+    each = direct.unionByName(grid).unionByName(by_hand)
+    return methods.join(each, "file", "left").select("file", "method", "num", "answer")
 
 
 def manual_key(listed: DataFrame) -> DataFrame:
