@@ -5,9 +5,10 @@ an item; an item of fewer words, but not none, is one window. The automaton runs
 each document is scanned once; hits come back as word positions, which map to code points of the original text.
 
 A benchmark of more than BLOCK_BYTES of text makes an automaton for each block of items, as one of all items would outgrow a worker. Then
-a first pass looks every window of the documents up in a filter of all windows' hashes (FILTER_BITS bits for each, so that it is a small
-part of the benchmark), and only documents that pass, few but the contaminated ones, meet the automata. So the documents are read once
-for those that pass and once for the others, however large the benchmark is.
+a first pass looks every window of the documents up in a filter of all windows' hashes (FILTER_BITS bits for each, MOST_FILTER bytes at
+most, set by tasks), and only documents that pass, few but the contaminated ones, meet the automata. So the documents are read once
+for those that pass and once for the others, however large the benchmark is. Where the filter's bound leaves fewer bits than wanted, more
+clean documents pass and meet the automata too, which changes nothing in the result.
 
 Null texts and ids: a null text has no words; a null item id takes part as a window source and is left out of id lists.
 Empty tables: no documents give no rows, no items give clean rows. Repeated rows each get a row; ties do not arise.
@@ -36,10 +37,13 @@ WINDOW = 10
 #: Items go to the executors in blocks of so many bytes of text at most; each block is one automaton.
 BLOCK_BYTES = 8_000_000
 FILTER_BITS = 16
+#: Bytes of the filter at most, and of a slice of it that one task sets. In a filter that would have to be larger more texts pass.
+MOST_FILTER, FILTER_SLICE = 128 << 20, 4 << 20
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # the same words before A-Z is folded
 _FOLD = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+
 def words_of(text: str | None) -> list[bytes]:
     """Normalised words, as UTF-8."""
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
@@ -103,33 +107,61 @@ def item_blocks(spark: SparkSession, items: DataFrame, item_id: str, text: str,
 class Filter:
     """A bit for each of many hashes of windows; what isn't set occurs in no item."""
 
-    def __init__(self, bits: int) -> None:
-        self.bits, self.field, self.sizes = bits, np.zeros(-(-bits // 8), np.uint8), set()
-
-    @staticmethod
-    def _hashes(words: list[bytes], n: int) -> np.ndarray:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        s = np.full(max(0, len(h) - n + 1), n, np.uint64)
-        for j in range(n if len(s) else 0):
-            s = (s ^ h[j : len(h) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
-            s ^= s >> np.uint64(29)
-        return s
-
-    def add(self, words: list[bytes], window: int) -> None:
-        n = min(window, len(words))
-        if n:
-            self.sizes.add(n)
-            at = (self._hashes(words, n) % np.uint64(self.bits)).astype(np.int64)
-            np.bitwise_or.at(self.field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    def __init__(self, field: np.ndarray, sizes: list[int]) -> None:
+        self.field, self.bits, self.sizes = field, 8 * len(field), sizes
 
     def may_hit(self, words: list[bytes]) -> bool:
         for n in self.sizes:
-            at = (self._hashes(words, n) % np.uint64(self.bits)).astype(np.int64)
+            at = places(words, n, self.bits)
             if (self.field[at >> 3] >> (at & 7).astype(np.uint8) & 1).any():
                 return True
         return False
 
 
+def places(words: list[bytes], n: int, bits: int) -> np.ndarray:
+    """The bits of all runs of n words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    s = np.full(max(0, len(h) - n + 1), n, np.uint64)
+    for j in range(n if len(s) else 0):
+        s = (s ^ h[j : len(h) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+        s ^= s >> np.uint64(29)
+    return (s % np.uint64(bits)).astype(np.int64)
+
+
+def sieve_of(items: DataFrame, text: str, window: int, bits: int, slice_bytes: int = FILTER_SLICE) -> Filter:
+    """The filter of all items' windows. Tasks hash the windows, and a task for each slice of the filter sets its bits; the driver puts
+    the slices together, which have as many bytes as the filter, and so a fixed bound."""
+    slices = -(-bits // (8 * slice_bytes))
+    size = -(-bits // (8 * slices))  # bytes of a slice
+    bits = 8 * size * slices
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 0):
+            own = [w for t in batch.column(0).to_pylist() if (w := words_of(t))]
+            at = np.concatenate([np.zeros(0, np.int64), *[places(w, min(window, len(w)), bits) for w in own]])
+            n = np.repeat(np.array([min(window, len(w)) for w in own], np.int32), [len(w) - min(window, len(w)) + 1 for w in own])
+            yield pa.RecordBatch.from_arrays([pa.array((at // (8 * size)).astype(np.int32)), pa.array(at % (8 * size)), pa.array(n)], names=["slice", "at", "n"])
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field, which, sizes = np.zeros(size, np.uint8), None, set()
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.column(1).to_numpy()
+                np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+                which = batch.column(0)[0].as_py()
+                sizes.update(batch.column(2).unique().to_pylist())
+        if which is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([which], pa.int32()), pa.array([sorted(sizes)], pa.list_(pa.int32())), pa.array([field.tobytes()], pa.binary())], names=["slice", "sizes", "field"])
+
+    rows = items.select(F.col(text).alias("text")).mapInArrow(hashed, "slice int, at bigint, n int")
+    parts = rows.repartitionById(slices, F.col("slice")).mapInArrow(built, "slice int, sizes array<int>, field binary")
+    field, sizes = np.zeros(size * slices, np.uint8), set()
+    for r in parts.toLocalIterator():
+        field[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(r["field"], np.uint8)
+        sizes.update(r["sizes"])
+    return Filter(field, sorted(sizes))
+
+
 _SPAN = StructType([StructField(k, LongType()) for k in ("first", "last", "start", "end")])
 _FOUND = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(_SPAN)), StructField("items", ArrayType(StringType()))])
 _KINDS = [pa.int64(), pa.list_(pa.struct([pa.field(k, pa.int64()) for k in ("first", "last", "start", "end")])), pa.list_(pa.string())]
@@ -162,7 +194,7 @@ def _scan(rows: DataFrame, sent: Broadcast, name: str, window: int) -> DataFrame
     return rows.mapInArrow(run, StructType([*rows.schema.fields[1:], *_FOUND.fields]))
 
 
-def scan(rows: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(rows: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, most_filter: int = MOST_FILTER) -> DataFrame:
     """n_words, spans and items of the texts in the first column, beside the other columns."""
     spark = rows.sparkSession
     blocks = item_blocks(spark, items, item_id, item_text, block_bytes)
@@ -171,10 +203,8 @@ def scan(rows: DataFrame, items: DataFrame, item_id: str = "item_id", item_text:
     if second is None:
         return _scan(rows, send(first), uuid.uuid4().hex, window)
     # A window begins with a word, which has two characters at least with what parts it from the next one.
-    sieve = Filter(max(64, FILTER_BITS * (items.agg(F.sum(F.length(item_text))).first()[0] or 0) // 2))
-    for block in item_blocks(spark, items, item_id, item_text, block_bytes):
-        for _, text in block:
-            sieve.add(words_of(text), window)
+    wanted = FILTER_BITS * (items.agg(F.sum(F.length(item_text))).first()[0] or 0) // 2
+    sieve = sieve_of(items, item_text, window, max(64, min(wanted, 8 * most_filter)))
     filtered = send(sieve)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

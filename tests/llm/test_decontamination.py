@@ -32,12 +32,12 @@ def plain(text, items):
 ITEMS = lambda rows: [(1, rows[3][1]), (20, rows[8][1][:40]), (3, "Short One"), (4, ""), (5, None), (6, "!!"), (3, rows[3][1])]
 
 
-@pytest.mark.parametrize("block", [10_000_000, 200])
-def test_against_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(10_000_000, D.MOST_FILTER), (200, D.MOST_FILTER), (200, 9)])
+def test_against_brute_force(spark, block, most):
     rows = odd_rows()
     rows += [(900, "A short! ONE here " + rows[3][1].upper(), "s0")]
     items = ITEMS(rows)
-    found = D.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block).collect()
+    found = D.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block, most_filter=most).collect()
     assert len(found) == len(rows)
     expected = sorted(((i, *plain(t, items)) for i, t, _ in rows), key=repr)
     assert sorted((tuple(r)[:6] for r in found), key=repr) == expected
@@ -70,3 +70,19 @@ def test_empty_tables(spark):
     docs, none = documents(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert D.contamination(docs, none).count() == 0
     assert not any(r["contaminated"] for r in D.contamination(documents(spark, odd_rows()), none).collect())
+
+
+def test_the_filter_of_tasks_holds_every_window(spark):
+    """Slices of the filter, set by tasks, are the filter of all windows set one after another."""
+    texts = [t for _, t in ITEMS(odd_rows())] + ["one two three"] * 3
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "item_id long, text string").repartition(3)
+    for bits, slice_bytes in ((4096, 64), (4096, 1 << 20), (100, 3)):
+        sieve = D.sieve_of(items, "text", 10, bits, slice_bytes)
+        want, sizes = set(), set()
+        for t in texts:
+            if own := D.words_of(t):
+                sizes.add(min(10, len(own)))
+                want.update(D.places(own, min(10, len(own)), sieve.bits).tolist())
+        assert {k for k in range(sieve.bits) if sieve.field[k >> 3] >> (k & 7) & 1} == want and sieve.sizes == sorted(sizes)
+        assert all(sieve.may_hit(D.words_of("x " + t)) for t in texts if D.words_of(t))
+    assert not D.sieve_of(items.limit(0), "text", 10, 64).may_hit([b"a"])
