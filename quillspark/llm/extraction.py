@@ -38,7 +38,7 @@ from quillspark.llm.common import SLICE_BYTES, sliced, written
 PART_PAGES, PARTS = 500, 10_000
 
 # Fixed values of HTML: elements by what they do to text.
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select|object|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object|xmp|noembed|noframes"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody tfoot thead tr ul".split())
 SPACE = frozenset("br td th wbr img input button".split())
@@ -50,6 +50,9 @@ MARKS = frozenset(
     "alerts popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side widget widgets related recommended share sharing "
     "social footer masthead topbar comment comments commentlist reply replies discussion disqus respond pagination pager toolbar skip search complementary contentinfo navigation dialog".split()
 )
+#: Marks that are words of plain prose too: they count only in names made of marks and of such words for parts of a page alone.
+WEAK = frozenset("side related recommended notice notices alert alerts share sharing search skip banner banners discussion reply replies promotion promoted widget widgets social subscribe dialog overlay popup".split())
+PARTS_OF_PAGES = frozenset("area article articles bar block bottom box button buttons col column container content group icon icons inner item items left link links list main media page pane panel post posts right section site slot text title top unit wrap wrapper".split())
 _CLOSED_BY_SAME = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "option": "option", "td": "th", "th": "td"}
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*>", re.S | re.I)
@@ -69,8 +72,11 @@ def _marked(rest: str) -> bool:
     if "=" not in rest and "hidden" not in rest:
         return False
     for m in _NAMES.finditer(rest):
-        if any(x.lower() in MARKS for x in _PIECES.findall(m[1] or m[2] or m[3] or "")):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = {x.lower() for x in _PIECES.findall(name)}
+            found = parts & MARKS
+            if found and (found - WEAK or parts <= MARKS | PARTS_OF_PAGES):
+                return True
     return bool(_HIDDEN.search(rest))
 
 

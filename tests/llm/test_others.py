@@ -34,6 +34,16 @@ def test_extraction_by_markup(spark):
     assert found[2]["text"] == "" and found[3]["text"] == "" and found[4]["text"] == "5 < 6 &am <" and found[None]["text"] == found[1]["text"]
 
 
+def test_names_of_article_blocks_are_no_marks():
+    """Marks that are plain words count in names of marks and parts of pages alone; formulas are text."""
+    text = lambda inner: [x.text for x in extraction.lines_of(f"<article>{inner}<p>end</p></article>") if not x.boilerplate]
+    for name in ("related-work", "side-by-side", "skip-lists", "noticeable", "search-algorithms share-of-votes", "bannerman"):
+        assert text(f"<div class='{name}'>kept</div>") == ["kept", "end"], name
+    for name in ("related-links", "side", "sideColumn", "share-buttons", "reader-comments", "x ad-slot", "site-search", "cookie-whatever", "newsletter"):
+        assert text(f"<div class='{name}'>gone</div>") == ["end"], name
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>") == ["so x=2 holds", "end"]
+
+
 def test_extraction_by_differencing(spark):
     page = lambda k: f"<div><p>Site title</p><p>Home</p><p>Body {k} is its own</p><p>Contact us</p></div>"
     rows = [(k, f"http://h/en/{k}", page(k)) for k in range(5)] + [(9, "http://other/en/1", page(1)), (10, "http://twin/a", page(1)), (11, "http://twin/b", page(1))]
