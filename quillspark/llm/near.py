@@ -393,7 +393,8 @@ def connected(links: DataFrame) -> DataFrame:
 
 
 def meetings(rows: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """A row (sig0, sig1, need) for each prefix shingle in which two classes of different components meet and may link.
+    """A row (sig0, sig1, need, weight) for each prefix shingle, or passage of ``weight`` of them with equal lists, in which two classes of
+    different components meet and may link.
 
     Of the intersection of a pair, all that lies before the end of the prefix that ends first is in both prefixes, and the rest is behind
     that prefix. So it has at most suffix + open members for one of the two: the shingles behind its prefix, and those of its prefix that
@@ -424,26 +425,45 @@ def meetings(rows: DataFrame, labels: DataFrame, percent: int = PERCENT) -> Data
     groups = counts.groupBy("token", "bucket").agg(F.max_by("root", F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("able").alias("any"))
     groups = written(groups.where("roots > 1 AND low = 0 AND high = 1 AND any").select("token", "bucket", "main"), "groups")
     sides = written(sides.join(groups, ["token", "bucket"]).withColumn("minor", c("root") != c("main")).drop("main"), "minor")
+    sides = passages(sides)
 
     def side(k: int, minor: bool | None, able: bool | None) -> DataFrame:
         out = sides.where(c("side") == k)
         for name, value in (("minor", minor), ("able", able)):
             out = out if value is None else out.where(c(name) == F.lit(value))
-        return out.select("token", "bucket", *[c(x).alias(f"{x}{k}") for x in ("sig", "n", "pos", "shared", "root")])
+        return out.select("token", "bucket", *[c(x).alias(f"{x}{k}") for x in ("sig", "n", "pos", "shared", "root", "weight")])
 
     fits = (c("root0") != c("root1")) & (F.struct("n0", "sig0") < F.struct("n1", "sig1")) & _may_link(c("n0"), c("pos0"), c("shared0"), c("n1"), c("pos1"), c("shared1"), percent)
     met = None
     # One of the two is outside the group's largest component, and one of the two is able to link.
     for minor, able in product((True, False), (True, False)):
         x, y = side(0, minor, able), side(1, None if minor else True, None if able else True)
-        pairs = x.join(y, (x["token"] == y["token"]) & (x["bucket"] == y["bucket"]) & fits).select("sig0", "sig1", F.least("shared0", "shared1").alias("need"))
+        pairs = x.join(y, (x["token"] == y["token"]) & (x["bucket"] == y["bucket"]) & fits).select("sig0", "sig1", F.least("shared0", "shared1").alias("need"), c("weight0").alias("weight"))
         met = pairs if met is None else met.union(pairs)
     return met
 
 
+def passages(sides: DataFrame) -> DataFrame:
+    """The rows (token, bucket, sig, side, pos and others) with weight, as a written table.
+
+    Shingles of a passage stand in the same classes: of those with equal lists one stands for all, with their number as its weight, and at
+    the foremost of their places in each class. So a passage that many texts share counts once, and no pair is lost: one that any of
+    the shingles would let meet is met.
+    """
+    same = [F.bit_xor(F.xxhash64("sig", "side", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    lists = sides.groupBy("token", "bucket").agg(F.count("*").alias("size"), *same)
+    lists = written(lists, "lists")
+    heads = lists.groupBy("bucket", "size", "x1", "x2").agg(F.min("token").alias("head"), F.count("*").alias("weight")).where("weight > 1")
+    heads = written(lists.join(heads, ["bucket", "size", "x1", "x2"]).select("token", "bucket", "head", "weight"), "heads_of_passages")
+    alone = sides.join(heads.select("token", "bucket"), ["token", "bucket"], "left_anti").withColumn("weight", F.lit(1).cast("long"))
+    rest = [x for x in sides.columns if x not in ("token", "bucket", "sig", "side", "pos")]
+    many = sides.join(heads, ["token", "bucket"]).groupBy(F.col("head").alias("token"), "bucket", "sig", "side").agg(F.min("pos").alias("pos"), *[F.first(x).alias(x) for x in (*rest, "weight")])
+    return written(alone.unionByName(many), "units")
+
+
 def left_pairs(rows: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of classes in different components that share enough of their prefixes."""
-    enough = meetings(rows, labels, percent).groupBy("sig0", "sig1").agg(F.count("*").alias("met"), F.min("need").alias("need")).where("met >= need")
+    enough = meetings(rows, labels, percent).groupBy("sig0", "sig1").agg(F.sum("weight").alias("met"), F.min("need").alias("need")).where("met >= need")
     return enough.select(F.least("sig0", "sig1").alias("a"), F.greatest("sig0", "sig1").alias("b"))
 
 

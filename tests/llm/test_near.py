@@ -145,3 +145,18 @@ def test_prefix_lengthens_with_cost():
     excess[:] = 5.0
     tokens, _, shared = near.prefix(own, excess)
     assert shared == near.MOST_SHARED and len(tokens) == 25 + shared
+
+
+def test_texts_put_together_from_passages(spark):
+    """Texts of 10 of 20 passages: right, and a passage counts once where it brings texts together, whatever its length."""
+    rng = random.Random(3)
+    parts = [[f"p{i}w{k}" for k in range(40)] for i in range(20)]
+    picks = [rng.sample(range(20), 10) for _ in range(120)]
+    picks += [p[:9] + [19 - p[9]] for p in picks[:10]] + picks[10:14]
+    rows = [(i, " ".join(w for p in own for w in parts[p]), "s") for i, own in enumerate(picks)]
+    docs = documents(spark, rows)
+    assert sorted((tuple(r) for r in near.components(docs).collect()), key=repr) == plain(rows)
+    marks = near.signed(docs, "doc_id", "text")
+    found = near.shared_rows(near.prefixes(docs, "text", spark.sparkContext.broadcast(near.sketch_of(marks))))
+    met = near.meetings(found, spark.createDataFrame([], "sig long, root long")).selectExpr("count(*) AS n", "sum(weight) AS w").first()
+    assert met["w"] > 5 * met["n"], met
