@@ -9,6 +9,7 @@ from quillspark.functions import text as T
 from quillspark.operators import layout
 from quillspark.plans.registry import query
 from quillspark.session import table
+from quillspark.staging import staged
 
 WIDTH, HEIGHT = 560.0, 800.0
 
@@ -72,6 +73,13 @@ def page_markers(spark: SparkSession, d: str) -> DataFrame:
     return layout.markers(_items(spark, d), HEIGHT).select("doc", "page", "i", "x", "top", "kind", "num", F.get("nums", F.lit(0)).alias("first_num"))
 
 
+def _marked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items, frames and markers; the first two are staged, since later steps read them again."""
+    items = staged(_items(spark, d))
+    framed = staged(layout.frames(items, HEIGHT))
+    return items, framed, layout.markers(items, HEIGHT, framed)
+
+
 @query(f"WITH {_I}, {_F}, {_M} SELECT doc, page, min(x) FILTER (kind NOT IN ('stop', 'end') AND x > 0.4::DOUBLE * 560) - 8 AS split FROM markers GROUP BY doc, page")
 def page_columns(spark: SparkSession, d: str) -> DataFrame:
     return layout.columns(layout.markers(_items(spark, d), HEIGHT), WIDTH)
@@ -96,8 +104,8 @@ c AS (SELECT conv_id AS doc, CASE WHEN conv_id % 3 = 0 THEN 6 + conv_id % 4 WHEN
 SELECT doc, page, i, kind, num, CASE WHEN CASE WHEN named THEN NOT general WHEN start IS NULL THEN true ELSE coalesce(num, first_num) >= start END THEN 'specific' ELSE 'general' END AS section
 FROM markers JOIN g USING (doc, page) JOIN n USING (doc) JOIN c USING (doc) WHERE kind NOT IN ('stop', 'end')""")
 def block_sections(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return layout.sections(layout.markers(items, HEIGHT), layout.frames(items, HEIGHT), _covers(spark, d))
+    _, framed, marks = _marked(spark, d)
+    return layout.sections(marks, framed, _covers(spark, d))
 
 
 _S = f"""{_M}, fp AS (SELECT doc, min(page) AS first_page FROM markers WHERE kind IN ('objective', 'essay', 'shared') GROUP BY doc),
@@ -114,15 +122,15 @@ segs AS (SELECT doc, block, now.kind AS kind, now.num AS num, page, col, x0, x1,
 
 @query(f"WITH {_I}, {_F}, {_S} SELECT * FROM segs")
 def block_segments(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return layout.segments(layout.markers(items, HEIGHT), layout.frames(items, HEIGHT), WIDTH)
+    _, framed, marks = _marked(spark, d)
+    return layout.segments(marks, framed, WIDTH)
 
 
 @query(f"WITH {_I}, {_F}, {_S} SELECT doc, page, i, block FROM items JOIN segs s USING (doc, page) WHERE top >= y0 - 1 AND bottom <= y1 + 2 AND x + least(w, 20) / 2 >= x0 AND x + least(w, 20) / 2 < x1")
 def block_items(spark: SparkSession, d: str) -> DataFrame:
     """Items by the block in whose areas they lie."""
-    items = _items(spark, d)
-    areas = layout.segments(layout.markers(items, HEIGHT), layout.frames(items, HEIGHT), WIDTH).select("doc", "page", "block", "x0", "x1", "y0", "y1")
+    items, framed, marks = _marked(spark, d)
+    areas = layout.segments(marks, framed, WIDTH).select("doc", "page", "block", "x0", "x1", "y0", "y1")
     return layout.contained(items, areas).select("doc", "page", "i", "block")
 
 

@@ -24,6 +24,19 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Paths that scratch has given out, by application.
+_GIVEN: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; its files are the caller's to delete."""
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; what is written there stays until ``clear``, as a returned DataFrame may read it."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what lies at the paths that ``scratch`` has given out to this application, once results have been used."""
+    for path in _GIVEN.pop(spark.sparkContext.applicationId, []):
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

@@ -104,3 +104,16 @@ def test_labels_and_numbers(spark):
 def test_keys_by_hand(spark):
     listed = spark.createDataFrame([("f", " A  *\nC"), ("g", ""), ("h", None)], "file string, answers string")
     assert sorted(tuple(r) for r in answers.manual_key(listed).collect()) == [("f", 1, "A"), ("f", 2, None), ("f", 3, "C")]
+
+
+def test_scratch_paths_are_cleared(spark):
+    from pathlib import Path
+
+    from quillspark import staging
+
+    path = staging.scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert Path(path).exists()
+    staging.clear(spark)
+    assert not Path(path).exists()
+    assert staging.staged(spark.range(5).selectExpr("id * 2 AS v")).agg(F.sum("v")).first()[0] == 20
