@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
 from pyspark.sql import functions as F
 
 from quillspark.operators import booklet, classify, layout
+from quillspark.sources import readers
 
 ITEMS = "doc int, page int, i int, font string, x double, w double, h double, baseline double, str string"
 GLYPHS = [(3, " "), (0x141, "d"), (0x142, "e"), (0x143, "ti"), (0x144, "Q"), (0x145, "U"), (0x146, "S"), (0x147, "T"), (0x148, "A"), (0x149, "O"), (0x37E, "E"), (101, "?")]
@@ -17,8 +19,9 @@ def table(spark):
     return spark.createDataFrame(GLYPHS, "code int, text string")
 
 
-def test_glyphs_one_to_one_several_and_dropped(spark):
-    decode = layout.glyph_decoder(table(spark))
+def test_glyphs_one_to_one_several_and_dropped(spark, tmp_path):
+    (tmp_path / "glyphs.json").write_text("".join(json.dumps({"code": c, "text": t}) + "\n" for c, t in GLYPHS))
+    decode = layout.glyph_decoder(readers.lookup(spark, str(tmp_path / "glyphs.json"), "code int, text string"))
     cases = {"Łł": "de", "aŃb": "atib", "\x03\x01\x02x": " x", ";": "E", "·": "·", "e": "?", " ": " ", "ŃŃ": "titi", "Ι": "Ι"}
     rows = spark.createDataFrame(list(cases.items()), "s string, want string")
     assert [(r["got"], r["want"]) for r in rows.select(decode(F.col("s")).alias("got"), "want").collect() if r["got"] != r["want"]] == []
