@@ -117,3 +117,12 @@ def test_scratch_paths_are_cleared(spark):
     staging.clear(spark)
     assert not Path(path).exists()
     assert staging.staged(spark.range(5).selectExpr("id * 2 AS v")).agg(F.sum("v")).first()[0] == 20
+
+
+def test_word_lists_of_portuguese_exams(spark):
+    from quillspark.functions import portuguese
+
+    row = spark.range(1).select(F.lit("A seguir, considere os sistemas de informações: árvores-B, ÁRVORES e apenas memória").alias("t"))
+    got = row.select(T.words(F.col("t"), portuguese.STOP_WORDS).alias("w"), statistics.whole_words(F.col("t"), portuguese.ABSOLUTE_WORDS).alias("h")).first()
+    assert got["w"] == ["arvores-b", "arvores", "memoria"] and got["h"] == ["apenas"]
+    assert len(set(portuguese.STOP_WORDS)) == 145 and len(portuguese.ABSOLUTE_WORDS) == 19
