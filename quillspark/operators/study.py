@@ -200,9 +200,10 @@ def nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     both = points.select("b", F.col("y").alias("v"), F.struct("y", "key").alias("p"), F.lit(None).cast(left.schema["id"].dataType).alias("id"), F.lit(0).alias("kind")).unionByName(
         left.select(bucket("x").alias("b"), F.col("x").alias("v"), F.lit(None).cast(f"struct<y:double,key:{kind}>").alias("p"), "id", F.lit(1).alias("kind"))
     )
-    w = Window.partitionBy("b").orderBy("v", "kind")
-    low = F.last("p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    high = F.first("p", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Both windows run from their sorted start to the row, so that each row costs the same; up to the end of a range, every row would go
+    # through the rest of it again. Points come before the left rows of their value either way.
+    upto = lambda order: Window.partitionBy("b").orderBy(order, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    low, high = (F.last("p", ignorenulls=True).over(upto(order)) for order in (F.asc("v"), F.desc("v")))
     rows = both.withColumn("low", low).withColumn("high", high).where("kind = 1").join(F.broadcast(sides), "b")
     near = F.filter(F.array(F.coalesce("low", "before"), F.coalesce("high", "after")), lambda p: p.isNotNull())
     best = F.array_min(F.transform(near, lambda p: F.struct(F.abs(p["y"] - F.col("v")).alias("distance"), p["key"].alias("key"))))
