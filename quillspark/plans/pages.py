@@ -74,8 +74,10 @@ def num_list(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, CASE WHEN starts_with(m, 'THE ') THEN 'objective' WHEN starts_with(m, 'IN ') THEN 'essay' WHEN contains(m, 'LICENSED') THEN 'stop' END AS marker, count(*) AS n
 FROM m WHERE starts_with(m, 'THE ') OR starts_with(m, 'IN ') OR contains(m, 'LICENSED') GROUP BY ALL""")
 def line_markers(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    marker = first_match(T.marker_norm(F.col("line")), [("^THE ", "objective"), ("^IN ", "essay"), ("LICENSED", "stop")])
+    # A text is folded once; of its lines only those that may be markers are told apart.
+    may = lambda line: line.rlike(rf"^{T.BLANK}*(?:THE|IN){T.BLANK}|LICENSED")
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.filter(F.split(F.upper(T.fold(F.col("text"))), "\n"), may)).alias("line"))
+    marker = T.let(T.squeeze(F.col("line")), lambda norm: first_match(norm, [("^THE ", "objective"), ("^IN ", "essay"), ("LICENSED", "stop")]))
     return lines.select("doc_id", marker.alias("marker")).where("marker IS NOT NULL").groupBy("doc_id", "marker").agg(F.count("*").alias("n"))
 
 
