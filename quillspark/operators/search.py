@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,21 +107,57 @@ def facet_table(rows: DataFrame, dimensions: DataFrame, columns: dict[str, str])
 GRAM = 3
 
 
-def grams(folded: Column) -> Column:
-    """The distinct runs of GRAM characters of a text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+#: Code points of texts that make a segment of postings, at least; one text is never parted.
+SEGMENT = 1 << 21
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings (gram, keys) of batches of (key, folded): for each segment of texts its runs in order, each with the keys of its texts."""
+    for batch in batches:
+        texts, kind, begin, size = batch.column(1).to_pylist(), batch.schema.field(0).type, 0, 0
+        for k, text in enumerate(texts):
+            size += len(text or "")
+            if size >= SEGMENT or k + 1 == len(texts):
+                gram, ends, of = _postings(texts[begin : k + 1])
+                keys = batch.column(0).slice(begin, k + 1 - begin).take(pa.array(of))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays([pa.array(gram, pa.string()), lists.cast(pa.list_(kind))], names=["gram", "keys"])
+                begin, size = k + 1, 0
+
+
+def _postings(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct runs of GRAM characters, where each one's places end (from 0 on), and the places of the texts that have it."""
+    points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
+    of = np.repeat(np.arange(len(texts)), [len(t or "") for t in texts])
+    seen = np.zeros(0x110000, bool)
+    seen[points] = True
+    letters = np.flatnonzero(seen)  # numbered, so that a run and its text fit into one number
+    number = np.zeros(0x110000, np.int64)
+    number[letters] = np.arange(len(letters))
+    points, n = number[points], max(len(points) - GRAM + 1, 0)
+    code = np.zeros(n, np.int64)
+    for j in range(GRAM):
+        code = code * max(len(letters), 1) + points[j : j + n]
+    whole = of[:n] == of[GRAM - 1 : GRAM - 1 + n]
+    runs, code = np.unique(code[whole], return_inverse=True)
+    met = np.unique(code * len(texts) + of[:n][whole])
+    run, text = np.divmod(met, max(len(texts), 1))
+    ends = np.searchsorted(run, np.arange(len(runs) + 1))
+    parts = [letters[runs // max(len(letters), 1) ** (GRAM - 1 - j) % max(len(letters), 1)] for j in range(GRAM)]
+    return ["".join(map(chr, p)) for p in zip(*(p.tolist() for p in parts), strict=True)], ends, text
 
 
 def build_index(df: DataFrame, key: str, text: str, path: str) -> None:
     """Write a search index below ``path``: the folded texts by key, and for each run of GRAM characters the keys of the texts that have it.
 
-    Postings are sorted by their run, so that a search reads the few row groups of its own. No list of a run's keys is ever put together.
+    Each task writes postings of its own texts, segment by segment, so that nothing is shuffled and a run's keys are put together for one
+    segment at a time. Runs are sorted within a segment, so that a search skips pages of other runs.
     """
     spark = df.sparkSession
     df.select(F.col(key).alias("key"), fold(F.col(text)).alias("folded")).write.mode("overwrite").parquet(f"{path}/texts")
     texts = spark.read.parquet(f"{path}/texts")
-    postings = texts.select(F.explode(grams(F.col("folded"))).alias("gram"), "key")
-    postings.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = texts.select("key", "folded").mapInArrow(_segments, f"gram string, keys array<{texts.schema['key'].dataType.simpleString()}>")
+    postings.write.mode("overwrite").parquet(f"{path}/postings")
 
 
 def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
@@ -130,6 +169,6 @@ def search_index(spark: SparkSession, path: str, query: str) -> DataFrame:
     terms = [r["t"] for r in spark.createDataFrame([(t,) for t in query.split()], "t string").select(fold(F.col("t")).alias("t")).collect()]
     wanted = sorted({t[i : i + GRAM] for t in terms for i in range(len(t) - GRAM + 1)})
     if wanted:
-        have = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(*wanted)).groupBy("key").agg(F.count("*").alias("n"))
+        have = spark.read.parquet(f"{path}/postings").where(F.col("gram").isin(*wanted)).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
         texts = texts.join(have.where(F.col("n") == len(wanted)).select("key"), "key", "left_semi")
     return texts.where(reduce(Column.__and__, [F.contains("folded", F.lit(t)) for t in terms], F.lit(True)))
