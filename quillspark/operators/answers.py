@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.staging import staged
+from quillspark.functions.text import let
 
 # The forms of an answer, and of a row that holds a number and its answer.
 ANSWER = r"^([A-E]|\*+|ANULAD[AO])$"
@@ -54,31 +54,70 @@ def grid_key(found: DataFrame) -> DataFrame:
     return given.groupBy("file", "num").agg(F.when(F.bool_or(F.col("answer").isNull()), None).otherwise(first).alias("answer"))
 
 
+def _below_numbers(text: Column) -> Column:
+    """Structs of num, answer and pos: the answers of a line by the nearest numbers of the header line above it, as ``grid_key`` has them.
+
+    Lines keep their tokens to themselves, and a file's window hands on the last header.
+    """
+    part = F.aggregate(
+        F.split(text, " "),
+        F.struct(F.lit(0).alias("start"), F.lit(0).alias("pos"), F.array().cast("array<struct<pos:int,t:string,cx:double>>").alias("out")),
+        lambda acc, t: F.struct(
+            (acc["start"] + F.length(t) + 1).alias("start"),
+            (acc["pos"] + 1).alias("pos"),
+            F.when(t == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["pos"].alias("pos"), t.alias("t"), (acc["start"] + F.length(t) / 2).alias("cx"))))).alias("out"),
+        ),
+        lambda acc: acc["out"],
+    )
+    numbers = lambda line: (F.size(line) >= 3) & F.forall(line, lambda x: x["t"].rlike(r"^\d{1,2}$"))
+    heads = let(part, lambda line: F.when(numbers(line), F.transform(line, lambda x: F.struct(x["cx"].alias("cx"), x["pos"].alias("pos"), x["t"].cast("int").alias("num")))))
+    # A line of numbers has no answers itself: none of its tokens has an answer's form.
+    header = F.last(heads, ignorenulls=True).over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    near = lambda x, head: F.array_min(F.transform(head, lambda h: F.struct(F.abs(h["cx"] - x["cx"]).alias("d"), h["pos"].alias("pos"), h["num"].alias("num"))))["num"]
+    given = F.filter(part, lambda x: x["t"].rlike(ANSWER))
+    return let(header, lambda head: F.when(head.isNotNull(), F.transform(given, lambda x: F.struct(near(x, head).alias("num"), answer(x["t"]).alias("answer"), x["pos"].alias("pos")))))
+
+
 def best_key(files: DataFrame, manual: DataFrame, rows: DataFrame) -> DataFrame:
     """file, method, num and answer: the manual key of a file if there is one, none for a file without text, else a list or pairs with
-    enough answers, else the grid. A file without answers keeps one row without a number.
+    enough answers, else the grid. A file without answers keeps one row without a number."""
+    by_hand = manual.select("file", F.struct("num", "answer").alias("manual"))
+    return best_of(rows.select("file", "row", "text", F.lit(True).alias("typed")).unionByName(by_hand, True).unionByName(files.select("file"), True))
+
+
+def best_of(rows: DataFrame) -> DataFrame:
+    """``best_key`` from one table (file, row, text, typed, manual): a row may be a line of text (``typed``), have an answer by hand (num and
+    answer; null for none), both, or neither.
 
-    Rows are matched with both forms once. A file's method follows from one aggregation (numbers have two digits, so that a file's
-    distinct ones are few), and only the rows of the method that was chosen go on: grids are put together for files that need one.
+    The rows are dealt by file once, unless they come so, and all steps go on from there: windows count what decides a file's method, and only answers of the
+    method that was chosen are put together.
     """
 
     def form(pattern: str) -> Column:
         part = lambda k: F.regexp_extract("text", pattern, k)
-        return F.when(F.col("text").rlike(pattern), F.struct(part(1).try_cast("int").alias("num"), answer(part(2)).alias("answer")))
-
-    typed = rows.select("file", "row", "text", form(LIST).alias("list"), form(PAIR).alias("pair"))
-    distinct = lambda c: F.size(F.collect_set(f"{c}.num")).alias(f"n_{c}")
-    sizes = typed.groupBy("file").agg(F.count("*").alias("rows"), distinct("list"), distinct("pair"))
-    hand = manual.groupBy("file").agg(F.count("*").alias("n_manual"))
-    method = F.when(F.col("n_manual") > 0, "manual").when(F.col("rows").isNull(), "none").when(F.col("n_list") >= LEAST, "list").when(F.col("n_pair") >= LEAST, "pairs").otherwise("grid")
-    methods = staged(files.join(sizes, "file", "left").join(hand, "file", "left").select("file", method.alias("method")))
-    own = typed.join(methods, "file")
-    given = own.where(F.col("method").isin("list", "pairs")).withColumn("a", F.when(F.col("method") == "list", F.col("list")).otherwise(F.col("pair"))).where("a IS NOT NULL")
-    direct = given.groupBy("file", "a.num").agg(F.max_by(F.struct("a.answer"), "row").alias("last")).select("file", "num", "last.answer")
-    grid = grid_key(tokens(own.where("method = 'grid'").select("file", "row", "text")))
-    by_hand = manual.select("file", "num", "answer").join(methods.where("method = 'manual'").select("file"), "file", "left_semi")
-    each = direct.unionByName(grid).unionByName(by_hand)
-    return methods.join(each, "file", "left").select("file", "method", "num", "answer")
+        return F.when(F.col("typed") & F.col("text").rlike(pattern), F.struct(part(1).try_cast("int").alias("num"), answer(part(2)).alias("answer")))
+
+    own = Window.partitionBy("file")
+    dealt = rows.select("file", "row", "text", F.coalesce("typed", F.lit(False)).alias("typed"), "manual")
+    dealt = dealt.withColumn("list", form(LIST)).withColumn("pair", form(PAIR))
+    distinct = lambda c: F.size(F.collect_set(f"{c}.num").over(own))
+    counts = {"n_manual": F.count("manual").over(own), "n_rows": F.count(F.when(F.col("typed"), 1)).over(own), "n_list": distinct("list"), "n_pair": distinct("pair")}
+    method = F.when(F.col("n_manual") > 0, "manual").when(F.col("n_rows") == 0, "none").when(F.col("n_list") >= LEAST, "list").when(F.col("n_pair") >= LEAST, "pairs").otherwise("grid")
+    chosen = dealt.withColumns(counts).select("file", "row", "list", "pair", "manual", F.when(F.col("typed") & (method == "grid"), F.col("text")).alias("text"), method.alias("method"))
+    chosen = chosen.withColumn("grid", _below_numbers(F.col("text")))
+    one = lambda c: F.array(F.struct(c["num"].alias("num"), c["answer"].alias("answer"), F.lit(0).alias("pos")))
+    given = F.when(F.col("method") == "grid", F.col("grid"))
+    for name, column in (("manual", "manual"), ("list", "list"), ("pairs", "pair")):
+        given = F.when((F.col("method") == name) & F.col(column).isNotNull(), one(F.col(column))).otherwise(given)
+    each = chosen.select("file", "row", "method", F.explode_outer(given).alias("g"))
+    value = F.struct("g.answer")
+    hand = F.collect_list(F.when(F.col("method") == "manual", F.when(F.col("g").isNotNull(), value)))  # as often as it was written
+    last, first = F.max_by(value, "row"), F.min_by(value, F.struct("row", "g.pos"))
+    grid = F.when(F.bool_or(F.col("g.answer").isNull()), F.struct(F.lit(None).cast("string").alias("answer"))).otherwise(first)
+    answers_ = F.when(F.col("method") == "manual", hand).when(F.col("method") == "grid", F.array(grid)).otherwise(F.array(last))
+    found = each.groupBy("file", "method", F.col("g").isNotNull().alias("there"), F.col("g.num").alias("num")).agg(answers_.alias("a"))
+    found = found.withColumn("any", F.max("there").over(Window.partitionBy("file"))).where("there = any")
+    return found.select("file", "method", "num", F.explode_outer("a").alias("a")).select("file", "method", "num", F.when(F.col("num").isNotNull() | F.col("a").isNotNull(), F.col("a.answer")).alias("answer"))
 
 
 def manual_key(listed: DataFrame) -> DataFrame:
