@@ -6,6 +6,7 @@ Items are (doc, page, i, x, w, h, baseline, str): i is their order on the page.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators.classify import first_match
 from quillspark.operators.study import anchored
+from quillspark.staging import staged
 
 # Shares of a page's height, tolerances, and the patterns of markers in normalised text.
 FOOTER_ZONE, FOOTER_DEFAULT, RIGHT_COLUMN, MARKER_HEIGHT = 0.86, 0.93, 0.4, 0.95
@@ -53,12 +55,17 @@ def joined(items: DataFrame) -> DataFrame:
     return pieces.groupBy("doc", "page", "baseline").agg(each.alias("p")).select("doc", "page", "baseline", T.squeeze(F.array_join(F.transform("p", lambda p: p["piece"]), "")).alias("text"))
 
 
-def frames(items: DataFrame, height: float) -> DataFrame:
+def page_heights(items: DataFrame) -> DataFrame:
+    """doc, page, h and n: how many items of each height a page has; of heights there are few."""
+    return items.groupBy("doc", "page", "h").agg(F.count("*").alias("n"))
+
+
+def frames(items: DataFrame, height: float, heights: DataFrame | None = None) -> DataFrame:
     """doc, page, footer_top and footer_text: footers are elements of the lower zone that repeat, by text without digits and by place, on
-    at least three pages and a quarter of the document's."""
+    at least three pages and a quarter of the document's. With ``heights`` (``page_heights``) the items need not be more than the low ones."""
     signature = F.left(F.regexp_replace(T.marker_norm(F.col("str")), r"[0-9\s]", ""), F.lit(30))
     low = items.where(F.col("top") >= FOOTER_ZONE * height).withColumn("signature", signature).withColumn("place", T.round_half_up(F.col("top") / 4))
-    pages = items.select("doc", "page").distinct()
+    pages = (items if heights is None else heights).select("doc", "page").distinct()
     many = pages.groupBy("doc").agg(F.count("*").alias("pages"))
     often = low.groupBy("doc", "signature", "place").agg(F.countDistinct("page").alias("n")).join(many, "doc").where(F.col("n") >= F.greatest(F.lit(3.0), 0.25 * F.col("pages")))
     feet = low.join(often.select("doc", "signature", "place"), ["doc", "signature", "place"])
@@ -67,9 +74,9 @@ def frames(items: DataFrame, height: float) -> DataFrame:
     return pages.join(feet, ["doc", "page"], "left").select("doc", "page", F.coalesce("top", F.lit(FOOTER_DEFAULT * height)).alias("footer_top"), F.coalesce("footer_text", F.lit("")).alias("footer_text"))
 
 
-def median_height(items: DataFrame) -> DataFrame:
-    """doc and body: the upper median of the items' heights, counted by height, of which a document has few."""
-    counts = items.groupBy("doc", "h").agg(F.count("*").alias("n"))
+def median_height(heights: DataFrame) -> DataFrame:
+    """doc and body: the upper median of the items' heights, from ``page_heights``."""
+    counts = heights.groupBy("doc", "h").agg(F.sum("n").alias("n"))
     upward = Window.partitionBy("doc").orderBy("h")
     counts = counts.withColumn("upto", F.sum("n").over(upward)).withColumn("all", F.sum("n").over(Window.partitionBy("doc")))
     return counts.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy("doc").agg(F.min("h").alias("body"))
@@ -81,18 +88,33 @@ def markers(items: DataFrame, height: float, framed: DataFrame | None = None, de
     ``framed`` are the frames where the caller has them. With ``decode``, an item that is no marker is looked at once more in its decoded
     form: a short heading may be in glyph ids although its font wasn't decoded on the page.
     """
+    return framed_markers(items, height, framed, decode)[1]
+
+
+def framed_markers(items: DataFrame, height: float, framed: DataFrame | None = None, decode: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Staged frames, and ``markers``. The items are gone through twice, for their heights and for the few that matter."""
     norm = F.col("norm") if "norm" in items.columns else T.marker_norm(F.col("str"))
-    rows = items.withColumn("norm", norm).withColumn("kind", first_match(F.col("norm"), MARKERS))
-    if decode is not None:
-        again = F.when(F.col("kind").isNull(), T.marker_norm(decode(F.col("str"))))
-        rows = rows.withColumn("norm", F.coalesce(again, "norm")).withColumn("kind", F.coalesce("kind", first_match(F.col("norm"), MARKERS)))
-    rows = rows.where("kind IS NOT NULL")
-    rows = rows.join(frames(items, height) if framed is None else framed, ["doc", "page"]).join(median_height(items), "doc")
+    heights = staged(page_heights(items))
+    told = lambda n: F.struct(n.alias("norm"), first_match(n, MARKERS).alias("kind"))
+    if decode is None:
+        # Every marker has one of these words; for text in ASCII that shows without its norm.
+        upper, words = F.upper("str"), ("QUEST", "TEXTO", "AREA", "RASCUNHO")
+        may = reduce(Column.__or__, [F.contains(upper, F.lit(w)) for w in words], F.octet_length("str") != F.length("str"))
+        found = F.when(may, T.let(norm, told))
+    else:
+        again = lambda m: F.when(m["kind"].isNotNull(), m).otherwise(T.let(F.coalesce(T.marker_norm(decode(F.col("str"))), m["norm"]), told))
+        found = T.let(T.let(norm, told), again)
+    # Markers and low items are few; they are told apart once and staged, and the items aren't gone through again.
+    low = F.col("top") >= FOOTER_ZONE * height
+    few = items.withColumn("m", found).where(F.col("m.kind").isNotNull() | low) if framed is None else items.withColumn("m", found).where(F.col("m.kind").isNotNull())
+    few = staged(few.select("doc", "page", "i", "x", "h", "top", "str", "m.norm", "m.kind"))
+    framed = staged(frames(few, height, heights)) if framed is None else framed
+    rows = few.where("kind IS NOT NULL").join(framed, ["doc", "page"]).join(median_height(heights), "doc")
     rows = rows.where((F.col("top") < F.col("footer_top")) & (F.col("kind").isin("stop", "end") | (F.col("h") >= MARKER_HEIGHT * F.col("body"))))
     pattern = {kind: p for p, kind in MARKERS}
     num = F.when(F.col("kind") == "essay", F.regexp_extract("norm", pattern["essay"], 1)).when(F.col("kind") == "objective", F.regexp_extract("norm", pattern["objective"], 1))
     nums = F.when(F.col("kind") == "shared", T.number_list(F.regexp_extract("norm", pattern["shared"], 1)))
-    return rows.select("doc", "page", "i", "x", "top", "kind", num.try_cast("int").alias("num"), nums.alias("nums"))
+    return framed, rows.select("doc", "page", "i", "x", "top", "kind", num.try_cast("int").alias("num"), nums.alias("nums"))
 
 
 def columns(found: DataFrame, width: float) -> DataFrame:

@@ -9,7 +9,6 @@ from quillspark.functions import text as T
 from quillspark.operators import layout
 from quillspark.plans.registry import query
 from quillspark.session import table
-from quillspark.staging import staged
 
 WIDTH, HEIGHT = 560.0, 800.0
 
@@ -74,10 +73,9 @@ def page_markers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items, frames and markers; the first two are staged, since later steps read them again."""
-    items = staged(_items(spark, d))
-    framed = staged(layout.frames(items, HEIGHT))
-    return items, framed, layout.markers(items, HEIGHT, framed)
+    """Items, frames and markers."""
+    items = _items(spark, d)
+    return items, *layout.framed_markers(items, HEIGHT)
 
 
 @query(f"WITH {_I}, {_F}, {_M} SELECT doc, page, min(x) FILTER (kind NOT IN ('stop', 'end') AND x > 0.4::DOUBLE * 560) - 8 AS split FROM markers GROUP BY doc, page")
