@@ -45,9 +45,11 @@ def runs(items: DataFrame, decode: Callable[[Column], Column]) -> DataFrame:
     Ligatures are repaired in documents with at least as many broken ones as pages.
     """
     found = layout.page_runs(layout.decoded(items, decode))
-    hits = found.groupBy(F.col("doc").alias("of")).agg((F.sum(F.regexp_count("str", F.lit(_BROKEN))) >= F.countDistinct("page")).alias("repair"))
-    rows = found.join(hits, F.col("doc").eqNullSafe(F.col("of")), "left").withColumn("str", F.when(F.col("repair"), layout.repair_ligatures(F.col("str"))).otherwise(F.col("str")))
-    return staged(rows.drop("of", "repair").withColumn("norm", T.marker_norm(F.col("str"))))
+    own = Window.partitionBy("doc")  # one pass over the runs; a join would make them twice
+    repair = F.sum("broken").over(own) >= F.size(F.collect_set("page").over(own))
+    rows = found.withColumn("broken", F.regexp_count("str", F.lit(_BROKEN))).withColumn("repair", repair)
+    rows = rows.withColumn("str", F.when(F.col("repair"), layout.repair_ligatures(F.col("str"))).otherwise(F.col("str")))
+    return staged(rows.drop("broken", "repair").withColumn("norm", T.marker_norm(F.col("str"))))
 
 
 def covers(found: DataFrame) -> DataFrame:

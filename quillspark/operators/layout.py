@@ -95,15 +95,14 @@ def framed_markers(items: DataFrame, height: float, framed: DataFrame | None = N
     """Staged frames, and ``markers``. The items are gone through twice, for their heights and for the few that matter."""
     norm = F.col("norm") if "norm" in items.columns else T.marker_norm(F.col("str"))
     heights = staged(page_heights(items))
-    told = lambda n: F.struct(n.alias("norm"), first_match(n, MARKERS).alias("kind"))
-    if decode is None:
-        # Every marker has one of these words; for text in ASCII that shows without its norm.
-        upper, words = F.upper("str"), ("QUEST", "TEXTO", "AREA", "RASCUNHO")
-        may = reduce(Column.__or__, [F.contains(upper, F.lit(w)) for w in words], F.octet_length("str") != F.length("str"))
-        found = F.when(may, T.let(norm, told))
-    else:
-        again = lambda m: F.when(m["kind"].isNotNull(), m).otherwise(T.let(F.coalesce(T.marker_norm(decode(F.col("str"))), m["norm"]), told))
-        found = T.let(T.let(norm, told), again)
+    # Every marker's norm has one of these words; for text in ASCII that shows without its norm.
+    has = lambda text: reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in ("QUEST", "TEXTO", "AREA", "RASCUNHO")])
+    may = lambda text: (F.octet_length(text) != F.length(text)) | has(F.upper(text))
+    told = lambda n: F.struct(n.alias("norm"), F.when(has(n), first_match(n, MARKERS)).alias("kind"))
+    found = T.let(norm, told) if "norm" in items.columns else F.when(may(F.col("str")), T.let(norm, told))
+    if decode is not None:
+        again = T.let(decode(F.col("str")), lambda text: F.when(may(text), T.let(T.marker_norm(text), told)))
+        found = T.let(found, lambda m: F.when(m["kind"].isNotNull(), m).otherwise(again))
     # Markers and low items are few; they are told apart once and staged, and the items aren't gone through again.
     low = F.col("top") >= FOOTER_ZONE * height
     few = items.withColumn("m", found).where(F.col("m.kind").isNotNull() | low) if framed is None else items.withColumn("m", found).where(F.col("m.kind").isNotNull())
